@@ -34,25 +34,41 @@ def _classify(n: Column, uppers: list[int]) -> Column:
     return expr.otherwise(F.lit(len(uppers) + 1))
 
 
+def ip_first_field(c) -> Column:
+    """First dot-separated field of an address as a number; null when the
+    text has no dot or that field is not an integer."""
+    s = _as_col(c).cast("string")
+    return F.when(F.instr(s, ".") > 0, F.substring_index(s, ".", 1).try_cast("bigint"))
+
+
+def port_number(c) -> Column:
+    """A port as a number; null when missing or not an integer."""
+    return _as_col(c).try_cast("bigint")
+
+
+def ip_class_of(n: Column) -> Column:
+    """Class from a parsed first field (see :func:`ip_first_field`); null gives 0."""
+    return F.when(n.isNull(), F.lit(0)).otherwise(_classify(n, IP_CLASS_UPPER)).cast("int")
+
+
+def port_class_of(n: Column) -> Column:
+    """Class from a parsed port (see :func:`port_number`); null gives 0."""
+    return F.when(n.isNull(), F.lit(0)).otherwise(_classify(n, PORT_CLASS_UPPER)).cast("int")
+
+
 def ip_class(c) -> Column:
     """Address class of a dotted address string from its first field.
 
-    No dot, null or a first field that is not an integer: 0.
+    No dot, null or a first field that is not an integer: 0.  For many
+    columns at once prefer projecting :func:`ip_first_field` first and then
+    :func:`ip_class_of` on it, so the parse runs once per row.
     """
-    s = _as_col(c).cast("string")
-    head = F.substring_index(s, ".", 1)
-    n = head.try_cast("bigint")
-    return (
-        F.when(s.isNull() | (F.instr(s, ".") == 0) | n.isNull(), F.lit(0))
-        .otherwise(_classify(n, IP_CLASS_UPPER))
-        .cast("int")
-    )
+    return ip_class_of(ip_first_field(c))
 
 
 def port_class(c) -> Column:
     """Port range class; null or non-integer text: 0."""
-    n = _as_col(c).try_cast("bigint")
-    return F.when(n.isNull(), F.lit(0)).otherwise(_classify(n, PORT_CLASS_UPPER)).cast("int")
+    return port_class_of(port_number(c))
 
 
 def ip_class_sql(c: str) -> str:

@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowbin.functions.classes import ip_class, port_class
+from flowbin.functions.classes import ip_class_of, ip_first_field, port_class_of, port_number
 from flowbin.operators.frequency import (
     FrequencySpec, fit_frequency, inline_expr, lookup_join,
 )
 from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_expr
+from flowbin.session import materialize
 from flowbin.sources.schema import (
     BOOL_COLS, IP_COLS, NOMINAL_COLS, NUMERIC_COLS, PORT_COLS,
 )
@@ -42,6 +43,24 @@ class BinningConfig:
         return self.ip + self.port + self.boolean + self.nominal + self.numeric
 
 
+def value_counts(df: DataFrame, str_cols: list[str], num_cols: list[str],
+                 by: list[str] | None = None) -> DataFrame:
+    """(by..., cname, v, d, k): counts of every value of every column, one job.
+
+    Frequency columns fill ``v`` (string form), numeric columns fill ``d``
+    (double; NaN dropped).  The map-side partial aggregate collapses hot
+    values before the single shuffle.
+    """
+    by = by or []
+    items = [F.struct(F.lit(c).alias("cname"), F.col(c).cast("string").alias("v"),
+                      F.lit(None).cast("double").alias("d")) for c in str_cols]
+    items += [F.struct(F.lit(c).alias("cname"), F.lit(None).cast("string").alias("v"),
+                       F.col(c).cast("double").alias("d")) for c in num_cols]
+    long = df.select(*by, F.inline(F.array(*items)))
+    keep = F.col("v").isNotNull() | (F.col("d").isNotNull() & ~F.isnan(F.col("d")))
+    return long.where(keep).groupBy(*by, "cname", "v", "d").agg(F.count(F.lit(1)).alias("k"))
+
+
 def _by_case(by: list[str], per_group: dict[tuple, Column]) -> Column:
     """Pick the expression of the row's group (null for a group not fitted)."""
     if not by:
@@ -69,60 +88,83 @@ class BinningModel:
         config = config or BinningConfig()
         by = list(by or [])
         index_cols = config.boolean + (config.nominal if config.nominal_mode == "index" else [])
-        freq = fit_frequency(df, index_cols, "index", by=by, **kw) if index_cols else {}
+        cover_cols = config.nominal if config.nominal_mode == "coverage" else []
+        # one scan and one shuffle count every value of every binned column
+        counts = materialize(value_counts(df, index_cols + cover_cols, config.numeric, by))
+        freq_t = counts.where(F.col("v").isNotNull()).select(*by, "cname", "v", "k")
+        hist_t = counts.where(F.col("d").isNotNull()).select(*by, "cname", F.col("d").alias("v"), "k")
+        freq = fit_frequency(df, index_cols, "index", by=by, freq=freq_t, **kw) if index_cols else {}
         nominal = {}
-        if config.nominal_mode == "coverage" and config.nominal:
-            nominal = fit_frequency(df, config.nominal, "coverage", config.nominal_coverage, by=by, **kw)
-        numeric = fit_numeric(df, config.numeric, config.numeric_trim, by=by) if config.numeric else {}
+        if cover_cols:
+            nominal = fit_frequency(df, cover_cols, "coverage", config.nominal_coverage, by=by,
+                                    freq=freq_t, **kw)
+        numeric = fit_numeric(df, config.numeric, config.numeric_trim, by=by, hist=hist_t) if config.numeric else {}
+        counts.unpersist()
         return cls(config, by, freq, nominal, numeric)
 
     def _groups(self, specs: dict[tuple, object], col: str) -> dict[tuple, object]:
         return {g: s for (g, c), s in specs.items() if c == col}
 
     def transform(self, df: DataFrame, replace: bool = False) -> DataFrame:
-        """Add ``<col>_bin`` int columns (or replace the sources when ``replace``)."""
+        """Add ``<col>_bin`` int columns (or replace the sources when ``replace``).
+
+        Two projections: the first parses each source once (first address
+        field, port number, string or double form) into a helper column; the
+        second maps helpers to bins.  Each ``CASE`` then tests a plain column,
+        which keeps the generated code small (no repeated parsing inside
+        conditional branches).
+        """
         cfg, by = self.config, self.by
-        out = df
+        helpers: dict[str, Column] = {}
+        for c in cfg.ip:
+            helpers[f"_fb_h_{c}"] = ip_first_field(c)
+        for c in cfg.port:
+            helpers[f"_fb_h_{c}"] = port_number(c)
+        for c in cfg.boolean + cfg.nominal:
+            helpers[f"_fb_h_{c}"] = F.col(c).cast("string")
+        for c in cfg.numeric:
+            helpers[f"_fb_h_{c}"] = F.col(c).cast("double")
+        out = df.select("*", *[e.alias(n) for n, e in helpers.items()])
+
+        def h(c: str) -> Column:
+            return F.col(f"_fb_h_{c}")
+
         exprs: dict[str, Column] = {}
         for c in cfg.ip:
-            exprs[c] = ip_class(c)
+            exprs[c] = ip_class_of(h(c))
         for c in cfg.port:
-            exprs[c] = port_class(c)
+            exprs[c] = port_class_of(h(c))
         freq_cols = [(c, self.freq) for c in cfg.boolean]
         freq_cols += [(c, self.freq if cfg.nominal_mode == "index" else self.nominal) for c in cfg.nominal]
         for c, specs in freq_cols:
             per = self._groups(specs, c)
-            value = F.col(c).cast("string")
             if any(s.lookup is not None for s in per.values()):
                 # wide column: one lookup join per group holding a lookup table
                 parts = {}
                 for g, s in per.items():
                     if s.lookup is not None:
                         tmp = f"_fb_{c}_{len(parts)}"
-                        out = lookup_join(out, s, value, tmp, by)
+                        out = lookup_join(out, s, h(c), tmp, by)
                         parts[g] = F.col(tmp)
                     else:
-                        parts[g] = inline_expr(s, value)
+                        parts[g] = inline_expr(s, h(c))
                 exprs[c] = _by_case(by, parts)
             else:
-                exprs[c] = _by_case(by, {g: inline_expr(s, value) for g, s in per.items()})
+                exprs[c] = _by_case(by, {g: inline_expr(s, h(c)) for g, s in per.items()})
         for c in cfg.numeric:
             per = self._groups(self.numeric, c)
-            exprs[c] = _by_case(by, {g: numeric_expr(s, F.col(c)) for g, s in per.items()})
+            exprs[c] = _by_case(by, {g: numeric_expr(s, h(c)) for g, s in per.items()})
 
         ordered = cfg.binned_columns()
-        tmp_cols = [c for c in out.columns if c.startswith("_fb_")]
         if replace:
             keep = [F.col(c) for c in df.columns if c not in set(ordered)]
-            res = out.select(*keep, *[exprs[c].alias(c) for c in ordered])
-        else:
-            # frequency-indexed sources are left cast to string, as the indexer input
-            cast = {c: F.col(c).cast("string") for c in cfg.boolean}
-            if cfg.nominal_mode == "index":
-                cast.update({c: F.col(c).cast("string") for c in cfg.nominal})
-            base = [cast.get(c, F.col(c)).alias(c) for c in df.columns]
-            res = out.select(*base, *[exprs[c].alias(c + BIN_SUFFIX) for c in ordered])
-        return res.drop(*tmp_cols) if tmp_cols else res
+            return out.select(*keep, *[exprs[c].alias(c) for c in ordered])
+        # frequency-indexed sources are left cast to string, as the indexer input
+        cast = {c: h(c) for c in cfg.boolean}
+        if cfg.nominal_mode == "index":
+            cast.update({c: h(c) for c in cfg.nominal})
+        base = [cast.get(c, F.col(c)).alias(c) for c in df.columns]
+        return out.select(*base, *[exprs[c].alias(c + BIN_SUFFIX) for c in ordered])
 
     def feature_names(self) -> list[str]:
         return [c + BIN_SUFFIX for c in self.config.binned_columns()]

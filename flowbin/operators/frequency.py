@@ -72,13 +72,21 @@ def fit_frequency(
     by: list[str] | None = None,
     inline_max: int = INLINE_MAX,
     single_task_rows: int | None = None,
+    freq: DataFrame | None = None,
 ) -> dict[tuple, FrequencySpec]:
-    """Fit one spec per (group, column); returns ``{(group, column): spec}``."""
+    """Fit one spec per (group, column); returns ``{(group, column): spec}``.
+
+    ``freq`` may hold a precomputed :func:`frequency_table` (kept by the caller).
+    """
     if kind not in ("index", "coverage"):
         raise ValueError(f"unknown frequency kind {kind!r}")
     by = by or []
     spark = df.sparkSession
-    freq = materialize(frequency_table(df, cols, by))
+    own = freq is None
+    if own:
+        freq = materialize(frequency_table(df, cols, by))
+    else:
+        freq = freq.where(F.col("cname").isin(cols))
     keys = by + ["cname"]
 
     # one row per (group, column): bounded by groups x columns
@@ -156,7 +164,8 @@ def fit_frequency(
             for b, gv in zip(by, g):
                 m = m & F.col(b).eqNullSafe(F.lit(gv))
             specs[(g, c)].lookup = table.where(m).select(*by, "v", "b", "rank")
-    freq.unpersist()
+    if own:
+        freq.unpersist()
     return specs
 
 

@@ -77,6 +77,7 @@ def select_ranks(
     targets: list[tuple[tuple, str, int]],
     final_rows: int = FINAL_ROWS,
     n_cuts: int = N_CUTS,
+    sizes: dict[int, int] | None = None,
 ) -> dict[tuple[tuple, str, int], tuple[float, int, int]]:
     """Exact order statistics from a histogram.
 
@@ -101,9 +102,15 @@ def select_ranks(
                        & (F.col("hi_v").isNull() | (F.col("v") < F.col("hi_v"))))
 
     pending = list(state)
+    known = dict(sizes or {})  # histogram rows per target, when the caller knows them
     while pending:
-        sub = restricted(pending)
-        sizes = {r["tid"]: int(r["n"]) for r in sub.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(i in known for i in pending):
+            sizes = known
+        else:
+            sub = restricted(pending)
+            sizes = {r["tid"]: int(r["n"])
+                     for r in sub.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        known = {}
         final, narrow = [], []
         for i in pending:
             n = sizes.get(i, 0)
@@ -181,15 +188,21 @@ def trim_stats(
     return _trim_stats(df, cols, trim, by, final_rows, n_cuts)[0]
 
 
-def _trim_stats(df, cols, trim, by, final_rows, n_cuts):
+def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None):
     by = by or []
     spark = df.sparkSession
     by_fields = [df.schema[b] for b in by]
     keys = by + ["cname"]
-    hist = materialize(histogram(df, cols, by))
+    if hist is None:
+        hist = materialize(histogram(df, cols, by))
+    else:
+        hist = hist.where(F.col("cname").isin(cols))
 
-    totals = hist.groupBy(*keys).agg(F.sum("k").alias("n_rows"))
-    n_of = {(tuple(r[b] for b in by), r["cname"]): int(r["n_rows"]) for r in totals.collect()}
+    totals = hist.groupBy(*keys).agg(F.sum("k").alias("n_rows"), F.count(F.lit(1)).alias("u"))
+    tot_rows = totals.collect()  # one row per (group, column)
+    n_of = {(tuple(r[b] for b in by), r["cname"]): int(r["n_rows"]) for r in tot_rows}
+    u_of = {(tuple(r[b] for b in by), r["cname"]): int(r["u"]) for r in tot_rows}
+    totals = totals.drop("u")
 
     bounds: dict[tuple, tuple[int, int]] = {}
     targets = []
@@ -199,7 +212,8 @@ def _trim_stats(df, cols, trim, by, final_rows, n_cuts):
         if hi >= lo:
             bounds[(g, c)] = (lo, hi)
             targets += [(g, c, lo), (g, c, hi)]
-    picks = select_ranks(hist, by_fields, targets, final_rows, n_cuts) if targets else {}
+    sizes = {i: u_of[(g, c)] for i, (g, c, _) in enumerate(targets)}
+    picks = select_ranks(hist, by_fields, targets, final_rows, n_cuts, sizes) if targets else {}
 
     rows = []
     for (g, c), (lo, hi) in bounds.items():
@@ -254,11 +268,16 @@ def fit_numeric(
     by: list[str] | None = None,
     final_rows: int = FINAL_ROWS,
     n_cuts: int = N_CUTS,
+    hist: DataFrame | None = None,
 ) -> dict[tuple, NumericSpec]:
-    """Fit trimmed mean / sd / min and edges per (group, column)."""
+    """Fit trimmed mean / sd / min and edges per (group, column).
+
+    ``hist`` may hold a precomputed :func:`histogram` (kept by the caller).
+    """
     by = by or []
     specs: dict[tuple, NumericSpec] = {}
-    stats, hist = _trim_stats(df, cols, trim, by, final_rows, n_cuts)
+    own = hist is None
+    stats, hist = _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist)
     # one row per (group, column)
     for r in edges_frame(stats).collect():
         g = tuple(r[b] for b in by)
@@ -269,7 +288,8 @@ def fit_numeric(
                 if e not in sp.edges:
                     sp.edges.append(float(e))
         specs[(g, r["cname"])] = sp
-    hist.unpersist()
+    if own:
+        hist.unpersist()
     groups = {g for g, _ in specs} or {()}
     for g in groups:
         for c in cols:

@@ -21,7 +21,7 @@ from flowbin.operators.models import PREFIX_SIZES, assemble, feature_columns, fi
 from flowbin.operators.rebalance import MIN_TASK_ROWS, gate_tasks, make_tasks
 from flowbin.operators.split import hash_split, random_split
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
-from flowbin.session import force, materialize
+from flowbin.session import ensure_parallelism, force, materialize
 from flowbin.sources.results import append_results, results_frame
 
 
@@ -37,7 +37,8 @@ def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
     tasks = gate_tasks(make_tasks(flows, binary, attack_pct, num_top_labels, tactics), min_rows)
     t0 = time.perf_counter()
     labelled = add_binary_label(tasks) if binary else add_multiclass_label(tasks, by=["task"])
-    labelled = materialize(labelled)
+    # the table is read by every fit below: keep it, spread over all cores
+    labelled = materialize(ensure_parallelism(labelled))
     model = BinningModel.fit(labelled, config, by=["task"])
     binned = materialize(model.transform(labelled))
     return binned, model, time.perf_counter() - t0

@@ -27,6 +27,9 @@ def local_session(app: str = "flowbin", partitions: int = 8, cores: str = "*") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot does not JIT methods above 8000 bytes of bytecode; past that
+        # size Spark falls back to split, compilable code for the stage
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
@@ -79,3 +82,17 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
 def force(df: DataFrame) -> None:
     """Run the whole plan of ``df`` without collecting it (noop sink)."""
     df.write.format("noop").mode("overwrite").save()
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread ``df`` over at least ``min_partitions`` (default: the cluster's
+    parallelism) when it has fewer, e.g. one small file read as one split.
+
+    Large inputs already have more partitions than cores, so this adds no
+    shuffle for them; it only matters before reuse-heavy steps (caching a
+    table that many model fits read).
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
