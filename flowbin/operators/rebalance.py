@@ -84,8 +84,8 @@ def rebalance_plan(df: DataFrame, attack_pct: float, num_top_labels: int,
         F.col(label_col).alias("task"), F.col("n").alias("attack_rows"), "benign_rows",
     ).select(
         "task", "attack_rows", "benign_rows", quota.alias("quota"),
-        ((quota % nb) / nb).alias("frac"),
-        F.floor(F.floor(quota) / nb).cast("bigint").alias("copies"),
+        F.when(nb > 0, (quota % nb) / nb).alias("frac"),
+        F.when(nb > 0, F.floor(F.floor(quota) / nb)).cast("bigint").alias("copies"),
     )
 
 
