@@ -163,6 +163,37 @@ def select_ranks(
     return {(state[i]["g"], state[i]["c"], state[i]["r"]): result[i] for i in result}
 
 
+def _boundaries_by_window(hist: DataFrame, by: list[str], trim: float) -> dict:
+    """Both boundary values of every (group, column) in one window job.
+
+    Used when every column's histogram has at most ``FINAL_ROWS`` rows (known
+    from the totals), so one task may number a whole column.  The window
+    gives each value its running count and the column total; only the rows
+    holding rank ``max(o, 1)`` or ``n - o`` are kept and collected (at most
+    two per column).
+    """
+    keys = by + ["cname"]
+    run = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    x = hist.select(*keys, "v", "k", F.sum("k").over(run).alias("cum"), F.sum("k").over(whole).alias("n"))
+    o = F.floor(F.col("n") * F.lit(float(trim)))
+    lo, hi = F.greatest(o, F.lit(1)), F.col("n") - o
+    below = F.col("cum") - F.col("k")
+    hit_lo = (below < lo) & (lo <= F.col("cum"))
+    hit_hi = (below < hi) & (hi <= F.col("cum"))
+    rows = (x.where((hit_lo | hit_hi) & (hi >= lo))
+            .select(*keys, "v", below.alias("p"), "k", lo.alias("lo"), hi.alias("hi"),
+                    hit_lo.alias("is_lo"), hit_hi.alias("is_hi"))
+            .collect())
+    picks = {}
+    for r in rows:
+        g = tuple(r[b] for b in by)
+        for flag, rank in (("is_lo", "lo"), ("is_hi", "hi")):
+            if r[flag]:
+                picks[(g, r["cname"], int(r[rank]))] = (float(r["v"]), int(r["p"]), int(r["k"]))
+    return picks
+
+
 def _center(m: Column, s: Column, mn: Column) -> Column:
     """Centre moved up by whole standard deviations while m - 2s < 0, for a
     column without negative values (at most two steps: m >= min >= 0)."""
@@ -212,8 +243,11 @@ def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None):
         if hi >= lo:
             bounds[(g, c)] = (lo, hi)
             targets += [(g, c, lo), (g, c, hi)]
-    sizes = {i: u_of[(g, c)] for i, (g, c, _) in enumerate(targets)}
-    picks = select_ranks(hist, by_fields, targets, final_rows, n_cuts, sizes) if targets else {}
+    if targets and all(u_of[(g, c)] <= final_rows for g, c, _ in targets):
+        picks = _boundaries_by_window(hist, by, trim)
+    else:
+        sizes = {i: u_of[(g, c)] for i, (g, c, _) in enumerate(targets)}
+        picks = select_ranks(hist, by_fields, targets, final_rows, n_cuts, sizes) if targets else {}
 
     rows = []
     for (g, c), (lo, hi) in bounds.items():

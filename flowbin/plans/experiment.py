@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from flowbin.operators.binning import BinningConfig, BinningModel
 from flowbin.operators.metrics import class_metrics, confusion, confusion_matrix
 from flowbin.operators.models import PREFIX_SIZES, assemble, feature_columns, fit_predict
-from flowbin.operators.rebalance import MIN_TASK_ROWS, gate_tasks, make_tasks
+from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
 from flowbin.operators.split import hash_split, random_split
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
 from flowbin.session import ensure_parallelism, force, materialize
@@ -33,14 +33,21 @@ def feature_distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_labels: int = 10,
             tactics: Sequence[str] | None = None, min_rows: int = MIN_TASK_ROWS,
             config: BinningConfig | None = None) -> tuple[DataFrame, BinningModel, float]:
-    """Tasks -> gate -> label -> bins for all tasks; returns (binned, model, bin seconds)."""
-    tasks = gate_tasks(make_tasks(flows, binary, attack_pct, num_top_labels, tactics), min_rows)
+    """Tasks -> gate -> label -> bins for all tasks; returns (binned, model, bin seconds).
+
+    The task table is kept once (spread over all cores when it is smaller
+    than that) because the gate, the label fit, the binning fit and the
+    transform all read it.
+    """
+    tasks = materialize(ensure_parallelism(make_tasks(flows, binary, attack_pct, num_top_labels, tactics)))
+    sizes = tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per task
+    kept = sorted(r["task"] for r in sizes if r["n"] >= min_rows)
+    gated = tasks.where(F.col("task").isin(kept))
     t0 = time.perf_counter()
-    labelled = add_binary_label(tasks) if binary else add_multiclass_label(tasks, by=["task"])
-    # the table is read by every fit below: keep it, spread over all cores
-    labelled = materialize(ensure_parallelism(labelled))
+    labelled = add_binary_label(gated) if binary else add_multiclass_label(gated, by=["task"])
     model = BinningModel.fit(labelled, config, by=["task"])
     binned = materialize(model.transform(labelled))
+    tasks.unpersist()
     return binned, model, time.perf_counter() - t0
 
 
