@@ -91,15 +91,30 @@ def rebalance_plan(df: DataFrame, attack_pct: float, num_top_labels: int,
 
 def rebalance(df: DataFrame, attack_pct: float, num_top_labels: int,
               label_col: str = LABEL_COL, benign: str = BENIGN, id_col: str = ID_COL,
-              seed_part: int = 0) -> DataFrame:
+              seed_part: int = 0, keep: Sequence[str] | None = None,
+              sampler: str = "hash", seed: int = 1234) -> DataFrame:
     """One long table: ``task`` + the input columns, one block per top tactic.
 
     One scan and one generator: each input row becomes the list of tasks it
     belongs to (its own tactic, or for a benign row every task repeated
     ``copies + [sampled]`` times), then that list is exploded.
+
+    ``keep`` restricts the output to some of the top tactics (every name must
+    be one of them); rows of other tasks are never generated.  ``sampler``
+    picks the benign sample: ``"hash"`` (default, a fixed subset per ``uid``,
+    independent of partitioning) or ``"bernoulli"`` (``rand(seed)``, like
+    ``DataFrame.sample``; depends on partitioning and row order).
     """
     benign_quota(1.0, attack_pct)
+    if sampler not in ("hash", "bernoulli"):
+        raise ValueError(f"unknown sampler {sampler!r}")
     plan = rebalance_plan(df, attack_pct, num_top_labels, label_col, benign).collect()
+    if keep is not None:
+        known = {r["task"] for r in plan}
+        missing = [t for t in keep if t not in known]
+        if missing:
+            raise KeyError("unknown task(s): " + ", ".join(missing))
+        plan = [r for r in plan if r["task"] in set(keep)]
     if not plan:
         return df.select(F.lit(None).cast("string").alias("task"), *df.columns).limit(0)
     if not plan[0]["benign_rows"]:
@@ -117,8 +132,9 @@ def rebalance(df: DataFrame, attack_pct: float, num_top_labels: int,
     row_tasks = (F.when(label == F.lit(benign), benign_tasks)
                  .when(label.isin(tasks), F.array(label))
                  .otherwise(F.array().cast("array<string>")))
-    # the hash is computed once per row, before the generator
-    with_u = df.select("*", F.when(label == F.lit(benign), hash_unit(id_col, seed_part)).alias("_fb_u"))
+    draw = hash_unit(id_col, seed_part) if sampler == "hash" else F.rand(seed)
+    # the draw is computed once per row, before the generator
+    with_u = df.select("*", F.when(label == F.lit(benign), draw).alias("_fb_u"))
     return with_u.select(F.explode(row_tasks).alias("task"), *df.columns)
 
 
@@ -146,16 +162,13 @@ def filter_tasks(tasks: DataFrame, names: Sequence[str], known: Sequence[str] |
 
 def make_tasks(df: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_labels: int = 10,
                tactics: Sequence[str] | None = DEFAULT_TACTICS, label_col: str = LABEL_COL,
-               benign: str = BENIGN) -> DataFrame:
+               benign: str = BENIGN, sampler: str = "hash") -> DataFrame:
     """Binary: rebalanced one-vs-benign tasks (optionally only ``tactics``);
     multi-class: the whole table as the single task ``All label techniques``."""
     if not binary:
         return df.select(F.lit(ALL_TASK).alias("task"), *df.columns)
-    tasks = rebalance(df, attack_pct, num_top_labels, label_col, benign)
-    if tactics:
-        known = [r[label_col] for r in top_labels(df, num_top_labels, label_col, benign).collect()]
-        tasks = filter_tasks(tasks, tactics, known)
-    return tasks
+    return rebalance(df, attack_pct, num_top_labels, label_col, benign,
+                     keep=list(tactics) if tactics else None, sampler=sampler)
 
 
 def expected_copies(quota: float, benign_rows: int) -> tuple[float, int]:

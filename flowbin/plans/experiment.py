@@ -19,7 +19,7 @@ from flowbin.operators.binning import BinningConfig, BinningModel
 from flowbin.operators.metrics import class_metrics, confusion, confusion_matrix
 from flowbin.operators.models import PREFIX_SIZES, assemble, feature_columns, fit_predict
 from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
-from flowbin.operators.split import hash_split, random_split
+from flowbin.operators.split import hash_split, random_split, split_flag
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
 from flowbin.session import ensure_parallelism, force, materialize
 from flowbin.sources.results import append_results, results_frame
@@ -32,20 +32,29 @@ def feature_distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_labels: int = 10,
             tactics: Sequence[str] | None = None, min_rows: int = MIN_TASK_ROWS,
-            config: BinningConfig | None = None) -> tuple[DataFrame, BinningModel, float]:
+            config: BinningConfig | None = None, fit_bins_on: str = "all",
+            train_share: float = 0.7, sampler: str = "hash") -> tuple[DataFrame, BinningModel, float]:
     """Tasks -> gate -> label -> bins for all tasks; returns (binned, model, bin seconds).
 
+    ``fit_bins_on="all"`` fits the bin statistics on every row of a task, as
+    the reference does (test rows leak into the edges); ``"train"`` fits them
+    on the rows the hash split will put in the training set.
+
     The task table is kept once (spread over all cores when it is smaller
     than that) because the gate, the label fit, the binning fit and the
     transform all read it.
     """
-    tasks = materialize(ensure_parallelism(make_tasks(flows, binary, attack_pct, num_top_labels, tactics)))
+    tasks = materialize(ensure_parallelism(
+        make_tasks(flows, binary, attack_pct, num_top_labels, tactics, sampler=sampler)))
     sizes = tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per task
     kept = sorted(r["task"] for r in sizes if r["n"] >= min_rows)
     gated = tasks.where(F.col("task").isin(kept))
     t0 = time.perf_counter()
     labelled = add_binary_label(gated) if binary else add_multiclass_label(gated, by=["task"])
-    model = BinningModel.fit(labelled, config, by=["task"])
+    if fit_bins_on not in ("all", "train"):
+        raise ValueError(f"fit_bins_on must be 'all' or 'train', not {fit_bins_on!r}")
+    fit_rows = labelled if fit_bins_on == "all" else labelled.where(split_flag(train_share) == "train")
+    model = BinningModel.fit(fit_rows, config, by=["task"])
     binned = materialize(model.transform(labelled))
     tasks.unpersist()
     return binned, model, time.perf_counter() - t0
@@ -56,10 +65,15 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
                    num_top_labels: int = 10, tactics: Sequence[str] | None = None,
                    min_rows: int = MIN_TASK_ROWS, dataset: str = "", split: str = "hash",
                    results_path: str | None = None, model_params: dict | None = None,
-                   config: BinningConfig | None = None) -> DataFrame:
+                   config: BinningConfig | None = None, fit_bins_on: str = "all",
+                   sampler: str = "hash") -> DataFrame:
+    """Tasks x feature prefixes x models; one results row per model fit."""
+    if fit_bins_on == "train" and split != "hash":
+        raise ValueError("fit_bins_on='train' needs the deterministic hash split")
     spark = flows.sparkSession
     start = datetime.datetime.now().strftime("%H:%M:%S")
-    binned, _, bin_time = prepare(flows, binary, attack_pct, num_top_labels, tactics, min_rows, config)
+    binned, _, bin_time = prepare(flows, binary, attack_pct, num_top_labels, tactics, min_rows, config,
+                                  fit_bins_on, sampler=sampler)
     task_names = sorted(r["task"] for r in binned.select("task").distinct().collect())  # few tasks
     rows = []
     for task in task_names:

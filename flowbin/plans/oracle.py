@@ -165,6 +165,7 @@ def oracle_queries() -> dict[str, str]:
     q["boolean_index"] = bins_query(index=BOOL_COLS)
     q["nominal_index"] = bins_query(index=NOMINAL_COLS)
     q["nominal_coverage_bin"] = bins_query(coverage=["history"], keep=("uid", "history"), pct=0.7)
+    q["nominal_coverage_join"] = q["nominal_coverage_bin"]
     stats_sel = " UNION ALL ".join(
         f"SELECT '{c}' AS cname, n_rows, nk AS n_kept, round(m, 6) AS mean, round(sd, 6) AS sd, "
         f"round(mn, 6) AS minimum FROM t_{c}" for c in NUMERIC_COLS)

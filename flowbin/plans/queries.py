@@ -84,9 +84,7 @@ def q_task_size_gate(spark, d):
 
 
 def q_task_filter(spark, d):
-    f = flow(spark, d)
-    known = [r["label_multi"] for r in R.top_labels(f, 10).collect()]
-    return R.filter_tasks(R.rebalance(f, 0.3, 10), R.DEFAULT_TACTICS, known).select("task", "uid", "label_multi")
+    return R.make_tasks(flow(spark, d), True, 0.3, 10, R.DEFAULT_TACTICS).select("task", "uid", "label_multi")
 
 
 def q_label_binary(spark, d):
@@ -126,6 +124,14 @@ def q_nominal_coverage_bin(spark, d):
                  keep=("uid", "history"))
 
 
+def q_nominal_coverage_join(spark, d):
+    """The coverage bin through the lookup-join path (J1): no entry is inlined."""
+    f = flow(spark, d)
+    cfg = _only(nominal=["history"], nominal_mode="coverage", nominal_coverage=0.7)
+    m = BinningModel.fit(f, cfg, inline_max=0)
+    return m.transform(f).select("uid", "history", *m.feature_names())
+
+
 def q_trim_stats(spark, d):
     s = trim_stats(flow(spark, d), NUMERIC_COLS, 0.02)
     return s.select("cname", "n_rows", "n_kept",

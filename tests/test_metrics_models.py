@@ -79,3 +79,13 @@ def test_stream_bins_equal_batch_bins(spark, flow001):
     want = m.transform(flow001).select("uid", *m.feature_names())
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_fit_bins_on_train(spark, flow001):
+    from flowbin.plans.experiment import prepare
+
+    binned_all, m_all, _ = prepare(flow001, binary=True, tactics=("Reconnaissance",))
+    binned_tr, m_tr, _ = prepare(flow001, binary=True, tactics=("Reconnaissance",), fit_bins_on="train")
+    assert binned_all.count() == binned_tr.count()
+    key = (("Reconnaissance",), "duration")
+    assert m_tr.numeric[key].n_rows < m_all.numeric[key].n_rows

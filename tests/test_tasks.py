@@ -66,3 +66,21 @@ def test_hash_split_stable(flow001):
     train, test = hash_split(flow001)
     n, ntr, nte = flow001.count(), train.count(), test.count()
     assert ntr + nte == n and 0.6 < ntr / n < 0.8
+
+
+def test_keep_restricts_generated_tasks(flow001):
+    t = R.rebalance(flow001, 0.3, 10, keep=["Discovery"])
+    assert {r["task"] for r in t.select("task").distinct().collect()} == {"Discovery"}
+    full = R.rebalance(flow001, 0.3, 10).where(F.col("task") == "Discovery")
+    assert t.exceptAll(full).count() == 0 and full.exceptAll(t).count() == 0
+    with pytest.raises(KeyError):
+        R.rebalance(flow001, 0.3, 10, keep=["Exfiltration"])
+
+
+def test_bernoulli_sampler_share(flow001):
+    plan = {r["task"]: r for r in R.rebalance_plan(flow001, 0.3, 10).collect()}
+    t = R.rebalance(flow001, 0.3, 10, sampler="bernoulli")
+    for r in R.task_counts(t).where(F.col("label_multi") == "none").collect():
+        p = plan[r["task"]]
+        expected = p["quota"]
+        assert abs(r["n"] - expected) < 5 * max(1.0, expected ** 0.5)
