@@ -69,15 +69,19 @@ def rebalance_plan(df: DataFrame, attack_pct: float, num_top_labels: int,
     rows in expectation.
     """
     counts = label_counts(df, label_col)
-    # the count table has one row per distinct label, so this window is small
-    everything = Window.partitionBy()
-    with_nb = counts.withColumn(
+    label = F.col(label_col)
+    # benign first, then attacks by count (null label last): the benign count
+    # and the top tactics come from one top-(n+1), so the window below sees at
+    # most num_top_labels + 1 rows
+    order = F.when(label == F.lit(benign), 0).when(label.isNotNull(), 1).otherwise(2)
+    head = counts.orderBy(order, F.col("n").desc(), label.asc()).limit(num_top_labels + 1)
+    with_nb = head.withColumn(
         "benign_rows",
-        F.coalesce(F.max(F.when(F.col(label_col) == F.lit(benign), F.col("n"))).over(everything),
+        F.coalesce(F.max(F.when(label == F.lit(benign), F.col("n"))).over(Window.partitionBy()),
                    F.lit(0)),
     )
-    top = (with_nb.where(F.col(label_col) != F.lit(benign))
-           .orderBy(F.col("n").desc(), F.col(label_col).asc()).limit(num_top_labels))
+    top = (with_nb.where(label != F.lit(benign))
+           .orderBy(F.col("n").desc(), label.asc()).limit(num_top_labels))
     quota = benign_quota_col(F.col("attack_rows"), attack_pct)
     nb = F.col("benign_rows")
     return top.select(
