@@ -135,6 +135,37 @@ def rebalance_ctes(pct: float, top: int) -> list:
     ]
 
 
+def numeric_by_group_sql(table: str, key: str, g: str, c: str, trim: float = 0.02) -> str:
+    """Per-group std-dev bin of ``table.c`` (plain SQL: windows partitioned by ``g``)."""
+    v = f"CAST({c} AS DOUBLE)"
+    o = f"floor(n*{f64(trim)})"
+    x = f"CAST(t.{c} AS DOUBLE)"
+    return (
+        f"WITH r AS (SELECT {g} g, {v} v, row_number() OVER (PARTITION BY {g} ORDER BY {v}) rn, "
+        f"count(*) OVER (PARTITION BY {g}) n FROM {table} WHERE {c} IS NOT NULL AND NOT isnan({v})),\n"
+        f"s AS (SELECT g, avg(v) m, coalesce(stddev_samp(v), 0.0e0) sd, min(v) mn FROM r "
+        f"WHERE rn >= {o} AND rn <= n - {o} GROUP BY g),\n"
+        f"e AS (SELECT *, CASE WHEN mn < 0 OR m - sd*2 >= 0 THEN m WHEN (m + sd) - sd*2 >= 0 THEN m + sd "
+        f"ELSE (m + sd) + sd END ctr FROM s)\n"
+        f"SELECT t.{key}, t.{g}, CAST(CASE WHEN t.{c} IS NULL THEN 0 "
+        f"WHEN e.sd = 0 THEN CASE WHEN isnan({x}) THEN 3 WHEN {x} < e.ctr THEN 1 ELSE 2 END "
+        f"WHEN isnan({x}) THEN 7 "
+        f"ELSE 1 + CAST({x} >= e.ctr - e.sd*2 AS INT) + CAST({x} >= e.ctr - e.sd AS INT) "
+        f"+ CAST({x} >= e.ctr AS INT) + CAST({x} >= e.ctr + e.sd AS INT) "
+        f"+ CAST({x} >= e.ctr + e.sd*2 AS INT) END AS INT) AS {c}_bin "
+        f"FROM {table} t JOIN e ON t.{g} = e.g"
+    )
+
+
+def events_bin_sql() -> str:
+    idx_ctes, idx_join, idx_expr = index_parts("event_type", "events")
+    num_ctes = numeric_stat_ctes("value", 0.02, "events")
+    ctes = idx_ctes + num_ctes
+    body = ",\n".join(f"{n} AS (\n{q}\n)" for n, q in ctes)
+    return (f"WITH {body}\nSELECT events.event_id, {idx_expr} AS event_type_bin, "
+            f"{numeric_bin_expr('value', 'events')} AS value_bin FROM events {idx_join} CROSS JOIN e_value")
+
+
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["rename_flow"] = with_ctes([], "SELECT * FROM flow")
@@ -166,6 +197,8 @@ def oracle_queries() -> dict[str, str]:
     q["nominal_index"] = bins_query(index=NOMINAL_COLS)
     q["nominal_coverage_bin"] = bins_query(coverage=["history"], keep=("uid", "history"), pct=0.7)
     q["nominal_coverage_join"] = q["nominal_coverage_bin"]
+    q["numeric_bin_by_group"] = numeric_by_group_sql("orders", "o_orderkey", "o_orderpriority", "o_totalprice")
+    q["events_bin"] = events_bin_sql()
     stats_sel = " UNION ALL ".join(
         f"SELECT '{c}' AS cname, n_rows, nk AS n_kept, round(m, 6) AS mean, round(sd, 6) AS sd, "
         f"round(mn, 6) AS minimum FROM t_{c}" for c in NUMERIC_COLS)

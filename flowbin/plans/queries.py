@@ -132,6 +132,20 @@ def q_nominal_coverage_join(spark, d):
     return m.transform(f).select("uid", "history", *m.feature_names())
 
 
+def q_numeric_bin_by_group(spark, d):
+    """Std-dev bins fitted per group (as per task): order price per priority."""
+    o = fixtures.table(spark, d, "orders")
+    m = BinningModel.fit(o, _only(numeric=["o_totalprice"]), by=["o_orderpriority"])
+    return m.transform(o).select("o_orderkey", "o_orderpriority", "o_totalprice_bin")
+
+
+def q_events_bin(spark, d):
+    """The binning model on another table: event value and event type."""
+    e = fixtures.table(spark, d, "events")
+    m = BinningModel.fit(e, _only(nominal=["event_type"], numeric=["value"]))
+    return m.transform(e).select("event_id", "event_type_bin", "value_bin")
+
+
 def q_trim_stats(spark, d):
     s = trim_stats(flow(spark, d), NUMERIC_COLS, 0.02)
     return s.select("cname", "n_rows", "n_kept",
