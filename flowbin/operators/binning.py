@@ -9,6 +9,7 @@ very wide nominal columns only, lookup joins.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,9 @@ from flowbin.sources.schema import (
 
 BIN_SUFFIX = "_bin"
 
+#: Most groups a grouped fit accepts (one CASE branch per group and column).
+MAX_GROUPS = 64
+
 
 @dataclass
 class BinningConfig:
@@ -91,14 +95,29 @@ class BinningModel:
         cover_cols = config.nominal if config.nominal_mode == "coverage" else []
         # one scan and one shuffle count every value of every binned column
         counts = materialize(value_counts(df, index_cols + cover_cols, config.numeric, by))
+        if by:
+            n_groups = counts.select(*by).distinct().limit(MAX_GROUPS + 1).count()
+            if n_groups > MAX_GROUPS:
+                counts.unpersist()
+                raise ValueError(
+                    f"fit by {by}: more than {MAX_GROUPS} groups; per-group specs are inlined as "
+                    "CASE branches, meant for a few tasks - fit per group subset instead")
         freq_t = counts.where(F.col("v").isNotNull()).select(*by, "cname", "v", "k")
         hist_t = counts.where(F.col("d").isNotNull()).select(*by, "cname", F.col("d").alias("v"), "k")
-        freq = fit_frequency(df, index_cols, "index", by=by, freq=freq_t, **kw) if index_cols else {}
-        nominal = {}
+        jobs = {}
+        if index_cols:
+            jobs["freq"] = lambda: fit_frequency(df, index_cols, "index", by=by, freq=freq_t, **kw)
         if cover_cols:
-            nominal = fit_frequency(df, cover_cols, "coverage", config.nominal_coverage, by=by,
-                                    freq=freq_t, **kw)
-        numeric = fit_numeric(df, config.numeric, config.numeric_trim, by=by, hist=hist_t) if config.numeric else {}
+            jobs["nominal"] = lambda: fit_frequency(df, cover_cols, "coverage", config.nominal_coverage,
+                                                    by=by, freq=freq_t, **kw)
+        if config.numeric:
+            jobs["numeric"] = lambda: fit_numeric(df, config.numeric, config.numeric_trim, by=by, hist=hist_t)
+        # the fits are independent chains of small jobs on the kept counts:
+        # submit them from separate driver threads so their jobs overlap
+        with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+            futures = {k: pool.submit(fn) for k, fn in jobs.items()}
+            done = {k: f.result() for k, f in futures.items()}
+        freq, nominal, numeric = done.get("freq", {}), done.get("nominal", {}), done.get("numeric", {})
         counts.unpersist()
         return cls(config, by, freq, nominal, numeric)
 

@@ -95,9 +95,10 @@ def fit_frequency(
     n_rows = sum(u for _, u in stat.values())
 
     kw = {} if single_task_rows is None else {"single_task_rows": single_task_rows}
+    temps: list[DataFrame] = []
     ranked = rank_and_cumsum(
         freq, keys, [F.col("k").desc(), F.col("v").asc()],
-        sum_col="k" if kind == "coverage" else None, n_rows=n_rows, **kw,
+        sum_col="k" if kind == "coverage" else None, n_rows=n_rows, kept=temps, **kw,
     )
 
     groups = sorted({g for g, _ in stat} | ({()} if not by else set()), key=repr)
@@ -166,6 +167,8 @@ def fit_frequency(
             specs[(g, c)].lookup = table.where(m).select(*by, "v", "b", "rank")
     if own:
         freq.unpersist()
+    for t in temps:
+        t.unpersist()
     return specs
 
 

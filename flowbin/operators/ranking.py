@@ -37,11 +37,14 @@ def rank_and_cumsum(
     cum_col: str = "cum",
     n_rows: int | None = None,
     single_task_rows: int = SINGLE_TASK_ROWS,
+    kept: list | None = None,
 ) -> DataFrame:
     """Add a 1-based ``rank_col`` (and inclusive running sum of ``sum_col``).
 
     ``order_cols`` must be a strict total order inside each ``part_cols``
-    group (callers add the value as the last tie-break).
+    group (callers add the value as the last tie-break).  The range-partitioned
+    copy the large path keeps (its partition ids must not change between the
+    two reads) is appended to ``kept`` so the caller can release it.
     """
     if n_rows is None:
         n_rows = df.count()
@@ -59,6 +62,8 @@ def rank_and_cumsum(
         df.repartitionByRange(n_parts, *[F.col(c) for c in part_cols], *order_cols)
         .withColumn("_pid", F.spark_partition_id())
     )
+    if kept is not None:
+        kept.append(ranged)
     aggs = [F.count(F.lit(1)).alias("_n")]
     if sum_col is not None:
         aggs.append(F.sum(sum_col).alias("_s"))

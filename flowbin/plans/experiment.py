@@ -21,7 +21,7 @@ from flowbin.operators.models import PREFIX_SIZES, assemble, feature_columns, fi
 from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
 from flowbin.operators.split import hash_split, random_split, split_flag
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
-from flowbin.session import ensure_parallelism, force, materialize
+from flowbin.session import ensure_parallelism, materialize
 from flowbin.sources.results import append_results, results_frame
 
 
@@ -99,5 +99,3 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
         append_results(res, results_path)
     return res
 
-
-__all__ = ["feature_distinct_counts", "prepare", "run_experiment", "force"]
