@@ -1,0 +1,55 @@
+"""SQL text for fitted literals.
+
+Fitted bins are long ``CASE`` chains over literals.  Built through the Column
+API every ``when``/``lit`` is a round trip to the JVM; as SQL text a whole
+chain is one ``F.expr`` parse.  Literals are rendered exactly: doubles with
+the ``D`` suffix from their shortest round-trip form, strings quoted when
+they hold only plain characters and otherwise decoded from hex, so no value
+can break the text.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+
+_PLAIN = re.compile(r"[A-Za-z0-9 _.:,;/@#+=()\[\]{}<>!?*&^%$|~-]*")
+
+
+def ident(name: str) -> str:
+    """A quoted column name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(v) -> str:
+    """An exact SQL literal for a Python scalar."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L" if not -2**31 <= v < 2**31 else str(v)
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
+        if math.isinf(v):
+            return "CAST('Infinity' AS DOUBLE)" if v > 0 else "CAST('-Infinity' AS DOUBLE)"
+        return repr(v) + "D"
+    if isinstance(v, str):
+        if _PLAIN.fullmatch(v):
+            return "'" + v + "'"
+        return f"CAST(unhex('{v.encode('utf-8').hex()}') AS STRING)"
+    raise TypeError(f"no SQL literal for {type(v).__name__}")
+
+
+def by_case(by: list[str], per_group: dict[tuple, str]) -> str:
+    """The expression of the row's group (NULL for a group not fitted)."""
+    if not by:
+        return per_group[()]
+    if not per_group:
+        return "CAST(NULL AS INT)"
+    parts = []
+    for g, e in per_group.items():
+        cond = " AND ".join(f"{ident(b)} <=> {literal(gv)}" for b, gv in zip(by, g))
+        parts.append(f"WHEN {cond} THEN {e}")
+    return "CASE " + " ".join(parts) + " END"

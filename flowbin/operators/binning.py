@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbin.functions.classes import ip_class_of, ip_first_field, port_class_of, port_number
-from flowbin.operators.frequency import (
-    FrequencySpec, fit_frequency, inline_expr, lookup_join,
-)
-from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_expr
+from flowbin.functions.sqltext import by_case, ident
+from flowbin.operators.frequency import FrequencySpec, fit_frequency, inline_sql, lookup_join
+from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_sql
 from flowbin.session import materialize
 from flowbin.sources.schema import (
     BOOL_COLS, IP_COLS, NOMINAL_COLS, NUMERIC_COLS, PORT_COLS,
@@ -65,19 +64,6 @@ def value_counts(df: DataFrame, str_cols: list[str], num_cols: list[str],
     return long.where(keep).groupBy(*by, "cname", "v", "d").agg(F.count(F.lit(1)).alias("k"))
 
 
-def _by_case(by: list[str], per_group: dict[tuple, Column]) -> Column:
-    """Pick the expression of the row's group (null for a group not fitted)."""
-    if not by:
-        return per_group[()]
-    expr = None
-    for g, e in per_group.items():
-        cond = F.lit(True)
-        for b, gv in zip(by, g):
-            cond = cond & F.col(b).eqNullSafe(F.lit(gv))
-        expr = F.when(cond, e) if expr is None else expr.when(cond, e)
-    return expr if expr is not None else F.lit(None).cast("int")
-
-
 @dataclass
 class BinningModel:
     config: BinningConfig
@@ -148,6 +134,9 @@ class BinningModel:
         def h(c: str) -> Column:
             return F.col(f"_fb_h_{c}")
 
+        def hs(c: str) -> str:
+            return ident(f"_fb_h_{c}")
+
         exprs: dict[str, Column] = {}
         for c in cfg.ip:
             exprs[c] = ip_class_of(h(c))
@@ -157,22 +146,19 @@ class BinningModel:
         freq_cols += [(c, self.freq if cfg.nominal_mode == "index" else self.nominal) for c in cfg.nominal]
         for c, specs in freq_cols:
             per = self._groups(specs, c)
-            if any(s.lookup is not None for s in per.values()):
-                # wide column: one lookup join per group holding a lookup table
-                parts = {}
-                for g, s in per.items():
-                    if s.lookup is not None:
-                        tmp = f"_fb_{c}_{len(parts)}"
-                        out = lookup_join(out, s, h(c), tmp, by)
-                        parts[g] = F.col(tmp)
-                    else:
-                        parts[g] = inline_expr(s, h(c))
-                exprs[c] = _by_case(by, parts)
-            else:
-                exprs[c] = _by_case(by, {g: inline_expr(s, h(c)) for g, s in per.items()})
+            parts: dict[tuple, str] = {}
+            for g, s in per.items():
+                if s.lookup is not None:
+                    # wide column: a lookup join for this group
+                    tmp = f"_fb_{c}_{len(parts)}"
+                    out = lookup_join(out, s, h(c), tmp, by)
+                    parts[g] = ident(tmp)
+                else:
+                    parts[g] = inline_sql(s, hs(c))
+            exprs[c] = F.expr(by_case(by, parts))
         for c in cfg.numeric:
             per = self._groups(self.numeric, c)
-            exprs[c] = _by_case(by, {g: numeric_expr(s, h(c)) for g, s in per.items()})
+            exprs[c] = F.expr(by_case(by, {g: numeric_sql(s, hs(c)) for g, s in per.items()}))
 
         ordered = cfg.binned_columns()
         if replace:

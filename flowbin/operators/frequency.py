@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbin.functions.sqltext import ident, literal
 from flowbin.operators.ranking import rank_and_cumsum
 from flowbin.session import materialize
 
@@ -172,12 +173,16 @@ def fit_frequency(
     return specs
 
 
-def inline_expr(spec: FrequencySpec, value: Column) -> Column:
-    """Bin of ``value`` (already cast to string) for an inline spec."""
-    expr = F.when(value.isNull(), F.lit(spec.null_value))
-    for v, b in spec.entries or []:
-        expr = expr.when(value == F.lit(v), F.lit(b))
-    return expr.otherwise(F.lit(spec.other_value)).cast("int")
+def inline_sql(spec: FrequencySpec, ref: str) -> str:
+    """SQL text of the bin of ``ref`` (a string-valued expression) for an inline spec."""
+    parts = [f"WHEN {ref} IS NULL THEN {spec.null_value}"]
+    parts += [f"WHEN {ref} = {literal(v)} THEN {b}" for v, b in spec.entries or []]
+    return "CAST(CASE " + " ".join(parts) + f" ELSE {spec.other_value} END AS INT)"
+
+
+def inline_expr(spec: FrequencySpec, column: str) -> Column:
+    """Bin of the string-valued column ``column`` for an inline spec."""
+    return F.expr(inline_sql(spec, ident(column)))
 
 
 def lookup_join(df: DataFrame, spec: FrequencySpec, value: Column, out_col: str,

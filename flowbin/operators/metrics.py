@@ -32,7 +32,11 @@ def _safe_div(num: Column, den: Column) -> Column:
 def class_metrics(pred: DataFrame, positive: float = 1.0, label_col: str = "label_bin",
                   pred_col: str = "prediction", digits: int | None = None) -> DataFrame:
     """One row: n, accuracy, precision, recall, f_measure, true_positive, false_positive, auc_hard."""
-    cm = confusion(pred, label_col, pred_col)
+    return metrics_from_confusion(confusion(pred, label_col, pred_col), positive, digits)
+
+
+def metrics_from_confusion(cm: DataFrame, positive: float = 1.0, digits: int | None = None) -> DataFrame:
+    """All metrics from a confusion table (label, prediction, n)."""
     p = F.lit(float(positive))
     is_l, is_p = F.col("label") == p, F.col("prediction") == p
     n = F.col("n")

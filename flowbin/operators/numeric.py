@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbin.functions.sqltext import ident, literal
 from flowbin.session import materialize
 
 #: Largest number of histogram rows one selection window may number.
@@ -331,11 +332,16 @@ def fit_numeric(
     return specs
 
 
-def numeric_expr(spec: NumericSpec, x: Column) -> Column:
-    """Bin: null 0, NaN one past the last bucket, else 1 + edges <= x."""
-    x = x.cast("double")
+def numeric_sql(spec: NumericSpec, ref: str) -> str:
+    """SQL text of the bin of ``ref`` (a double expression): null 0, NaN one
+    past the last bucket, else 1 + the number of edges <= value."""
     n = len(spec.edges)
-    expr = F.when(x.isNull(), F.lit(0)).when(F.isnan(x), F.lit(n + 2))
+    parts = [f"WHEN {ref} IS NULL THEN 0", f"WHEN isnan({ref}) THEN {n + 2}"]
     for i in range(n - 1, -1, -1):
-        expr = expr.when(x >= F.lit(spec.edges[i]), F.lit(i + 2))
-    return expr.otherwise(F.lit(1)).cast("int")
+        parts.append(f"WHEN {ref} >= {literal(float(spec.edges[i]))} THEN {i + 2}")
+    return "CAST(CASE " + " ".join(parts) + " ELSE 1 END AS INT)"
+
+
+def numeric_expr(spec: NumericSpec, column: str) -> Column:
+    """Bin of the numeric column ``column``."""
+    return F.expr(numeric_sql(spec, f"CAST({ident(column)} AS DOUBLE)"))

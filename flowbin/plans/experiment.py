@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbin.operators.binning import BinningConfig, BinningModel
-from flowbin.operators.metrics import class_metrics, confusion, confusion_matrix
+from flowbin.operators.metrics import confusion_matrix, metrics_from_confusion
 from flowbin.operators.models import PREFIX_SIZES, assemble, feature_columns, fit_predict
 from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
 from flowbin.operators.split import hash_split, random_split, split_flag
@@ -25,8 +25,16 @@ from flowbin.session import ensure_parallelism, materialize
 from flowbin.sources.results import append_results, results_frame
 
 
-def feature_distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row: the number of distinct values of each column (one job)."""
+def feature_distinct_counts(df: DataFrame, cols: list[str], approx: bool = False,
+                            rsd: float = 0.01) -> DataFrame:
+    """One row: the number of distinct values of each column (one job).
+
+    Exact counts expand each row once per column before the partial
+    aggregate; ``approx=True`` uses HyperLogLog++ sketches (one pass, fixed
+    memory) with relative standard deviation ``rsd``.
+    """
+    if approx:
+        return df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in cols])
     return df.agg(*[F.count_distinct(c).alias(c) for c in cols])
 
 
@@ -84,9 +92,10 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
             train, test = hash_split(feats) if split == "hash" else random_split(feats)
             for kind in models:
                 params = (model_params or {}).get(kind, {})
-                _, pred, t_train, t_test = fit_predict(kind, train, test, **params)
-                m = class_metrics(pred).first()
-                cm = confusion_matrix(confusion(pred).collect())
+                _, _, cm_df, t_train, t_test = fit_predict(kind, train, test, **params)
+                m = metrics_from_confusion(cm_df).first()
+                cm = confusion_matrix(cm_df.collect())  # classes^2 rows
+                cm_df.unpersist()
                 rows.append((
                     start, dataset, task, kind, float(attack_pct) if binary else None, len(cols), cols, cm,
                     m["accuracy"], m["precision"], m["recall"], m["f_measure"],

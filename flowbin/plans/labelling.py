@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbin.functions.labels import binary_label
-from flowbin.operators.frequency import fit_frequency, inline_expr, lookup_join
-from flowbin.operators.binning import _by_case
+from flowbin.functions.sqltext import by_case, ident
+from flowbin.operators.frequency import fit_frequency, inline_sql, lookup_join
 from flowbin.sources.schema import BENIGN, LABEL_COL
 
 
@@ -23,16 +23,16 @@ def add_multiclass_label(df: DataFrame, label_col: str = LABEL_COL, by: list[str
     null label 0.0; adds ``<label>_bin`` (int) and ``out`` (double)."""
     by = by or []
     specs = fit_frequency(df, [label_col], "coverage", 1.0, by=by)
-    value = F.col(label_col).cast("string")
-    res = df
-    parts = {}
+    value = "_fb_lbl_v"
+    res = df.withColumn(value, F.col(label_col).cast("string"))
+    parts: dict[tuple, str] = {}
     for (g, _), s in specs.items():
         if s.lookup is not None:
             tmp = f"_fb_lbl_{len(parts)}"
-            res = lookup_join(res, s, value, tmp, by)
-            parts[g] = F.col(tmp)
+            res = lookup_join(res, s, F.col(value), tmp, by)
+            parts[g] = ident(tmp)
         else:
-            parts[g] = inline_expr(s, value)
-    res = res.withColumn(label_col + "_bin", _by_case(by, parts))
+            parts[g] = inline_sql(s, ident(value))
+    res = res.withColumn(label_col + "_bin", F.expr(by_case(by, parts)))
     res = res.drop(*[c for c in res.columns if c.startswith("_fb_lbl_")])
     return res.withColumn(out, F.col(label_col + "_bin").cast("double"))

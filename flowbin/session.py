@@ -64,8 +64,12 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     can be recomputed from lineage.  Never a local checkpoint.
     """
     spark = df.sparkSession
-    if checkpoint_dir(spark):
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    d = checkpoint_dir(spark)
+    if d:
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:  # pragma: no cover - sessions without a SparkContext
+            pass
         return df.checkpoint(eager=eager)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     if eager:
@@ -92,7 +96,11 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     shuffle for them; it only matters before reuse-heavy steps (caching a
     table that many model fits read).
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
+        return df
+    if have < want:
         return df.repartition(want)
     return df

@@ -31,7 +31,7 @@ def test_stddev_constant_column(spark):
     spec = m.numeric[((), "x")]
     assert spec.edges == [7.0] and spec.sd == 0.0
     df = spark.createDataFrame([(6.9,), (None,), (float("nan"),)], "x double")
-    assert [r["b"] for r in df.select(numeric_expr(spec, F.col("x")).alias("b")).collect()] == [1, 0, 3]
+    assert [r["b"] for r in df.select(numeric_expr(spec, "x").alias("b")).collect()] == [1, 0, 3]
 
 
 def test_stddev_nan_with_six_buckets(spark):
@@ -39,7 +39,7 @@ def test_stddev_nan_with_six_buckets(spark):
     spec = m.numeric[((), "x")]
     assert len(spec.edges) == 5
     df = spark.createDataFrame([(float("nan"),)], "x double")
-    assert df.select(numeric_expr(spec, F.col("x")).alias("b")).first()["b"] == 7
+    assert df.select(numeric_expr(spec, "x").alias("b")).first()["b"] == 7
 
 
 def test_trim_keeps_rows_2_to_98(spark):
@@ -132,7 +132,7 @@ def test_lookup_join_paths_match_inline(spark, flow001):
     wide = fit_frequency(flow001, ["history"], "index", inline_max=3)[((), "history")]
     assert base.entries and wide.lookup is not None
     value = F.col("history").cast("string")
-    ref = flow001.select("uid", inline_expr(base, value).alias("a"))
+    ref = flow001.select("uid", inline_expr(base, "history").alias("a"))
     for bmax in (1000, 5):  # all broadcast / hot-broadcast + shuffled tail
         got = lookup_join(flow001.select("uid", "history"), wide, value, "b", [], broadcast_max=bmax)
         j = ref.join(got.select("uid", "b"), "uid")

@@ -89,3 +89,14 @@ def test_fit_bins_on_train(spark, flow001):
     assert binned_all.count() == binned_tr.count()
     key = (("Reconnaissance",), "duration")
     assert m_tr.numeric[key].n_rows < m_all.numeric[key].n_rows
+
+
+def test_distinct_counts_exact_and_approx(spark, flow001):
+    from flowbin.plans.experiment import feature_distinct_counts
+
+    cols = ["protocol", "history", "orig_pkts"]
+    exact = feature_distinct_counts(flow001, cols).first()
+    approx = feature_distinct_counts(flow001, cols, approx=True).first()
+    for c in cols:
+        assert exact[c] == flow001.select(c).where(F.col(c).isNotNull()).distinct().count()
+        assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
