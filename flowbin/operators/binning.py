@@ -41,6 +41,9 @@ class BinningConfig:
     nominal_mode: str = "index"
     nominal_coverage: float = 0.98
     numeric_trim: float = 0.02
+    #: extra top-coverage ranks fitted from the same counts but not features,
+    #: ``{column: coverage}`` (the multi-class label is ``{"label_multi": 1.0}``)
+    extra_coverage: dict[str, float] = field(default_factory=dict)
 
     def binned_columns(self) -> list[str]:
         return self.ip + self.port + self.boolean + self.nominal + self.numeric
@@ -71,6 +74,7 @@ class BinningModel:
     freq: dict[tuple, FrequencySpec]
     nominal: dict[tuple, FrequencySpec]
     numeric: dict[tuple, NumericSpec]
+    extra: dict[tuple, FrequencySpec] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, config: BinningConfig | None = None,
@@ -79,8 +83,9 @@ class BinningModel:
         by = list(by or [])
         index_cols = config.boolean + (config.nominal if config.nominal_mode == "index" else [])
         cover_cols = config.nominal if config.nominal_mode == "coverage" else []
+        extra_cols = [c for c in config.extra_coverage if c not in index_cols + cover_cols]
         # one scan and one shuffle count every value of every binned column
-        counts = materialize(value_counts(df, index_cols + cover_cols, config.numeric, by))
+        counts = materialize(value_counts(df, index_cols + cover_cols + extra_cols, config.numeric, by))
         if by:
             n_groups = counts.select(*by).distinct().limit(MAX_GROUPS + 1).count()
             if n_groups > MAX_GROUPS:
@@ -98,14 +103,19 @@ class BinningModel:
                                                     by=by, freq=freq_t, **kw)
         if config.numeric:
             jobs["numeric"] = lambda: fit_numeric(df, config.numeric, config.numeric_trim, by=by, hist=hist_t)
+        for i, pct in enumerate(sorted(set(config.extra_coverage.values()))):
+            cols = [c for c, p in config.extra_coverage.items() if p == pct]
+            jobs[f"extra{i}"] = (lambda cols=cols, pct=pct:
+                                 fit_frequency(df, cols, "coverage", pct, by=by, freq=freq_t, **kw))
         # the fits are independent chains of small jobs on the kept counts:
         # submit them from separate driver threads so their jobs overlap
         with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
             futures = {k: pool.submit(fn) for k, fn in jobs.items()}
             done = {k: f.result() for k, f in futures.items()}
         freq, nominal, numeric = done.get("freq", {}), done.get("nominal", {}), done.get("numeric", {})
+        extra = {k: v for name, d in done.items() if name.startswith("extra") for k, v in d.items()}
         counts.unpersist()
-        return cls(config, by, freq, nominal, numeric)
+        return cls(config, by, freq, nominal, numeric, extra)
 
     def _groups(self, specs: dict[tuple, object], col: str) -> dict[tuple, object]:
         return {g: s for (g, c), s in specs.items() if c == col}
@@ -159,17 +169,31 @@ class BinningModel:
         for c in cfg.numeric:
             per = self._groups(self.numeric, c)
             exprs[c] = F.expr(by_case(by, {g: numeric_sql(s, hs(c)) for g, s in per.items()}))
+        extra: dict[str, Column] = {}
+        for c in cfg.extra_coverage:
+            value = F.col(c).cast("string")
+            parts = {}
+            for g, s in self._groups(self.extra, c).items():
+                if s.lookup is not None:
+                    tmp = f"_fb_x_{c}_{len(parts)}"
+                    out = lookup_join(out, s, value, tmp, by)
+                    parts[g] = ident(tmp)
+                else:
+                    parts[g] = inline_sql(s, f"CAST({ident(c)} AS STRING)")
+            extra[c + BIN_SUFFIX] = F.expr(by_case(by, parts))
 
         ordered = cfg.binned_columns()
         if replace:
             keep = [F.col(c) for c in df.columns if c not in set(ordered)]
-            return out.select(*keep, *[exprs[c].alias(c) for c in ordered])
+            return out.select(*keep, *[exprs[c].alias(c) for c in ordered],
+                              *[e.alias(n) for n, e in extra.items()])
         # frequency-indexed sources are left cast to string, as the indexer input
         cast = {c: h(c) for c in cfg.boolean}
         if cfg.nominal_mode == "index":
             cast.update({c: h(c) for c in cfg.nominal})
         base = [cast.get(c, F.col(c)).alias(c) for c in df.columns]
-        return out.select(*base, *[exprs[c].alias(c + BIN_SUFFIX) for c in ordered])
+        return out.select(*base, *[exprs[c].alias(c + BIN_SUFFIX) for c in ordered],
+                          *[e.alias(n) for n, e in extra.items()])
 
     def feature_names(self) -> list[str]:
         return [c + BIN_SUFFIX for c in self.config.binned_columns()]

@@ -8,6 +8,7 @@ a short, parameter-bounded list.
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import time
 from collections.abc import Sequence
@@ -22,6 +23,7 @@ from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
 from flowbin.operators.split import hash_split, random_split, split_flag
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
 from flowbin.session import ensure_parallelism, materialize
+from flowbin.sources.schema import LABEL_COL
 from flowbin.sources.results import append_results, results_frame
 
 
@@ -58,12 +60,23 @@ def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
     kept = sorted(r["task"] for r in sizes if r["n"] >= min_rows)
     gated = tasks.where(F.col("task").isin(kept))
     t0 = time.perf_counter()
-    labelled = add_binary_label(gated) if binary else add_multiclass_label(gated, by=["task"])
     if fit_bins_on not in ("all", "train"):
         raise ValueError(f"fit_bins_on must be 'all' or 'train', not {fit_bins_on!r}")
+    config = config or BinningConfig()
+    if binary:
+        labelled = add_binary_label(gated)
+    elif fit_bins_on == "all":
+        # the multi-class label rank comes from the binning model's own counts
+        config = dataclasses.replace(config, extra_coverage={**config.extra_coverage, LABEL_COL: 1.0})
+        labelled = gated
+    else:
+        labelled = add_multiclass_label(gated, by=["task"])
     fit_rows = labelled if fit_bins_on == "all" else labelled.where(split_flag(train_share) == "train")
     model = BinningModel.fit(fit_rows, config, by=["task"])
-    binned = materialize(model.transform(labelled))
+    binned = model.transform(labelled)
+    if not binary and fit_bins_on == "all":
+        binned = binned.withColumn("label_bin", F.col(LABEL_COL + "_bin").cast("double"))
+    binned = materialize(binned)
     tasks.unpersist()
     return binned, model, time.perf_counter() - t0
 

@@ -100,3 +100,15 @@ def test_distinct_counts_exact_and_approx(spark, flow001):
     for c in cols:
         assert exact[c] == flow001.select(c).where(F.col(c).isNotNull()).distinct().count()
         assert abs(approx[c] - exact[c]) <= max(2, 0.05 * exact[c])
+
+
+def test_folded_multiclass_label_equals_labeller(spark, flow001):
+    from flowbin.plans.experiment import prepare
+    from flowbin.plans.labelling import add_multiclass_label
+    from flowbin.operators.rebalance import make_tasks
+
+    binned, _, _ = prepare(flow001, binary=False)
+    ref = add_multiclass_label(make_tasks(flow001, binary=False), by=["task"])
+    j = binned.select("uid", "label_bin").join(ref.select("uid", F.col("label_bin").alias("r")), "uid")
+    assert j.count() == flow001.count()
+    assert j.where(F.col("label_bin") != F.col("r")).count() == 0
