@@ -110,7 +110,7 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
                 cm = confusion_matrix(cm_df.collect())  # classes^2 rows
                 cm_df.unpersist()
                 rows.append((
-                    start, dataset, task, kind, float(attack_pct) if binary else None, len(cols), cols, cm,
+                    start, dataset, task, kind, float(attack_pct), len(cols), cols, cm,
                     m["accuracy"], m["precision"], m["recall"], m["f_measure"],
                     m["auc_hard"] if (binary or kind == "gbt") else None,
                     m["true_positive"], m["false_positive"], bin_time, t_train, t_test,
