@@ -50,9 +50,9 @@ def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
     the reference does (test rows leak into the edges); ``"train"`` fits them
     on the rows the hash split will put in the training set.
 
-    The task table is kept once (spread over all cores when it is smaller
-    than that) because the gate, the label fit, the binning fit and the
-    transform all read it.
+    The task table is kept once because the gate, the binning fit (with the
+    multi-class label) and the transform all read it.  It has the partitions
+    of the flow scan (sources spread a scan with fewer splits than cores).
     """
     tasks = materialize(ensure_parallelism(
         make_tasks(flows, binary, attack_pct, num_top_labels, tactics, sampler=sampler)))

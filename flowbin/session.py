@@ -93,10 +93,14 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     parallelism) when it has fewer, e.g. one small file read as one split.
 
     Large inputs already have more partitions than cores, so this adds no
-    shuffle for them; it only matters before reuse-heavy steps (caching a
-    table that many model fits read).
+    shuffle for them.  Only plans without an exchange are inspected: their
+    partition count is known from planning alone, whereas asking an adaptive
+    plan with shuffles for its RDD would run those shuffles.
     """
     try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Exchange" in plan:
+            return df
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is

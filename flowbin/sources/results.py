@@ -46,11 +46,13 @@ def append_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", infer: bool = False) -> DataFrame:
     """Scan raw flow files.  CSV uses the explicit flow schema unless ``infer``
-    (inference costs a full extra pass over the text)."""
+    (inference costs a full extra pass over the text).  A scan with fewer
+    splits than cores is spread over them (see ``ensure_parallelism``)."""
+    from flowbin.session import ensure_parallelism
     from flowbin.sources.schema import FLOW_RAW
 
     if fmt == "csv":
         r = spark.read.option("header", True)
         r = r.option("inferSchema", True) if infer else r.schema(FLOW_RAW)
-        return r.csv(path)
-    return spark.read.format(fmt).load(path)
+        return ensure_parallelism(r.csv(path))
+    return ensure_parallelism(spark.read.format(fmt).load(path))
