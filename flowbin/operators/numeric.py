@@ -160,7 +160,7 @@ def select_ranks(
                         st["base"] = acc
                         break
                     acc += s
-        pending = [i for i in narrow]
+        pending = list(narrow)
     return {(state[i]["g"], state[i]["c"], state[i]["r"]): result[i] for i in result}
 
 
