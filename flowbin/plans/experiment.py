@@ -23,7 +23,7 @@ from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
 from flowbin.operators.split import hash_split, random_split, split_flag
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
 from flowbin.session import ensure_parallelism, materialize
-from flowbin.sources.schema import LABEL_COL
+from flowbin.sources.schema import ID_COL, LABEL_COL
 from flowbin.sources.results import append_results, results_frame
 
 
@@ -50,12 +50,16 @@ def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
     the reference does (test rows leak into the edges); ``"train"`` fits them
     on the rows the hash split will put in the training set.
 
-    The task table is kept once because the gate, the binning fit (with the
-    multi-class label) and the transform all read it.  It has the partitions
-    of the flow scan (sources spread a scan with fewer splits than cores).
+    The task table is not kept: rebalancing is map-only and the hash sample
+    is fixed per row, so each pass (gate sizes, binning fit) re-derives it
+    from the flow scan and Catalyst reads only the columns that pass needs.
+    Only a Bernoulli sample, whose draws must not change between passes, is
+    kept.  What is kept is the narrow binned table the model fits read many
+    times: task, id, labels and the int bins.
     """
-    tasks = materialize(ensure_parallelism(
-        make_tasks(flows, binary, attack_pct, num_top_labels, tactics, sampler=sampler)))
+    tasks = make_tasks(flows, binary, attack_pct, num_top_labels, tactics, sampler=sampler)
+    if sampler == "bernoulli":
+        tasks = materialize(tasks)
     sizes = tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per task
     kept = sorted(r["task"] for r in sizes if r["n"] >= min_rows)
     gated = tasks.where(F.col("task").isin(kept))
@@ -76,8 +80,11 @@ def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
     binned = model.transform(labelled)
     if not binary and fit_bins_on == "all":
         binned = binned.withColumn("label_bin", F.col(LABEL_COL + "_bin").cast("double"))
-    binned = materialize(binned)
-    tasks.unpersist()
+    label_cols = [c for c in (LABEL_COL, LABEL_COL + "_bin", "label_bin") if c in binned.columns]
+    narrow = binned.select("task", ID_COL, *label_cols, *model.feature_names())
+    binned = materialize(ensure_parallelism(narrow))
+    if sampler == "bernoulli":
+        tasks.unpersist()
     return binned, model, time.perf_counter() - t0
 
 
