@@ -21,9 +21,10 @@ def hash_split(df: DataFrame, train_share: float = 0.7, id_col: str = ID_COL) ->
     """Deterministic split on the id: same rows whatever the partitioning.
 
     Copies of a row (replicated benign rows) share their id and so their side.
+    A row without an id goes to the test side, so no row is lost.
     """
-    u = hash_unit(id_col, SPLIT_HASH_PART)
-    return df.where(u < F.lit(float(train_share))), df.where(u >= F.lit(float(train_share)))
+    in_train = F.coalesce(hash_unit(id_col, SPLIT_HASH_PART) < F.lit(float(train_share)), F.lit(False))
+    return df.where(in_train), df.where(~in_train)
 
 
 def random_split(df: DataFrame, train_share: float = 0.7, seed: int = 2057) -> tuple[DataFrame, DataFrame]:

@@ -84,3 +84,10 @@ def test_bernoulli_sampler_share(flow001):
         p = plan[r["task"]]
         expected = p["quota"]
         assert abs(r["n"] - expected) < 5 * max(1.0, expected ** 0.5)
+
+
+def test_hash_split_keeps_rows_without_id(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "uid string")
+    train, test = hash_split(df)
+    assert train.count() + test.count() == 3
+    assert test.where(F.col("uid").isNull()).count() == 1
