@@ -19,7 +19,7 @@ from flowbin.functions.classes import ip_class_of, ip_first_field, port_class_of
 from flowbin.functions.sqltext import by_case, ident
 from flowbin.operators.frequency import FrequencySpec, fit_frequency, inline_sql, lookup_join
 from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_sql
-from flowbin.session import materialize
+from flowbin.session import keep
 from flowbin.sources.schema import (
     BOOL_COLS, IP_COLS, NOMINAL_COLS, NUMERIC_COLS, PORT_COLS,
 )
@@ -85,7 +85,7 @@ class BinningModel:
         cover_cols = config.nominal if config.nominal_mode == "coverage" else []
         extra_cols = [c for c in config.extra_coverage if c not in index_cols + cover_cols]
         # one scan and one shuffle count every value of every binned column
-        counts = materialize(value_counts(df, index_cols + cover_cols + extra_cols, config.numeric, by))
+        counts = keep(value_counts(df, index_cols + cover_cols + extra_cols, config.numeric, by))
         if by:
             n_groups = counts.select(*by).distinct().limit(MAX_GROUPS + 1).count()
             if n_groups > MAX_GROUPS:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from flowbin.functions.sqltext import ident, literal
 from flowbin.operators.ranking import rank_and_cumsum
-from flowbin.session import materialize
+from flowbin.session import keep, materialize
 
 INLINE_MAX = 512
 BROADCAST_MAX = 1_000_000
@@ -85,7 +85,7 @@ def fit_frequency(
     spark = df.sparkSession
     own = freq is None
     if own:
-        freq = materialize(frequency_table(df, cols, by))
+        freq = keep(frequency_table(df, cols, by))
     else:
         freq = freq.where(F.col("cname").isin(cols))
     keys = by + ["cname"]

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 
 from flowbin.operators.metrics import confusion
-from flowbin.session import materialize
+from flowbin.session import keep
 
 #: The 18 bins ranked for the feature-prefix ablation, and the prefix sizes.
 FEATURE_RANKING = (
@@ -60,6 +60,6 @@ def fit_predict(kind: str, train: DataFrame, test: DataFrame, label_col: str = "
     model = est.fit(train)
     t1 = time.perf_counter()
     pred = model.transform(test)
-    cm = materialize(confusion(pred, label_col, "prediction"))
+    cm = keep(confusion(pred, label_col, "prediction"))
     t2 = time.perf_counter()
     return model, pred, cm, t1 - t0, t2 - t1

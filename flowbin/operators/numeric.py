@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbin.functions.sqltext import ident, literal
-from flowbin.session import materialize
+from flowbin.session import keep
 
 #: Largest number of histogram rows one selection window may number.
 FINAL_ROWS = 1_000_000
@@ -226,7 +226,7 @@ def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None):
     by_fields = [df.schema[b] for b in by]
     keys = by + ["cname"]
     if hist is None:
-        hist = materialize(histogram(df, cols, by))
+        hist = keep(histogram(df, cols, by))
     else:
         hist = hist.where(F.col("cname").isin(cols))
 

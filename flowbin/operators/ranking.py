@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowbin.session import materialize
+from flowbin.session import keep
 
 #: Largest number of rows one window task may sort in the single-window path.
 SINGLE_TASK_ROWS = 1_000_000
@@ -58,7 +58,7 @@ def rank_and_cumsum(
         return out
 
     n_parts = max(2, math.ceil(n_rows / single_task_rows) * 2)
-    ranged = materialize(
+    ranged = keep(
         df.repartitionByRange(n_parts, *[F.col(c) for c in part_cols], *order_cols)
         .withColumn("_pid", F.spark_partition_id())
     )

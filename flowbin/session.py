@@ -77,6 +77,21 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     return kept
 
 
+def keep(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cache a short-lived intermediate (memory and disk).
+
+    For small, short-lineage tables (value counts, confusion tables) that a
+    few jobs of one fit read: a lost partition is recomputed from its short
+    lineage, so writing them to the shared folder would only add I/O.
+    Tables that live long or feed many later jobs go through
+    :func:`materialize`.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if eager:
+        kept.count()
+    return kept
+
+
 def shared_scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (else the warehouse)."""
     base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
