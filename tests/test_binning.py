@@ -160,3 +160,11 @@ def test_full_bin_plan_has_no_python_and_no_single_partition(spark, flow001):
     assert "SinglePartition" not in plan
     hist_plan = histogram(flow001, NUMERIC_COLS)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in hist_plan
+
+
+def test_numeric_one_row_and_all_null_columns(spark):
+    got, m = bins_of(spark, [None, 5.0, None], numeric=["x"])
+    spec = m.numeric[((), "x")]
+    assert spec.sd == 0.0 and spec.edges == [5.0] and got == [0, 2, 0]
+    got, m = bins_of(spark, [None, None], numeric=["x"])
+    assert m.numeric[((), "x")].edges == [] and got == [0, 0]
