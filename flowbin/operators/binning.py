@@ -86,27 +86,36 @@ class BinningModel:
         extra_cols = [c for c in config.extra_coverage if c not in index_cols + cover_cols]
         # one scan and one shuffle count every value of every binned column
         counts = keep(value_counts(df, index_cols + cover_cols + extra_cols, config.numeric, by))
-        if by:
-            n_groups = counts.select(*by).distinct().limit(MAX_GROUPS + 1).count()
-            if n_groups > MAX_GROUPS:
-                counts.unpersist()
-                raise ValueError(
-                    f"fit by {by}: more than {MAX_GROUPS} groups; per-group specs are inlined as "
-                    "CASE branches, meant for a few tasks - fit per group subset instead")
+        # rows and distinct values per (group, column): one small job serves the
+        # group guard and both fits; the limit keeps it bounded when a
+        # grouping column has too many values
+        n_cols = len(index_cols + cover_cols + extra_cols + config.numeric)
+        tot_rows = (counts.groupBy(*by, "cname")
+                    .agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("u"))
+                    .limit((MAX_GROUPS + 1) * max(n_cols, 1)).collect())
+        totals = {(tuple(r[b] for b in by), r["cname"]): (int(r["n"]), int(r["u"])) for r in tot_rows}
+        if by and len({g for g, _ in totals}) > MAX_GROUPS:
+            counts.unpersist()
+            raise ValueError(
+                f"fit by {by}: more than {MAX_GROUPS} groups; per-group specs are inlined as "
+                "CASE branches, meant for a few tasks - fit per group subset instead")
         freq_t = counts.where(F.col("v").isNotNull()).select(*by, "cname", "v", "k")
         hist_t = counts.where(F.col("d").isNotNull()).select(*by, "cname", F.col("d").alias("v"), "k")
         jobs = {}
         if index_cols:
-            jobs["freq"] = lambda: fit_frequency(df, index_cols, "index", by=by, freq=freq_t, **kw)
+            jobs["freq"] = lambda: fit_frequency(df, index_cols, "index", by=by, freq=freq_t,
+                                                 totals=totals, **kw)
         if cover_cols:
             jobs["nominal"] = lambda: fit_frequency(df, cover_cols, "coverage", config.nominal_coverage,
-                                                    by=by, freq=freq_t, **kw)
+                                                    by=by, freq=freq_t, totals=totals, **kw)
         if config.numeric:
-            jobs["numeric"] = lambda: fit_numeric(df, config.numeric, config.numeric_trim, by=by, hist=hist_t)
+            jobs["numeric"] = lambda: fit_numeric(df, config.numeric, config.numeric_trim, by=by,
+                                                  hist=hist_t, totals=totals)
         for i, pct in enumerate(sorted(set(config.extra_coverage.values()))):
             cols = [c for c, p in config.extra_coverage.items() if p == pct]
             jobs[f"extra{i}"] = (lambda cols=cols, pct=pct:
-                                 fit_frequency(df, cols, "coverage", pct, by=by, freq=freq_t, **kw))
+                                 fit_frequency(df, cols, "coverage", pct, by=by, freq=freq_t,
+                                               totals=totals, **kw))
         # the fits are independent chains of small jobs on the kept counts:
         # submit them from separate driver threads so their jobs overlap
         with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:

@@ -74,10 +74,12 @@ def fit_frequency(
     inline_max: int = INLINE_MAX,
     single_task_rows: int | None = None,
     freq: DataFrame | None = None,
+    totals: dict[tuple, tuple[int, int]] | None = None,
 ) -> dict[tuple, FrequencySpec]:
     """Fit one spec per (group, column); returns ``{(group, column): spec}``.
 
-    ``freq`` may hold a precomputed :func:`frequency_table` (kept by the caller).
+    ``freq`` may hold a precomputed :func:`frequency_table` (kept by the
+    caller) and ``totals`` its ``{(group, column): (rows, distinct values)}``.
     """
     if kind not in ("index", "coverage"):
         raise ValueError(f"unknown frequency kind {kind!r}")
@@ -90,9 +92,12 @@ def fit_frequency(
         freq = freq.where(F.col("cname").isin(cols))
     keys = by + ["cname"]
 
-    # one row per (group, column): bounded by groups x columns
-    stats = freq.groupBy(*keys).agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("u")).collect()
-    stat = {(_group_key(r, by), r["cname"]): (int(r["tot"]), int(r["u"])) for r in stats}
+    if totals is None:
+        # one row per (group, column): bounded by groups x columns
+        rows = freq.groupBy(*keys).agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("u")).collect()
+        stat = {(_group_key(r, by), r["cname"]): (int(r["tot"]), int(r["u"])) for r in rows}
+    else:
+        stat = {key: v for key, v in totals.items() if key[1] in cols}
     n_rows = sum(u for _, u in stat.values())
 
     kw = {} if single_task_rows is None else {"single_task_rows": single_task_rows}

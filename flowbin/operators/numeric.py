@@ -220,7 +220,7 @@ def trim_stats(
     return _trim_stats(df, cols, trim, by, final_rows, n_cuts)[0]
 
 
-def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None):
+def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None, totals_known=None):
     by = by or []
     spark = df.sparkSession
     by_fields = [df.schema[b] for b in by]
@@ -230,11 +230,17 @@ def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None):
     else:
         hist = hist.where(F.col("cname").isin(cols))
 
-    totals = hist.groupBy(*keys).agg(F.sum("k").alias("n_rows"), F.count(F.lit(1)).alias("u"))
-    tot_rows = totals.collect()  # one row per (group, column)
-    n_of = {(tuple(r[b] for b in by), r["cname"]): int(r["n_rows"]) for r in tot_rows}
-    u_of = {(tuple(r[b] for b in by), r["cname"]): int(r["u"]) for r in tot_rows}
-    totals = totals.drop("u")
+    if totals_known is None:
+        tot_rows = hist.groupBy(*keys).agg(F.sum("k").alias("n_rows"), F.count(F.lit(1)).alias("u")).collect()
+        known = {(tuple(r[b] for b in by), r["cname"]): (int(r["n_rows"]), int(r["u"])) for r in tot_rows}
+    else:
+        known = {key: v for key, v in totals_known.items() if key[1] in cols}
+    # one row per (group, column)
+    n_of = {key: n for key, (n, _) in known.items()}
+    u_of = {key: u for key, (_, u) in known.items()}
+    tschema = T.StructType(by_fields + [T.StructField("cname", T.StringType()),
+                                        T.StructField("n_rows", T.LongType())])
+    totals = spark.createDataFrame([(*g, c, n) for (g, c), n in n_of.items()], tschema)
 
     bounds: dict[tuple, tuple[int, int]] = {}
     targets = []
@@ -304,15 +310,17 @@ def fit_numeric(
     final_rows: int = FINAL_ROWS,
     n_cuts: int = N_CUTS,
     hist: DataFrame | None = None,
+    totals: dict[tuple, tuple[int, int]] | None = None,
 ) -> dict[tuple, NumericSpec]:
     """Fit trimmed mean / sd / min and edges per (group, column).
 
-    ``hist`` may hold a precomputed :func:`histogram` (kept by the caller).
+    ``hist`` may hold a precomputed :func:`histogram` (kept by the caller)
+    and ``totals`` its ``{(group, column): (rows, distinct values)}``.
     """
     by = by or []
     specs: dict[tuple, NumericSpec] = {}
     own = hist is None
-    stats, hist = _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist)
+    stats, hist = _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist, totals)
     # one row per (group, column)
     for r in edges_frame(stats).collect():
         g = tuple(r[b] for b in by)
