@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowbin.functions.classes import ip_class_of, ip_first_field, port_class_of, port_number
 from flowbin.functions.sqltext import by_case, ident
-from flowbin.operators.frequency import FrequencySpec, fit_frequency, inline_sql, lookup_join
+from flowbin.operators.frequency import FrequencySpec, fit_frequency, inline_sql, lookup_join, lookup_sql
 from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_sql
 from flowbin.session import keep
 from flowbin.sources.schema import (
@@ -67,6 +67,21 @@ def value_counts(df: DataFrame, str_cols: list[str], num_cols: list[str],
     return long.where(keep).groupBy(*by, "cname", "v", "d").agg(F.count(F.lit(1)).alias("k"))
 
 
+def _frequency_bin(df: DataFrame, per: dict[tuple, FrequencySpec], value: Column, ref: str,
+                   joined: str, by: list[str]) -> tuple[DataFrame, str]:
+    """(frame, SQL text) of a frequency bin over all groups of one column.
+
+    Groups with inline specs become CASE branches; all groups that need a
+    lookup table share one join (the table is keyed by group and value).
+    """
+    wide = [s for s in per.values() if s.lookup is not None]
+    if wide:
+        df = lookup_join(df, wide[0].lookup, value, joined, by, max(s.n_entries for s in wide))
+    parts = {g: (lookup_sql(s, ref, ident(joined)) if s.lookup is not None else inline_sql(s, ref))
+             for g, s in per.items()}
+    return df, by_case(by, parts)
+
+
 @dataclass
 class BinningModel:
     config: BinningConfig
@@ -164,32 +179,16 @@ class BinningModel:
         freq_cols = [(c, self.freq) for c in cfg.boolean]
         freq_cols += [(c, self.freq if cfg.nominal_mode == "index" else self.nominal) for c in cfg.nominal]
         for c, specs in freq_cols:
-            per = self._groups(specs, c)
-            parts: dict[tuple, str] = {}
-            for g, s in per.items():
-                if s.lookup is not None:
-                    # wide column: a lookup join for this group
-                    tmp = f"_fb_{c}_{len(parts)}"
-                    out = lookup_join(out, s, h(c), tmp, by)
-                    parts[g] = ident(tmp)
-                else:
-                    parts[g] = inline_sql(s, hs(c))
-            exprs[c] = F.expr(by_case(by, parts))
+            out, text = _frequency_bin(out, self._groups(specs, c), h(c), hs(c), f"_fb_j_{c}", by)
+            exprs[c] = F.expr(text)
         for c in cfg.numeric:
             per = self._groups(self.numeric, c)
             exprs[c] = F.expr(by_case(by, {g: numeric_sql(s, hs(c)) for g, s in per.items()}))
         extra: dict[str, Column] = {}
         for c in cfg.extra_coverage:
-            value = F.col(c).cast("string")
-            parts = {}
-            for g, s in self._groups(self.extra, c).items():
-                if s.lookup is not None:
-                    tmp = f"_fb_x_{c}_{len(parts)}"
-                    out = lookup_join(out, s, value, tmp, by)
-                    parts[g] = ident(tmp)
-                else:
-                    parts[g] = inline_sql(s, f"CAST({ident(c)} AS STRING)")
-            extra[c + BIN_SUFFIX] = F.expr(by_case(by, parts))
+            out, text = _frequency_bin(out, self._groups(self.extra, c), F.col(c).cast("string"),
+                                       f"CAST({ident(c)} AS STRING)", f"_fb_x_{c}", by)
+            extra[c + BIN_SUFFIX] = F.expr(text)
 
         ordered = cfg.binned_columns()
         if replace:

@@ -9,10 +9,11 @@ A fitted :class:`FrequencySpec` is applied as
 
 * an inline ``CASE`` when it has at most ``INLINE_MAX`` entries (entries are
   ordered by descending frequency, so the common values match first), else
-* a join with a lookup table: broadcast for the ``BROADCAST_MAX`` most
-  frequent values, and a shuffle join for the rest, used only by rows the
-  broadcast side did not match.  Every value in that rest is rarer than the
-  ``BROADCAST_MAX``-th value, so no join key there can be hot.
+* a join with a lookup table (one per column, keyed by group and value):
+  broadcast for the ``BROADCAST_MAX`` most frequent values of each group,
+  and a shuffle join for the rest, used only by rows the broadcast side did
+  not match.  Every value in that rest is rarer than the ``BROADCAST_MAX``-th
+  value, so no join key there can be hot.
 """
 
 from __future__ import annotations
@@ -165,12 +166,18 @@ def fit_frequency(
     for k, rows in collected.items():
         specs[k].entries = [(v, b) for _, v, b in sorted(rows)]
     if big:
+        # one lookup table per column, holding the entries of all its wide groups
         table = materialize(entries)
-        for g, c in big:
-            m = F.col("cname") == c
-            for b, gv in zip(by, g):
-                m = m & F.col(b).eqNullSafe(F.lit(gv))
-            specs[(g, c)].lookup = table.where(m).select(*by, "v", "b", "rank")
+        for c in sorted({c for _, c in big}):
+            cond = F.lit(False)
+            for g, _ in [k for k in big if k[1] == c]:
+                m = F.lit(True)
+                for b, gv in zip(by, g):
+                    m = m & F.col(b).eqNullSafe(F.lit(gv))
+                cond = cond | m
+            col_table = table.where((F.col("cname") == c) & cond).select(*by, "v", "b", "rank")
+            for g, _ in [k for k in big if k[1] == c]:
+                specs[(g, c)].lookup = col_table
     if own:
         freq.unpersist()
     for t in temps:
@@ -190,41 +197,45 @@ def inline_expr(spec: FrequencySpec, column: str) -> Column:
     return F.expr(inline_sql(spec, ident(column)))
 
 
-def lookup_join(df: DataFrame, spec: FrequencySpec, value: Column, out_col: str,
-                by: list[str], broadcast_max: int = BROADCAST_MAX) -> DataFrame:
-    """Join ``df`` with a large spec's lookup table; adds ``out_col`` (int).
+def lookup_sql(spec: FrequencySpec, ref: str, joined: str) -> str:
+    """SQL text of the bin for a lookup spec: ``joined`` is the joined bin
+    column (null when the value is not in the table)."""
+    return (f"CAST(CASE WHEN {ref} IS NULL THEN {spec.null_value} "
+            f"ELSE coalesce({joined}, {spec.other_value}) END AS INT)")
+
 
-    The most frequent ``broadcast_max`` entries are broadcast (their number is
-    the proven bound).  Rows whose value is among the rarer entries take a
-    shuffle join with only those entries.
+def lookup_join(df: DataFrame, lookup: DataFrame, value: Column, out_col: str, by: list[str],
+                max_entries: int, broadcast_max: int = BROADCAST_MAX) -> DataFrame:
+    """Add ``out_col``: the bin of ``value`` in ``lookup`` (by..., v, b, rank), null if absent.
+
+    One table serves every group of a column (its keys are group + value),
+    so a column needs one join whatever the number of groups.  The
+    ``broadcast_max`` most frequent entries of each group are broadcast (their
+    number is the proven bound).  Only rows whose value is rarer take a
+    shuffle join, with only the rarer entries, so no join key there is hot.
     """
     key = "_fb_v"
     keyed = df.withColumn(key, value)
-    hot = F.broadcast(spec.lookup.where(F.col("rank") <= broadcast_max)
-                      .select(*[F.col(b).alias("_fb_g_" + b) for b in by],
-                              F.col("v").alias("_fb_hv"), F.col("b").alias("_fb_hb")))
-    cond = keyed[key] == hot["_fb_hv"]
-    for b in by:
-        cond = cond & keyed[b].eqNullSafe(hot["_fb_g_" + b])
-    step = keyed.join(hot, cond, "left").drop("_fb_hv", *["_fb_g_" + b for b in by])
-
-    def finish(d: DataFrame, b_col: Column) -> DataFrame:
-        res = (F.when(F.col(key).isNull(), F.lit(spec.null_value))
-               .otherwise(F.coalesce(b_col, F.lit(spec.other_value))).cast("int"))
-        return d.withColumn(out_col, res)
-
-    if spec.n_entries <= broadcast_max:
-        return finish(step, F.col("_fb_hb")).drop("_fb_hb", key)
+    gcols = ["_fb_g_" + b for b in by]
+
+    def side(rows: DataFrame, v_name: str, b_name: str) -> DataFrame:
+        return rows.select(*[F.col(b).alias(g) for b, g in zip(by, gcols)],
+                           F.col("v").alias(v_name), F.col("b").alias(b_name))
+
+    def on(left: DataFrame, right: DataFrame, v_name: str) -> Column:
+        cond = left[key] == right[v_name]
+        for b, g in zip(by, gcols):
+            cond = cond & left[b].eqNullSafe(right[g])
+        return cond
+
+    hot = F.broadcast(side(lookup.where(F.col("rank") <= broadcast_max), "_fb_hv", "_fb_hb"))
+    step = keyed.join(hot, on(keyed, hot, "_fb_hv"), "left").drop("_fb_hv", *gcols)
+    if max_entries <= broadcast_max:
+        return step.withColumnRenamed("_fb_hb", out_col).drop(key)
 
     matched = step.where(F.col("_fb_hb").isNotNull() | F.col(key).isNull())
     rest = step.where(F.col("_fb_hb").isNull() & F.col(key).isNotNull()).drop("_fb_hb")
-    tail = (spec.lookup.where(F.col("rank") > broadcast_max)
-            .select(*[F.col(b).alias("_fb_g_" + b) for b in by],
-                    F.col("v").alias("_fb_tv"), F.col("b").alias("_fb_tb")))
-    cond = rest[key] == tail["_fb_tv"]
-    for b in by:
-        cond = cond & rest[b].eqNullSafe(tail["_fb_g_" + b])
-    rest = rest.join(tail, cond, "left").drop("_fb_tv", *["_fb_g_" + b for b in by])
-    out_m = finish(matched, F.col("_fb_hb")).drop("_fb_hb", key)
-    out_r = finish(rest, F.col("_fb_tb")).drop("_fb_tb", key)
-    return out_m.unionByName(out_r)
+    tail = side(lookup.where(F.col("rank") > broadcast_max), "_fb_tv", "_fb_tb")
+    rest = rest.join(tail, on(rest, tail, "_fb_tv"), "left").drop("_fb_tv", *gcols)
+    return (matched.withColumnRenamed("_fb_hb", out_col).drop(key)
+            .unionByName(rest.withColumnRenamed("_fb_tb", out_col).drop(key)))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbin.functions.labels import binary_label
-from flowbin.functions.sqltext import by_case, ident
-from flowbin.operators.frequency import fit_frequency, inline_sql, lookup_join
+from flowbin.functions.sqltext import ident
+from flowbin.operators.binning import _frequency_bin
+from flowbin.operators.frequency import fit_frequency
 from flowbin.sources.schema import BENIGN, LABEL_COL
 
 
@@ -25,14 +26,8 @@ def add_multiclass_label(df: DataFrame, label_col: str = LABEL_COL, by: list[str
     specs = fit_frequency(df, [label_col], "coverage", 1.0, by=by)
     value = "_fb_lbl_v"
     res = df.withColumn(value, F.col(label_col).cast("string"))
-    parts: dict[tuple, str] = {}
-    for (g, _), s in specs.items():
-        if s.lookup is not None:
-            tmp = f"_fb_lbl_{len(parts)}"
-            res = lookup_join(res, s, F.col(value), tmp, by)
-            parts[g] = ident(tmp)
-        else:
-            parts[g] = inline_sql(s, ident(value))
-    res = res.withColumn(label_col + "_bin", F.expr(by_case(by, parts)))
+    per = {g: s for (g, _), s in specs.items()}
+    res, text = _frequency_bin(res, per, F.col(value), ident(value), "_fb_lbl_j", by)
+    res = res.withColumn(label_col + "_bin", F.expr(text))
     res = res.drop(*[c for c in res.columns if c.startswith("_fb_lbl_")])
     return res.withColumn(out, F.col(label_col + "_bin").cast("double"))

@@ -7,7 +7,7 @@ from pyspark.ml.feature import Bucketizer, StringIndexer
 from pyspark.sql import functions as F
 
 from flowbin.operators.binning import BinningConfig, BinningModel
-from flowbin.operators.frequency import fit_frequency, inline_expr, lookup_join
+from flowbin.operators.frequency import fit_frequency, inline_expr, lookup_join, lookup_sql
 from flowbin.operators.numeric import fit_numeric, numeric_expr, select_ranks, trim_stats, histogram
 from flowbin.operators.ranking import rank_and_cumsum
 from flowbin.sources.schema import BOOL_COLS, NOMINAL_COLS, NUMERIC_COLS
@@ -134,8 +134,10 @@ def test_lookup_join_paths_match_inline(spark, flow001):
     value = F.col("history").cast("string")
     ref = flow001.select("uid", inline_expr(base, "history").alias("a"))
     for bmax in (1000, 5):  # all broadcast / hot-broadcast + shuffled tail
-        got = lookup_join(flow001.select("uid", "history"), wide, value, "b", [], broadcast_max=bmax)
-        j = ref.join(got.select("uid", "b"), "uid")
+        got = lookup_join(flow001.select("uid", "history"), wide.lookup, value, "j", [],
+                          wide.n_entries, broadcast_max=bmax)
+        got = got.select("uid", F.expr(lookup_sql(wide, "CAST(history AS STRING)", "j")).alias("b"))
+        j = ref.join(got, "uid")
         assert j.count() == flow001.count()
         assert j.where(F.col("a") != F.col("b")).count() == 0
 
@@ -168,3 +170,15 @@ def test_numeric_one_row_and_all_null_columns(spark):
     assert spec.sd == 0.0 and spec.edges == [5.0] and got == [0, 2, 0]
     got, m = bins_of(spark, [None, None], numeric=["x"])
     assert m.numeric[((), "x")].edges == [] and got == [0, 0]
+
+
+def test_grouped_wide_column_uses_one_join(spark, flow001):
+    df = flow001.withColumn("grp", F.when(F.col("orig_pkts") < 25, "low").otherwise("high"))
+    cfg = only(nominal=["history"])
+    inline = BinningModel.fit(df, cfg, by=["grp"]).transform(df).select("uid", F.col("history_bin").alias("a"))
+    wide_model = BinningModel.fit(df, cfg, by=["grp"], inline_max=3)
+    out = wide_model.transform(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1
+    j = inline.join(out.select("uid", "history_bin"), "uid")
+    assert j.count() == df.count() and j.where(F.col("a") != F.col("history_bin")).count() == 0
