@@ -182,3 +182,13 @@ def test_grouped_wide_column_uses_one_join(spark, flow001):
     assert plan.count("BroadcastHashJoin") == 1
     j = inline.join(out.select("uid", "history_bin"), "uid")
     assert j.count() == df.count() and j.where(F.col("a") != F.col("history_bin")).count() == 0
+
+
+def test_grouped_narrowing_matches_grouped_window(spark, flow001):
+    df = flow001.withColumn("grp", F.when(F.col("orig_pkts") < 25, "low").otherwise("high"))
+    a = fit_numeric(df, ["duration", "orig_bytes"], 0.02, by=["grp"])
+    b = fit_numeric(df, ["duration", "orig_bytes"], 0.02, by=["grp"], final_rows=30, n_cuts=8)
+    assert set(a) == set(b) and len(a) == 4
+    for key in a:
+        assert (a[key].n_rows, a[key].n_kept, a[key].minimum) == (b[key].n_rows, b[key].n_kept, b[key].minimum)
+        assert a[key].edges == pytest.approx(b[key].edges, rel=1e-12)
