@@ -192,3 +192,16 @@ def test_grouped_narrowing_matches_grouped_window(spark, flow001):
     for key in a:
         assert (a[key].n_rows, a[key].n_kept, a[key].minimum) == (b[key].n_rows, b[key].n_kept, b[key].minimum)
         assert a[key].edges == pytest.approx(b[key].edges, rel=1e-12)
+
+
+@pytest.mark.parametrize("mode", ["index", "coverage"])
+def test_frequency_fit_on_distributed_ranking_path(spark, flow001, mode):
+    cfg = only(boolean=BOOL_COLS, nominal=NOMINAL_COLS, nominal_mode=mode, nominal_coverage=0.7)
+    a = BinningModel.fit(flow001, cfg)
+    b = BinningModel.fit(flow001, cfg, single_task_rows=5)
+    specs_a = {**a.freq, **a.nominal}
+    specs_b = {**b.freq, **b.nominal}
+    assert specs_a.keys() == specs_b.keys()
+    for k in specs_a:
+        assert specs_a[k].entries == specs_b[k].entries, k
+        assert (specs_a[k].null_value, specs_a[k].other_value) == (specs_b[k].null_value, specs_b[k].other_value)
