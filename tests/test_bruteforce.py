@@ -6,7 +6,6 @@ import re
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from flowbin.functions.classes import ip_class, port_class
 from flowbin.operators.numeric import trim_stats

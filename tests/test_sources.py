@@ -3,7 +3,6 @@
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from flowbin.sources import fixtures
 from flowbin.sources.results import RESULTS, append_results, read_flows, results_frame
