@@ -238,9 +238,6 @@ def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None, totals_known=
     # one row per (group, column)
     n_of = {key: n for key, (n, _) in known.items()}
     u_of = {key: u for key, (_, u) in known.items()}
-    tschema = T.StructType(by_fields + [T.StructField("cname", T.StringType()),
-                                        T.StructField("n_rows", T.LongType())])
-    totals = spark.createDataFrame([(*g, c, n) for (g, c), n in n_of.items()], tschema)
 
     bounds: dict[tuple, tuple[int, int]] = {}
     targets = []
@@ -272,22 +269,38 @@ def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None, totals_known=
          .when(F.col("v") == F.col("v_hi"), F.col("w_hi"))
          .otherwise(F.col("k")))
     kept = hist.join(bt, keys).withColumn("w", w).where(F.col("w") > 0)
-    first = kept.groupBy(*keys).agg(
-        F.sum("w").alias("n_kept"),
-        (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"),
-        F.min("v").alias("minimum"),
-    )
-    # second pass around the mean (first has one row per (group, column))
+    # first pass: kept rows, mean, minimum (one row per (group, column))
+    first = {
+        (tuple(r[b] for b in by), r["cname"]): (int(r["n_kept"]), float(r["mean"]), float(r["minimum"]))
+        for r in kept.groupBy(*keys).agg(
+            F.sum("w").alias("n_kept"),
+            (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"),
+            F.min("v").alias("minimum"),
+        ).collect()
+    }
+    # second pass around the mean (no E[x^2] - m^2 cancellation)
+    mschema = T.StructType(by_fields + [T.StructField("cname", T.StringType()),
+                                        T.StructField("mean", T.DoubleType())])
+    means = F.broadcast(spark.createDataFrame([(*g, c, m) for (g, c), (_, m, _) in first.items()], mschema))
     dev = F.col("v") - F.col("mean")
-    second = kept.join(F.broadcast(first.select(*keys, "mean")), keys).groupBy(*keys).agg(
-        F.sum(F.col("w") * dev * dev).alias("ss"))
-    stats = first.join(second, keys).select(
-        *keys, "n_kept", "mean",
-        F.when(F.col("n_kept") > 1, F.sqrt(F.col("ss") / (F.col("n_kept") - 1))).otherwise(F.lit(0.0)).alias("sd"),
-        "minimum",
-    )
-    out = totals.join(stats, keys, "left").select(
-        *keys, "n_rows", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "mean", "sd", "minimum")
+    ss = {
+        (tuple(r[b] for b in by), r["cname"]): float(r["ss"])
+        for r in kept.join(means, keys).groupBy(*keys).agg(F.sum(F.col("w") * dev * dev).alias("ss")).collect()
+    }
+    sschema = T.StructType(by_fields + [
+        T.StructField("cname", T.StringType()), T.StructField("n_rows", T.LongType()),
+        T.StructField("n_kept", T.LongType()), T.StructField("mean", T.DoubleType()),
+        T.StructField("sd", T.DoubleType()), T.StructField("minimum", T.DoubleType())])
+    rows_out = []
+    for (g, c), n in n_of.items():
+        if (g, c) in first:
+            nk, m, mn = first[(g, c)]
+            sd = math.sqrt(ss[(g, c)] / (nk - 1)) if nk > 1 else 0.0
+            rows_out.append((*g, c, n, nk, m, sd, mn))
+        else:
+            rows_out.append((*g, c, n, 0, None, None, None))
+    # one row per (group, column), every value computed by the jobs above
+    out = spark.createDataFrame(rows_out, sschema)
     return out, hist
 
 
