@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 from flowbin.functions.labels import hash_unit
 from flowbin.sources.schema import BENIGN, ID_COL, LABEL_COL
 
-#: Task name of the single multi-class table.
+# The name of the single multi-class task, the two tactics the
+# binary front end keeps, and the smallest task that is analysed.
 ALL_TASK = "All label techniques"
-
-#: Default tactics kept after rebalancing (the shipped front end keeps these two).
 DEFAULT_TACTICS = ("Reconnaissance", "Discovery")
-
 MIN_TASK_ROWS = 500
 
 
