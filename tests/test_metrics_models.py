@@ -112,3 +112,26 @@ def test_folded_multiclass_label_equals_labeller(spark, flow001):
     j = binned.select("uid", "label_bin").join(ref.select("uid", F.col("label_bin").alias("r")), "uid")
     assert j.count() == flow001.count()
     assert j.where(F.col("label_bin") != F.col("r")).count() == 0
+
+
+def test_score_stream_equals_batch_predictions(spark, flow001):
+    from flowbin.operators.binning import BinningModel
+    from flowbin.operators.models import assemble, make_model
+    from flowbin.plans.labelling import add_binary_label
+    from flowbin.sources.schema import FLOW
+    from flowbin.streaming import score_stream
+
+    labelled = add_binary_label(flow001)
+    m = BinningModel.fit(labelled)
+    cols = m.feature_names()[:6]
+    rf = make_model("rf", numTrees=5, maxDepth=3).fit(assemble(m.transform(labelled), cols))
+    src = tempfile.mkdtemp(prefix="flowbin-score-", dir="/tmp")
+    flow001.write.parquet(src + "/in")
+    stream = spark.readStream.schema(FLOW).parquet(src + "/in")
+    q = (score_stream(m, rf, cols, stream).writeStream.format("memory").queryName("scored_stream")
+         .outputMode("append").option("checkpointLocation", src + "/ckpt").start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("scored_stream")
+    want = rf.transform(assemble(m.transform(flow001), cols)).select("uid", "prediction")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
