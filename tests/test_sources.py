@@ -44,3 +44,15 @@ def test_results_sink_parquet_and_csv(spark):
     back = spark.read.option("header", True).csv(base + "/csv")
     r = back.first()
     assert r["feature_list"] == "a_bin b_bin" and r["matrix_json"] == "[[1.0,2.0],[3.0,4.0]]"
+
+
+def test_ensure_parallelism_spreads_scans_only(spark):
+    from flowbin.session import ensure_parallelism
+
+    scan = fixtures.table(spark, SF001, "lineitem")
+    spread = ensure_parallelism(scan, 4)
+    assert spread.rdd.getNumPartitions() >= 4
+    shuffled = scan.groupBy("l_returnflag").count()
+    assert ensure_parallelism(shuffled, 10_000) is shuffled  # not inspected: no hidden job
+    flows = read_flows(spark, SF001 + "/lineitem.parquet")
+    assert flows.rdd.getNumPartitions() >= min(2, spark.sparkContext.defaultParallelism)
