@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import substrings
+from flowbin.llm import decontam, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of benchmark items in the documents."""
+    out = decontam.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("leaks.items", lambda i: i.cast("string")))
+    return out.select("doc_id", F.col("leaks.n_words").alias("n_words"), F.col("leaks.n_hit").alias("n_hit"),
+                      F.size("leaks.items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+                      (F.col("leaks.n_hit") > 0).alias("contaminated"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a smaller document also has, removed from all documents."""
     out = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -22,6 +31,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontamination": op5_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
 }
 

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowbin.llm import textscan as scan
+from flowbin.llm.frames import pack
 from flowbin.llm.recompress import anchors
 
 SIZE = 13
@@ -129,19 +130,6 @@ def cut(w: scan.Words, gone: np.ndarray) -> list[str]:
     return [kept[a:b].tobytes().decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
-def _spans(w: scan.Words, gone: np.ndarray) -> pa.ListArray:
-    """Ranges of removed words by row, counted within the row."""
-    before, after = np.zeros(len(gone), bool), np.zeros(len(gone), bool)
-    before[1:], after[:-1] = gone[:-1], gone[1:]
-    bounds = w.first[:-1][w.counts > 0]
-    before[bounds] = False
-    after[bounds[1:] - 1] = False
-    first, last = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
-    row = w.row[first]
-    pairs = pa.StructArray.from_arrays([pa.array(first - w.first[row], pa.int64()), pa.array(last - w.first[row], pa.int64())], ["first", "last"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(w.rows + 1)), pa.int32()), pairs)
-
-
 def _emit_kept(size: int, columns: list[str], schema: pa.Schema):
     def run(batches):
         for b in scan.slices(batches, "text"):
@@ -159,7 +147,7 @@ def _emit_kept(size: int, columns: list[str], schema: pa.Schema):
                 text = pa.array([n if r else o for n, o, r in zip(new, old, removed, strict=True)], pa.string())
             else:
                 text = text.cast(pa.string())
-            spans = _spans(w, gone)
+            spans = scan.spans(w, gone)
             out = [text if c == "text" else b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*out, pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), spans], schema=schema)
 
@@ -172,11 +160,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Adds a struct ``repeats`` with n_words and n_removed (long) and spans, the removed word
     ranges [first, last).  A column of that name in the input is replaced.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col, "repeats")]
-    rows = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
-        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("c")).alias("rest"),
-    ).withColumn("digest", F.sha2("text", 256))
+    packed = pack(docs, id_col, text_col, "repeats")
+    rows = packed.rows.withColumn("digest", F.sha2("text", 256))
     known = rows.where(F.col("id").isNotNull())
 
     # 1: copies of a text with a smaller id
@@ -207,10 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = marked.join(hits, "id", "left").mapInArrow(_emit_kept(size, columns, to_arrow_schema(out)), out)
     unknown = rows.where(F.col("id").isNull()).select("id", "text", "rest", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("hits"))
     kept = kept.unionByName(unknown.mapInArrow(_emit_kept(size, columns, to_arrow_schema(out)), out))
-    order = [c for c in docs.columns if c != "repeats"]
-    pick = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.col("text")}
-    pick |= {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
-    return kept.select(*[pick[c].alias(c) for c in order], F.struct("n_words", "n_removed", "spans").alias("repeats"))
+    return packed.unpack(kept, F.struct("n_words", "n_removed", "spans"))
 
 
 def word_digest(text) -> F.Column:

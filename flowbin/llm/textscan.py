@@ -156,3 +156,16 @@ def windows(w: Words, hashes: np.ndarray, size: int, seed: int = 0) -> tuple[np.
     row = w.row
     at = np.flatnonzero(row[:n] == row[size - 1 :])
     return at, span_hash(hashes, at, at + size, seed)
+
+
+def spans(w: Words, gone: np.ndarray) -> pa.ListArray:
+    """Ranges of marked words by row as list<struct<first, last>>, counted within the row."""
+    before, after = np.zeros(len(gone), bool), np.zeros(len(gone), bool)
+    before[1:], after[:-1] = gone[:-1], gone[1:]
+    bounds = w.first[:-1][w.counts > 0]
+    before[bounds] = False
+    after[bounds[1:] - 1] = False
+    first, last = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
+    row = w.row[first]
+    pairs = pa.StructArray.from_arrays([pa.array(first - w.first[row], pa.int64()), pa.array(last - w.first[row], pa.int64())], ["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(w.rows + 1)), pa.int32()), pairs)
