@@ -41,8 +41,9 @@ SPACE = 0x2581
 class Automaton:
     """States are numbered in breadth-first order, 0 is the root; all arrays are by state but the edges."""
 
-    chars: np.ndarray  # sorted code points of the vocabulary
-    edge: np.ndarray  # sorted keys state * (len(chars) + 1) + char
+    code: np.ndarray  # number of each code point of the vocabulary, or -1
+    width: int  # numbers in use
+    edge: np.ndarray  # sorted keys state * width + number
     to: np.ndarray
     fail: np.ndarray
     depth: np.ndarray
@@ -57,13 +58,12 @@ class Automaton:
     offset: np.ndarray
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """Follow one character from each state (char: index in chars, or -1)."""
-        width = len(self.chars) + 1
+        """Follow one character from each state (char: its number, or -1)."""
         out = np.zeros(len(state), np.int64)
         todo = np.flatnonzero(char >= 0)
         at = state[todo]
         while len(todo):
-            key = at * width + char[todo]
+            key = at * self.width + char[todo]
             slot = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
             hit = self.edge[slot] == key
             out[todo[hit]] = self.to[slot[hit]]
@@ -82,7 +82,9 @@ def build(model_path: str = MODEL) -> Automaton:
     plain = [i for i in range(n) if text[i] and not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
     chars = np.array(sorted({ord(c) for i in plain for c in text[i]}), np.int64)
     index = {int(c): k for k, c in enumerate(chars)}
-    width = len(chars) + 1
+    width = len(chars)
+    code = np.full(int(chars.max()) + 1, -1, np.int64)
+    code[chars] = np.arange(width)
     edges: dict[int, int] = {}
     depth, piece, parent, via = [0], [-1], [0], [0]
     level = {0: [(0, i) for i in plain]}
@@ -125,7 +127,7 @@ def build(model_path: str = MODEL) -> Automaton:
     space = chr(SPACE)
     cut = not any(space in text[i].lstrip(space) for i in plain)
     decoded = [bytes([int(text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else text[i].replace(space, " ").encode() for i in range(n)]
-    return Automaton(chars, keys, np.array([edges[int(k)] for k in keys]), fail, np.array(depth), np.array(piece), link, score,
+    return Automaton(code, width, keys, np.array([edges[int(k)] for k in keys]), fail, np.array(depth), np.array(piece), link, score,
                      byte if has_bytes else np.zeros(0, np.int64), model.unk_id(), float(score[plain].min()), cut,
                      b"".join(decoded), np.concatenate([[0], np.cumsum([len(x) for x in decoded])]))
 
@@ -209,9 +211,8 @@ def encode_slice(a: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     lead = lead + np.searchsorted(full, np.arange(rows + 1))
     if len(points) == 0:
         return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64), np.zeros(rows)
-    slot = np.minimum(np.searchsorted(a.chars, points), len(a.chars) - 1)
-    char = np.where(a.chars[slot] == points, slot, -1)
-    start = segments(a, points, lead[:-1][full], char) if False else segments(a, points, np.append(lead[:-1][full], len(points)), char)
+    char = np.where(points < len(a.code), a.code[np.minimum(points, len(a.code) - 1)], -1)
+    start = segments(a, points, np.append(lead[:-1][full], len(points)), char)
     end = np.append(start[1:], len(points))
     hashed = scan.mix(points.astype(np.uint64), 51)
     h1, h2 = scan.span_hash(hashed, start, end), scan.span_hash(hashed, start, end, 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import decontam, orderminhash, substrings
+from flowbin.llm import decontam, fertility, orderminhash, pieces, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("near.class_id").alias("class_id"))
 
 
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser measures and verdict of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = fertility.judge(docs, keep_text=False)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *fertility.MEASURES)
+    return out.select("doc_id", *[F.col(f"fertility.{c}").alias(c) for c in names])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-word windows of benchmark items in the documents."""
     out = decontam.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -29,6 +37,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("leaks.n_hit") > 0).alias("contaminated"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text (as count and hash), their score, and whether they decode to it."""
+    out = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", F.size("pieces.ids").cast("long").alias("n_pieces"), F.xxhash64("pieces.ids").alias("ids_hash"),
+                      F.col("pieces.score").alias("score"), (F.col("pieces.decoded") == whole).alias("round_trip"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 words that a smaller document also has, removed from all documents."""
     out = substrings.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,7 +54,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op5_decontamination": op5_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
