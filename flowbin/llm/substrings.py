@@ -10,12 +10,12 @@ Steps, all of them joins and aggregates on narrow rows:
 2. Every document is parsed by recompression (:mod:`flowbin.llm.recompress`) and gives its
    anchors, high-level symbols that equal windows share.  An anchor that occurs in one
    document only cannot belong to a repeat.
-3. The windows on anchors of two documents or more are verified: grouped by a 128-bit hash
-   of their words, they learn the smallest document.
+3. The windows on anchors of two documents or more are verified: grouped by 96 bits of two
+   hashes of their words, they learn the smallest document.
 4. Each document removes the words under its windows that start in a smaller one.
 
-Keys that many documents share are aggregated before the shuffle (minimum and maximum
-only) and joined back by joins that Spark may split.
+A key that many documents share is combined before the shuffle: each slice of documents
+sends one row under it, whatever the number of its documents, and decides the others itself.
 
 Defined results: a null or empty text has no words and comes back unchanged; a text of
 fewer than ``size`` words has no windows; a row with a null id is kept whole and removes
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,8 +37,8 @@ from flowbin.llm.frames import pack
 from flowbin.llm.recompress import anchors
 
 SIZE = 13
-_SCHEMA_ANCHORS = "name long, id long"
-_SCHEMA_WINDOWS = "h1 long, h2 long, id long"
+_ANCHORS = "k long, name long, id long, known boolean"
+_WINDOWS = "k long, h1 long, h2 int, id long"
 
 
 def _list(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +65,26 @@ def _scan(batch: pa.RecordBatch) -> scan.Words:
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group of equal keys begins (keys sorted)."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _spread(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A key of its own for every key and id."""
+    return scan.mix(key ^ scan.mix(ids.view(np.uint64), 23), 24)
 
 
 def _emit_anchors(size: int):
-    schema = pa.schema([("name", pa.int64()), ("id", pa.int64())])
+    """Anchors of two documents of the slice are known to be shared; one row of each stands
+    for the slice under the anchor's own key, the others travel under keys of their own."""
+    schema = pa.schema([("k", pa.int64()), ("name", pa.int64()), ("id", pa.int64()), ("known", pa.bool_())])
 
     def run(batches):
         for b in scan.slices(batches, "text"):
@@ -77,19 +92,24 @@ def _emit_anchors(size: int):
             at, _, name, _ = anchors(w, w.hashes(), size)
             row = w.row[at]
             own = ~b.column("copy").to_numpy(zero_copy_only=False)[row]
-            row, name = row[own], name[own]
-            order = np.lexsort((name, row))
-            row, name = row[order], name[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            yield _batch(schema, name[new].view(np.int64), ids[row[new]])
+            name, ids = name[own], b.column("id").to_numpy(zero_copy_only=False)[row[own]]
+            order = np.lexsort((ids, name))
+            name, ids = name[order], ids[order]
+            new = _heads(name, ids)
+            name, ids = name[new], ids[new]
+            first = _heads(name)
+            count = np.diff(np.append(np.flatnonzero(first), len(name)))
+            known = np.repeat(count > 1, count)
+            k = np.where(first, name, _spread(name, ids)).view(np.int64)
+            yield _batch(schema, k, pa.array(name.view(np.int64), mask=first), ids, known)
 
     return run
 
 
 def _emit_windows(size: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64())])
+    """Windows on shared anchors.  Of the slice's documents with a window the least stands for
+    it; the others are hit for certain and travel under keys of their own, with h1 set."""
+    schema = pa.schema([("k", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("id", pa.int64())])
 
     def run(batches):
         for b in scan.slices(batches, "text"):
@@ -98,14 +118,16 @@ def _emit_windows(size: int):
             at, whole, name, _ = anchors(w, h, size)
             row = w.row[at]
             pick = _member(name.view(np.int64), row, b.column("names")) & ~b.column("copy").to_numpy(zero_copy_only=False)[row]
-            at, whole, row = at[pick], whole[pick], row[pick]
-            second = scan.span_hash(w.hashes(1), at, at + size, 1)
-            order = np.lexsort((whole, row))
-            new = np.ones(len(order), bool)
-            new[1:] = (whole[order][1:] != whole[order][:-1]) | (row[order][1:] != row[order][:-1])
-            keep = order[new]
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            yield _batch(schema, whole[keep].view(np.int64), second[keep].view(np.int64), ids[row[keep]])
+            at, whole = at[pick], whole[pick]
+            ids = b.column("id").to_numpy(zero_copy_only=False)[row[pick]]
+            second = (scan.span_hash(w.hashes(1), at, at + size, 1) >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((ids, second, whole))
+            whole, second, ids = whole[order], second[order], ids[order]
+            new = _heads(whole, second, ids)
+            whole, second, ids = whole[new], second[new], ids[new]
+            first = _heads(whole, second)
+            k = np.where(first, whole, _spread(whole, ids)).view(np.int64)
+            yield _batch(schema, k, pa.array(whole.view(np.int64), mask=first), second.view(np.int32), ids)
 
     return run
 
@@ -172,14 +194,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "id", "text", "rest", F.coalesce(F.array_contains("copies", F.col("digest")), F.lit(False)).alias("copy"))
 
     # 2: anchors of two documents or more
-    found = marked.mapInArrow(_emit_anchors(size), _SCHEMA_ANCHORS)
-    shared = found.groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("name")
-    names = found.join(shared, "name").groupBy("id").agg(F.collect_list("name").alias("names"))
+    found = marked.mapInArrow(_emit_anchors(size), _ANCHORS)
+    n = F.count("*").over(Window.partitionBy("k"))
+    shared = found.withColumn("n", n).where("n > 1 OR known").select("id", F.coalesce("name", "k").alias("name"))
+    names = shared.groupBy("id").agg(F.collect_list("name").alias("names"))
 
     # 3: their windows, verified
-    seen = marked.join(names, "id").mapInArrow(_emit_windows(size), _SCHEMA_WINDOWS)
-    first = seen.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    hits = seen.join(first, ["h1", "h2"]).where("least < id").groupBy("id").agg(F.collect_list("h1").alias("hits"))
+    seen = marked.join(names, "id").mapInArrow(_emit_windows(size), _WINDOWS)
+    least = F.min("id").over(Window.partitionBy("k", "h2"))
+    hits = seen.withColumn("least", least).where("h1 IS NOT NULL OR least < id").select("id", F.coalesce("h1", "k").alias("h1"))
+    hits = hits.groupBy("id").agg(F.collect_list("h1").alias("hits"))
 
     # 4
     rest_type = rows.schema["rest"].dataType
