@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import decontam, fertility, orderminhash, pieces, substrings
+from flowbin.llm import decontam, fertility, orderminhash, pieces, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("near.class_id").alias("class_id"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back; payload columns from the bytes read."""
+    back = warc.archive(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    revisit = F.col("kind") == "revisit"
+    return back.select(F.col("id").alias("page_id"), F.when(revisit, F.col("n_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+                       F.when(revisit, F.col("digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
 def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, tokeniser measures and verdict of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -54,10 +62,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_warc": op2_warc,
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op5_decontamination": op5_decontamination,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d""",
+}
