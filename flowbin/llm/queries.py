@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import decontam, fertility, maintext, orderminhash, pieces, substrings, warc
+from flowbin.llm import decontam, fertility, langid, maintext, orderminhash, pieces, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("leaks.n_hit") > 0).alias("contaminated"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; taught by the documents outside the held-out quarter."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    protos = langid.learn(docs.where(langid.bucket("doc_id", 4) != 2))
+    out = langid.predict(docs.select("doc_id", "text"), protos)
+    held = F.coalesce(langid.bucket("doc_id", 4) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text (as count and hash), their score, and whether they decode to it."""
     out = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
@@ -72,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tokeniser_fertility": op3_tokeniser_fertility,
     "op4_main_text": op4_main_text,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_substring_dedup": op8_substring_dedup,
 }
