@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowbin.llm import textscan as scan
-from flowbin.llm.frames import pack
+from flowbin.llm.frames import pack, settle
 from flowbin.llm.recompress import anchors
 
 SIZE = 13
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # 1: copies of a text with a smaller id
     ids = known.where(F.col("text").isNotNull()).select("id", "digest")
-    least = ids.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    least = settle(ids.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"))
     copies = ids.join(least, "digest").where("least < id").groupBy("id").agg(F.collect_set("digest").alias("copies"))
     marked = known.join(copies, "id", "left").select(
         "id", "text", "rest", F.coalesce(F.array_contains("copies", F.col("digest")), F.lit(False)).alias("copy"))
