@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import decontam, fertility, langid, maintext, orderminhash, pieces, substrings, warc
+from flowbin.llm import decontam, fertility, langid, maintext, orderminhash, pieces, substrings, toolcalls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,32 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       substrings.word_digest(F.col("text")).alias("kept_sha256"))
 
 
+PARAMETERS = [("open", "query", "string", True), ("open", "turn", "integer", True), ("open", "words", "integer", False),
+              ("continue", "query", "string", True), ("continue", "turn", "integer", True), ("continue", "words", "integer", True)]
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tool use: a user turn calls, the assistant turn after it is the result.
+
+    A call opens the conversation in its first two turns and continues it later, then it
+    depends on the call two turns before.  Empty words are not passed, so that such calls of
+    ``continue`` are invalid.
+    """
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    # the arguments of a call, keys in no particular order
+    arguments = F.to_json(F.struct("turn", F.col("text").alias("query"), F.when(words > 3, words).alias("words")))
+    later = F.col("turn") >= 2
+    calls = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("conv"), name(F.col("turn")).alias("call_id"), "turn", F.when(later, "continue").otherwise("open").alias("name"),
+        arguments.alias("arguments"), F.when(later, F.array(name(F.col("turn") - 2))).alias("after"))
+    results = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    schema = "name string, param string, type string, required boolean"
+    out = toolcalls.link(calls, results, spark.createDataFrame(PARAMETERS, schema))
+    return out.withColumnRenamed("conv", "conv_id").withColumn("errors", F.array_join("errors", "; "))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
@@ -84,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLES: dict[str, str] = {
@@ -94,4 +121,20 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d""",
+    "op10_tool_calls": """
+        WITH t AS (SELECT conv_id, turn, role, text, len(list_filter(string_split(text, ' '), lambda w: w != '')) AS n FROM conversations),
+        c AS (SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, min(turn) AS turn, CASE WHEN turn >= 2 THEN 'continue' ELSE 'open' END AS name,
+                     min(text) AS text, arg_min(n, text) AS n, count(*) AS n_calls
+              FROM t WHERE role = 'user' GROUP BY conv_id, turn),
+        r AS (SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(text) AS result, count(*) AS n_results
+              FROM t WHERE role = 'assistant' GROUP BY conv_id, turn),
+        a AS (SELECT c.*, '{"query":' || to_json(text) || ',"turn":' || turn || CASE WHEN n > 3 THEN ',"words":' || n ELSE '' END || '}' AS arguments FROM c)
+        SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.call_id, r.call_id) AS call_id,
+               CASE WHEN a.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+               name, arguments, CASE WHEN a.call_id IS NOT NULL THEN CASE WHEN name = 'continue' AND n <= 3 THEN 'missing: words' ELSE '' END END AS errors,
+               turn AS order_turn, CASE WHEN a.call_id IS NOT NULL THEN CAST(0 AS BIGINT) END AS order_step, result,
+               coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+               CASE WHEN a.call_id IS NOT NULL THEN '{"arguments":' || arguments || ',"id":"' || a.call_id || '","name":"' || name || '","result":' ||
+                    coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' END AS message
+        FROM a FULL JOIN r ON a.conv_id = r.conv_id AND a.call_id = r.call_id""",
 }
