@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import decontam, fertility, langid, maintext, orderminhash, pieces, substrings, toolcalls, warc
+from flowbin.llm import decontam, fertility, langid, linecrf, maintext, orderminhash, pieces, substrings, toolcalls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,8 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
-    out = orderminhash.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("near.class_id").alias("class_id"))
+    found = orderminhash.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       substrings.word_digest(F.col("text")).alias("kept_sha256"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; taught by the labels outside the held-out third."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(langid.bucket("doc_id", 3) != 1)
+    out = linecrf.score(docs, linecrf.learn(docs, labels))
+    held = F.coalesce(langid.bucket("doc_id", 3) == 1, F.lit(False))
+    good = (F.col("quality_score") >= 0.5).cast("int")
+    return out.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), good.alias("predicted"))
+
+
 PARAMETERS = [("open", "query", "string", True), ("open", "turn", "integer", True), ("open", "words", "integer", False),
               ("continue", "query", "string", True), ("continue", "turn", "integer", True), ("continue", "words", "integer", True)]
 
@@ -110,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_line_crf": op9_line_crf,
     "op10_tool_calls": op10_tool_calls,
 }
 
@@ -121,6 +132,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d""",
+    "op9_line_crf": op9_line_crf,
     "op10_tool_calls": """
         WITH t AS (SELECT conv_id, turn, role, text, len(list_filter(string_split(text, ' '), lambda w: w != '')) AS n FROM conversations),
         c AS (SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, min(turn) AS turn, CASE WHEN turn >= 2 THEN 'continue' ELSE 'open' END AS name,
