@@ -69,25 +69,3 @@ def ip_class(c) -> Column:
 def port_class(c) -> Column:
     """Port range class; null or non-integer text: 0."""
     return port_class_of(port_number(c))
-
-
-def ip_class_sql(c: str) -> str:
-    """The same rule as SQL text (Spark and DuckDB)."""
-    head = f"TRY_CAST(split_part(CAST({c} AS VARCHAR), '.', 1) AS BIGINT)"
-    return (
-        f"CAST(CASE WHEN {c} IS NULL OR instr(CAST({c} AS VARCHAR), '.') = 0 OR {head} IS NULL THEN 0 "
-        + _classify_sql(head, IP_CLASS_UPPER) + " END AS INT)"
-    )
-
-
-def port_class_sql(c: str) -> str:
-    n = f"TRY_CAST({c} AS BIGINT)"
-    return f"CAST(CASE WHEN {n} IS NULL THEN 0 " + _classify_sql(n, PORT_CLASS_UPPER) + " END AS INT)"
-
-
-def _classify_sql(n: str, uppers: list[int]) -> str:
-    parts = [f"WHEN {n} >= 0 AND {n} <= {uppers[0]} THEN 1"]
-    for k, upper in enumerate(uppers[1:], start=2):
-        parts.append(f"WHEN {n} <= {upper} THEN {k}")
-    parts.append(f"ELSE {len(uppers) + 1}")
-    return " ".join(parts)

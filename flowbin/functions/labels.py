@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 2**32: the hash unit is a 32-bit bucket divided by this.
 _TWO32 = 4294967296.0
@@ -23,10 +24,6 @@ def binary_label(label_col: str = "label_multi", benign: str = "none",
     )
 
 
-def binary_label_sql(label_col: str = "label_multi", benign: str = "none") -> str:
-    return f"CASE WHEN {label_col} <> '{benign}' THEN 0.0e0 ELSE 1.0e0 END"
-
-
 def hash_unit(id_col: str = "uid", part: int = 0) -> Column:
     """A number in [0, 1) from 32 bits of ``md5(id)``; ``part`` picks which 32 bits.
 
@@ -39,7 +36,16 @@ def hash_unit(id_col: str = "uid", part: int = 0) -> Column:
     return bucket.cast("double") / F.lit(_TWO32)
 
 
-def hash_unit_sql(id_col: str = "uid", part: int = 0) -> str:
-    """DuckDB text of :func:`hash_unit`."""
+def row_unit(df: DataFrame, id_col: str = "uid", part: int = 0) -> Column:
+    """:func:`hash_unit` of the id, or of the row where the id is null.
+
+    The row is hashed by its string, integer and boolean columns, whose text form
+    is the same everywhere.  Rows without an id are thus sampled at the same rate as
+    others; rows without an id that are equal in these columns go together.
+    """
+    exact = (T.StringType, T.IntegerType, T.LongType, T.BooleanType)
+    names = [f.name for f in df.schema.fields if f.name != id_col and isinstance(f.dataType, exact)]
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in names]
     start = 1 + 8 * part
-    return f"(('0x' || substr(md5({id_col}), {start}, 8))::BIGINT / 4294967296.0e0)"
+    whole = F.conv(F.substring(F.md5(F.concat_ws("|", *values)), start, 8), 16, 10).cast("bigint").cast("double") / F.lit(_TWO32)
+    return F.when(F.col(id_col).isNull(), whole).otherwise(hash_unit(id_col, part))

@@ -1,10 +1,11 @@
 """Full binning of a flow table (B9): IP, port, boolean, nominal and numeric bins.
 
-``BinningModel.fit`` runs one frequency job (booleans + nominals) and one
-numeric job (all numeric columns), optionally per group (e.g. per task, so a
-table holding many rebalanced tasks is fitted in the same few jobs).  Only
-small statistics reach the driver.  ``transform`` is one projection plus, for
-very wide nominal columns only, lookup joins.
+``BinningModel.fit`` runs one frequency fit (booleans + nominals) and one
+numeric fit (all numeric columns), optionally per group (e.g. per task, so a
+table holding many rebalanced tasks is fitted in the same few jobs).  Groups
+are taken from the data, so a group without any value of a column is binned
+too.  ``transform`` reads its input once: a join with the groups' parameters
+(when grouped), one lookup join per frequency column, and one projection.
 """
 
 from __future__ import annotations
@@ -14,20 +15,19 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowbin.functions.classes import ip_class_of, ip_first_field, port_class_of, port_number
-from flowbin.functions.sqltext import by_case, ident
-from flowbin.operators.frequency import FrequencySpec, fit_frequency, inline_sql, lookup_join, lookup_sql
-from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_sql
+from flowbin.operators.frequency import BROADCAST_BYTES, FrequencyFit, fit_frequency, frequency_bin, group_list, value_counts
+from flowbin.operators.numeric import NumericSpec, fit_numeric, numeric_bin
 from flowbin.session import keep
 from flowbin.sources.schema import (
     BOOL_COLS, IP_COLS, NOMINAL_COLS, NUMERIC_COLS, PORT_COLS,
 )
 
 BIN_SUFFIX = "_bin"
-
-#: Most groups a grouped fit accepts (one CASE branch per group and column).
-MAX_GROUPS = 64
+#: Most groups whose parameters are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 @dataclass
@@ -49,159 +49,122 @@ class BinningConfig:
         return self.ip + self.port + self.boolean + self.nominal + self.numeric
 
 
-def value_counts(df: DataFrame, str_cols: list[str], num_cols: list[str],
-                 by: list[str] | None = None) -> DataFrame:
-    """(by..., cname, v, d, k): counts of every value of every column, one job.
-
-    Frequency columns fill ``v`` (string form), numeric columns fill ``d``
-    (double; NaN dropped).  The map-side partial aggregate collapses hot
-    values before the single shuffle.
-    """
-    by = by or []
-    items = [F.struct(F.lit(c).alias("cname"), F.col(c).cast("string").alias("v"),
-                      F.lit(None).cast("double").alias("d")) for c in str_cols]
-    items += [F.struct(F.lit(c).alias("cname"), F.lit(None).cast("string").alias("v"),
-                       F.col(c).cast("double").alias("d")) for c in num_cols]
-    long = df.select(*by, F.inline(F.array(*items)))
-    keep = F.col("v").isNotNull() | (F.col("d").isNotNull() & ~F.isnan(F.col("d")))
-    return long.where(keep).groupBy(*by, "cname", "v", "d").agg(F.count(F.lit(1)).alias("k"))
-
-
-def _frequency_bin(df: DataFrame, per: dict[tuple, FrequencySpec], value: Column, ref: str,
-                   joined: str, by: list[str]) -> tuple[DataFrame, str]:
-    """(frame, SQL text) of a frequency bin over all groups of one column.
-
-    Groups with inline specs become CASE branches; all groups that need a
-    lookup table share one join (the table is keyed by group and value).
-    """
-    wide = [s for s in per.values() if s.lookup is not None]
-    if wide:
-        df = lookup_join(df, wide[0].lookup, value, joined, by, max(s.n_entries for s in wide))
-    parts = {g: (lookup_sql(s, ref, ident(joined)) if s.lookup is not None else inline_sql(s, ref))
-             for g, s in per.items()}
-    return df, by_case(by, parts)
-
-
 @dataclass
 class BinningModel:
     config: BinningConfig
     by: list[str]
-    freq: dict[tuple, FrequencySpec]
-    nominal: dict[tuple, FrequencySpec]
+    by_types: list[T.DataType]
+    groups: list[tuple]
+    frequency: dict[str, FrequencyFit]  # by column
     numeric: dict[tuple, NumericSpec]
-    extra: dict[tuple, FrequencySpec] = field(default_factory=dict)
+    extra: dict[str, FrequencyFit] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, config: BinningConfig | None = None,
-            by: list[str] | None = None, **kw) -> "BinningModel":
+    def fit(cls, df: DataFrame, config: BinningConfig | None = None, by: list[str] | None = None,
+            groups_of: DataFrame | None = None) -> "BinningModel":
+        """Fit on ``df``; ``groups_of`` (default ``df``) is the table whose groups get bins."""
         config = config or BinningConfig()
         by = list(by or [])
         index_cols = config.boolean + (config.nominal if config.nominal_mode == "index" else [])
         cover_cols = config.nominal if config.nominal_mode == "coverage" else []
         extra_cols = [c for c in config.extra_coverage if c not in index_cols + cover_cols]
-        # one scan and one shuffle count every value of every binned column
-        counts = keep(value_counts(df, index_cols + cover_cols + extra_cols, config.numeric, by))
-        # rows and distinct values per (group, column): one small job serves the
-        # group guard and both fits; the limit keeps it bounded when a
-        # grouping column has too many values
-        n_cols = len(index_cols + cover_cols + extra_cols + config.numeric)
-        tot_rows = (counts.groupBy(*by, "cname")
-                    .agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("u"))
-                    .limit((MAX_GROUPS + 1) * max(n_cols, 1)).collect())
-        totals = {(tuple(r[b] for b in by), r["cname"]): (int(r["n"]), int(r["u"])) for r in tot_rows}
-        if by and len({g for g, _ in totals}) > MAX_GROUPS:
-            counts.unpersist()
-            raise ValueError(
-                f"fit by {by}: more than {MAX_GROUPS} groups; per-group specs are inlined as "
-                "CASE branches, meant for a few tasks - fit per group subset instead")
-        freq_t = counts.where(F.col("v").isNotNull()).select(*by, "cname", "v", "k")
-        hist_t = counts.where(F.col("d").isNotNull()).select(*by, "cname", F.col("d").alias("v"), "k")
+        groups = group_list(df if groups_of is None else groups_of, by)
+        counted = index_cols + cover_cols + extra_cols
+        # one scan and one shuffle count every value of every frequency column
+        counts = keep(value_counts(df, counted, by)) if counted else None
         jobs = {}
         if index_cols:
-            jobs["freq"] = lambda: fit_frequency(df, index_cols, "index", by=by, freq=freq_t,
-                                                 totals=totals, **kw)
+            jobs["index"] = lambda: fit_frequency(df, index_cols, "index", by=by, freq=counts, groups=groups)
         if cover_cols:
-            jobs["nominal"] = lambda: fit_frequency(df, cover_cols, "coverage", config.nominal_coverage,
-                                                    by=by, freq=freq_t, totals=totals, **kw)
+            jobs["coverage"] = lambda: fit_frequency(df, cover_cols, "coverage", config.nominal_coverage, by=by, freq=counts, groups=groups)
         if config.numeric:
-            jobs["numeric"] = lambda: fit_numeric(df, config.numeric, config.numeric_trim, by=by,
-                                                  hist=hist_t, totals=totals)
+            jobs["numeric"] = lambda: fit_numeric(df, config.numeric, config.numeric_trim, by=by, groups=groups)
         for i, pct in enumerate(sorted(set(config.extra_coverage.values()))):
             cols = [c for c, p in config.extra_coverage.items() if p == pct]
-            jobs[f"extra{i}"] = (lambda cols=cols, pct=pct:
-                                 fit_frequency(df, cols, "coverage", pct, by=by, freq=freq_t,
-                                               totals=totals, **kw))
-        # the fits are independent chains of small jobs on the kept counts:
-        # submit them from separate driver threads so their jobs overlap
+            jobs[f"extra{i}"] = lambda cols=cols, pct=pct: fit_frequency(df, cols, "coverage", pct, by=by, freq=counts, groups=groups)
+        # the fits are independent chains of small jobs: submit them from
+        # separate driver threads so that their jobs overlap
         with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
             futures = {k: pool.submit(fn) for k, fn in jobs.items()}
             done = {k: f.result() for k, f in futures.items()}
-        freq, nominal, numeric = done.get("freq", {}), done.get("nominal", {}), done.get("numeric", {})
-        extra = {k: v for name, d in done.items() if name.startswith("extra") for k, v in d.items()}
-        counts.unpersist()
-        return cls(config, by, freq, nominal, numeric, extra)
+        if counts is not None:
+            counts.unpersist()
+        frequency = {c: done[k] for k, cols in (("index", index_cols), ("coverage", cover_cols)) for c in cols if k in done}
+        extra = {c: f for name, f in done.items() if name.startswith("extra") for _, c in f.specs}
+        types = [df.schema[b].dataType for b in by]
+        return cls(config, by, types, groups, frequency, done.get("numeric", {}), extra)
 
-    def _groups(self, specs: dict[tuple, object], col: str) -> dict[tuple, object]:
-        return {g: s for (g, c), s in specs.items() if c == col}
+    def release(self) -> None:
+        """Free the lookup tables; the model cannot transform afterwards."""
+        for fit in {id(f): f for f in [*self.frequency.values(), *self.extra.values()]}.values():
+            fit.release()
 
-    def transform(self, df: DataFrame, replace: bool = False) -> DataFrame:
+    def _parameters(self, df: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, Column]], dict[str, tuple[list[Column], Column]]]:
+        """The frame, null and other bin of each frequency column, and edges of each numeric column.
+
+        Without groups these are literals; with groups, columns of one joined table
+        with a row for each group.
+        """
+        freq = {**{c: (c, f) for c, f in self.frequency.items()}, **{"x:" + c: (c, f) for c, f in self.extra.items()}}
+        if not self.by:
+            lone = {n: f.specs[((), c)] for n, (c, f) in freq.items()}
+            bins = {n: (F.lit(s.null_bin), F.lit(s.other_bin)) for n, s in lone.items()}
+            edges = {s.column: ([F.lit(e) for e in s.edges], F.lit(len(s.edges))) for s in self.numeric.values()}
+            return df, bins, edges
+        names, numeric = list(freq), sorted({c for _, c in self.numeric})
+        fields = [T.StructField(f"_fb_g{i}", t) for i, t in enumerate(self.by_types)]
+        fields += [T.StructField(f"_fb_f{i}_{k}", T.IntegerType()) for i in range(len(names)) for k in "no"]
+        fields += [T.StructField(f"_fb_e{i}", T.ArrayType(T.DoubleType())) for i in range(len(numeric))]
+        rows = []
+        for g in self.groups:
+            specs = [freq[n][1].specs[(g, freq[n][0])] for n in names]
+            rows.append((*g, *[x for s in specs for x in (s.null_bin, s.other_bin)], *[self.numeric[(g, c)].edges for c in numeric]))
+        table = df.sparkSession.createDataFrame(rows, T.StructType(fields))
+        if len(rows) <= BROADCAST_GROUPS:
+            table = F.broadcast(table)
+        same = F.lit(True)
+        for i, b in enumerate(self.by):
+            same = same & df[b].eqNullSafe(table[f"_fb_g{i}"])
+        both = df.join(table, same, "left")
+        bins = {n: (F.col(f"_fb_f{i}_n"), F.col(f"_fb_f{i}_o")) for i, n in enumerate(names)}
+        edges = {c: ([F.get(F.col(f"_fb_e{i}"), F.lit(k)) for k in range(5)], F.size(f"_fb_e{i}")) for i, c in enumerate(numeric)}
+        return both, bins, edges
+
+    def transform(self, df: DataFrame, replace: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
         """Add ``<col>_bin`` int columns (or replace the sources when ``replace``).
 
-        Two projections: the first parses each source once (first address
-        field, port number, string or double form) into a helper column; the
-        second maps helpers to bins.  Each ``CASE`` then tests a plain column,
-        which keeps the generated code small (no repeated parsing inside
-        conditional branches).
+        A row of a group that was not there at fit gets null bins.
         """
-        cfg, by = self.config, self.by
-        helpers: dict[str, Column] = {}
-        for c in cfg.ip:
-            helpers[f"_fb_h_{c}"] = ip_first_field(c)
-        for c in cfg.port:
-            helpers[f"_fb_h_{c}"] = port_number(c)
+        cfg = self.config
+        out, bins, edges = self._parameters(df)
+        text = {c: F.col(c).cast("string") for c in cfg.boolean + cfg.nominal}
+        for c, fit in self.frequency.items():
+            out = fit.lookup(out, c, text[c], f"_fb_b_{c}", broadcast_bytes)
+        for c, fit in self.extra.items():
+            out = fit.lookup(out, c, F.col(c).cast("string"), f"_fb_x_{c}", broadcast_bytes)
+        # sources are parsed once, then mapped
+        helpers = {f"_fb_h_{c}": ip_first_field(c) for c in cfg.ip} | {f"_fb_h_{c}": port_number(c) for c in cfg.port}
+        helpers |= {f"_fb_h_{c}": F.col(c).cast("double") for c in cfg.numeric}
+        out = out.select("*", *[e.alias(n) for n, e in helpers.items()])
+        h = lambda c: F.col(f"_fb_h_{c}")
+
+        exprs: dict[str, Column] = {c: ip_class_of(h(c)) for c in cfg.ip} | {c: port_class_of(h(c)) for c in cfg.port}
         for c in cfg.boolean + cfg.nominal:
-            helpers[f"_fb_h_{c}"] = F.col(c).cast("string")
-        for c in cfg.numeric:
-            helpers[f"_fb_h_{c}"] = F.col(c).cast("double")
-        out = df.select("*", *[e.alias(n) for n, e in helpers.items()])
-
-        def h(c: str) -> Column:
-            return F.col(f"_fb_h_{c}")
-
-        def hs(c: str) -> str:
-            return ident(f"_fb_h_{c}")
-
-        exprs: dict[str, Column] = {}
-        for c in cfg.ip:
-            exprs[c] = ip_class_of(h(c))
-        for c in cfg.port:
-            exprs[c] = port_class_of(h(c))
-        freq_cols = [(c, self.freq) for c in cfg.boolean]
-        freq_cols += [(c, self.freq if cfg.nominal_mode == "index" else self.nominal) for c in cfg.nominal]
-        for c, specs in freq_cols:
-            out, text = _frequency_bin(out, self._groups(specs, c), h(c), hs(c), f"_fb_j_{c}", by)
-            exprs[c] = F.expr(text)
+            exprs[c] = frequency_bin(text[c], F.col(f"_fb_b_{c}"), *bins[c])
         for c in cfg.numeric:
-            per = self._groups(self.numeric, c)
-            exprs[c] = F.expr(by_case(by, {g: numeric_sql(s, hs(c)) for g, s in per.items()}))
-        extra: dict[str, Column] = {}
-        for c in cfg.extra_coverage:
-            out, text = _frequency_bin(out, self._groups(self.extra, c), F.col(c).cast("string"),
-                                       f"CAST({ident(c)} AS STRING)", f"_fb_x_{c}", by)
-            extra[c + BIN_SUFFIX] = F.expr(text)
+            exprs[c] = numeric_bin(h(c), *edges[c])
+            if self.by:
+                exprs[c] = F.when(edges[c][1] >= 0, exprs[c])
+        extra = {c + BIN_SUFFIX: frequency_bin(F.col(c).cast("string"), F.col(f"_fb_x_{c}"), *bins["x:" + c]) for c in self.extra}
 
         ordered = cfg.binned_columns()
         if replace:
-            keep = [F.col(c) for c in df.columns if c not in set(ordered)]
-            return out.select(*keep, *[exprs[c].alias(c) for c in ordered],
-                              *[e.alias(n) for n, e in extra.items()])
+            keep_cols = [F.col(c) for c in df.columns if c not in set(ordered)]
+            return out.select(*keep_cols, *[exprs[c].alias(c) for c in ordered], *[e.alias(n) for n, e in extra.items()])
         # frequency-indexed sources are left cast to string, as the indexer input
-        cast = {c: h(c) for c in cfg.boolean}
-        if cfg.nominal_mode == "index":
-            cast.update({c: h(c) for c in cfg.nominal})
+        cast = {c: text[c] for c in cfg.boolean + (cfg.nominal if cfg.nominal_mode == "index" else [])}
         base = [cast.get(c, F.col(c)).alias(c) for c in df.columns]
-        return out.select(*base, *[exprs[c].alias(c + BIN_SUFFIX) for c in ordered],
-                          *[e.alias(n) for n, e in extra.items()])
+        return out.select(*base, *[exprs[c].alias(c + BIN_SUFFIX) for c in ordered], *[e.alias(n) for n, e in extra.items()])
 
     def feature_names(self) -> list[str]:
         return [c + BIN_SUFFIX for c in self.config.binned_columns()]

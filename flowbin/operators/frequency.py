@@ -5,15 +5,11 @@ columns are unpivoted to (cname, v) and aggregated with a map-side partial
 aggregate, so a value that holds a third of all rows costs one row per map
 task before the shuffle.  Ranks come from :mod:`flowbin.operators.ranking`.
 
-A fitted :class:`FrequencySpec` is applied as
-
-* an inline ``CASE`` when it has at most ``INLINE_MAX`` entries (entries are
-  ordered by descending frequency, so the common values match first), else
-* a join with a lookup table (one per column, keyed by group and value):
-  broadcast for the ``BROADCAST_MAX`` most frequent values of each group,
-  and a shuffle join for the rest, used only by rows the broadcast side did
-  not match.  Every value in that rest is rarer than the ``BROADCAST_MAX``-th
-  value, so no join key there can be hot.
+The fitted bins are one table keyed by (group, column, value).  A column is
+binned by one join with its part of that table, whatever the number of groups
+or values: broadcast where the part's counted bytes allow it, else its most
+frequent entries are broadcast and the rows that they miss meet the whole part
+in a shuffle join, in the same pass.
 """
 
 from __future__ import annotations
@@ -24,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowbin.functions.sqltext import ident, literal
 from flowbin.operators.ranking import rank_and_cumsum
 from flowbin.session import keep, materialize
 
-INLINE_MAX = 512
-BROADCAST_MAX = 1_000_000
+#: Most bytes of one column's entries, over all groups, that are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of an entry beside its value and group.
+ENTRY_BYTES = 48
+#: Keys over which rows that need no further lookup are spread.
+SPREAD = 1024
 
 # Fixed value: the coverage bin keeps at least this many top values
 # (fewer only when the column has fewer distinct values).
@@ -38,204 +37,141 @@ COVERAGE_MIN_TOP = 5
 
 @dataclass
 class FrequencySpec:
-    """How one column (in one group) maps to its bin."""
+    """Bins of the values without an entry, for one column in one group."""
 
     column: str
-    kind: str                       # "index" or "coverage"
-    group: tuple                    # values of the group columns, () if none
-    null_value: int                 # bin of a null
-    other_value: int                # bin of a non-null value not in the table
-    entries: list[tuple[str, int]] | None = None   # inline (value, bin), most frequent first
-    lookup: DataFrame | None = field(default=None, repr=False)  # (group..., v, b, rank)
+    group: tuple
+    null_bin: int
+    other_bin: int
     n_entries: int = 0
 
 
-def frequency_table(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+@dataclass
+class FrequencyFit:
+    by: list[str]
+    specs: dict[tuple, FrequencySpec]
+    entries: DataFrame = field(repr=False)  # (by..., cname, v, k, b)
+    #: entries and bytes of each column over all groups
+    size: dict[str, tuple[int, int]] = field(default_factory=dict)
+
+    def lookup(self, df: DataFrame, column: str, value: Column, out: str,
+               broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        """Add ``out``: the bin of ``value`` where it has an entry, else null."""
+        table = self.entries.where(F.col("cname") == column)
+        return lookup_join(df, table, value, out, self.by, self.size.get(column, (0, 0)), broadcast_bytes)
+
+    def release(self) -> None:
+        self.entries.unpersist()
+
+
+def value_counts(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., cname, v, k): count of each non-null value (as string) per column."""
-    by = by or []
-    wide = df.select(*by, *[F.col(c).cast("string").alias(c) for c in cols])
-    long = wide.unpivot(by, cols, "cname", "v")
-    return (
-        long.where(F.col("v").isNotNull())
-        .groupBy(*by, "cname", "v")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-
-
-def _group_key(row, by: list[str]) -> tuple:
-    return tuple(row[b] for b in by)
-
-
-def fit_frequency(
-    df: DataFrame,
-    cols: list[str],
-    kind: str = "index",
-    coverage: float = 0.98,
-    by: list[str] | None = None,
-    inline_max: int = INLINE_MAX,
-    single_task_rows: int | None = None,
-    freq: DataFrame | None = None,
-    totals: dict[tuple, tuple[int, int]] | None = None,
-) -> dict[tuple, FrequencySpec]:
-    """Fit one spec per (group, column); returns ``{(group, column): spec}``.
-
-    ``freq`` may hold a precomputed :func:`frequency_table` (kept by the
-    caller) and ``totals`` its ``{(group, column): (rows, distinct values)}``.
+    by = list(by or [])
+    items = [F.struct(F.lit(c).alias("cname"), F.col(c).cast("string").alias("v")) for c in cols]
+    long = df.select(*by, F.inline(F.array(*items))).where(F.col("v").isNotNull())
+    return long.groupBy(*by, "cname", "v").agg(F.count(F.lit(1)).alias("k"))
+
+
+def group_list(df: DataFrame, by: list[str]) -> list[tuple]:
+    """All groups of the data, from the data itself (a group may have no values)."""
+    if not by:
+        return [()]
+    return [tuple(r) for r in df.select(*by).distinct().collect()]
+
+
+def fit_frequency(df: DataFrame, cols: list[str], kind: str = "index", coverage: float = 0.98,
+                  by: list[str] | None = None, freq: DataFrame | None = None,
+                  groups: list[tuple] | None = None) -> FrequencyFit:
+    """Fit all columns and groups in the same few jobs.
+
+    ``freq`` may hold :func:`value_counts` (kept by the caller) and ``groups``
+    the :func:`group_list`.  The driver holds one record per (group, column).
     """
     if kind not in ("index", "coverage"):
         raise ValueError(f"unknown frequency kind {kind!r}")
-    by = by or []
+    by = list(by or [])
     spark = df.sparkSession
+    groups = group_list(df, by) if groups is None else groups
     own = freq is None
-    if own:
-        freq = keep(frequency_table(df, cols, by))
-    else:
-        freq = freq.where(F.col("cname").isin(cols))
+    freq = keep(value_counts(df, cols, by), eager=False) if own else freq.where(F.col("cname").isin(cols))
     keys = by + ["cname"]
-
-    if totals is None:
-        # one row per (group, column): bounded by groups x columns
-        rows = freq.groupBy(*keys).agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("u")).collect()
-        stat = {(_group_key(r, by), r["cname"]): (int(r["tot"]), int(r["u"])) for r in rows}
-    else:
-        stat = {key: v for key, v in totals.items() if key[1] in cols}
-    n_rows = sum(u for _, u in stat.values())
-
-    kw = {} if single_task_rows is None else {"single_task_rows": single_task_rows}
     temps: list[DataFrame] = []
-    ranked = rank_and_cumsum(
-        freq, keys, [F.col("k").desc(), F.col("v").asc()],
-        sum_col="k" if kind == "coverage" else None, n_rows=n_rows, kept=temps, **kw,
-    )
-
-    groups = sorted({g for g, _ in stat} | ({()} if not by else set()), key=repr)
-    top: dict[tuple, int] = {}
+    ranked = rank_and_cumsum(freq, keys, [F.col("k").desc(), F.col("v").asc()], sum_col="k", kept=temps)
+    stat = freq.groupBy(*keys).agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("u"))
     if kind == "coverage":
-        thr_schema = T.StructType(
-            [df.schema[b] for b in by]
-            + [T.StructField("cname", T.StringType()), T.StructField("thr", T.DoubleType())]
-        )
-        thr_rows = [(*g, c, float(tot) * coverage) for (g, c), (tot, _) in stat.items()]
-        thr = spark.createDataFrame(thr_rows, thr_schema)
-        hits = (
-            ranked.join(F.broadcast(thr), keys)
-            .where(F.col("cum") >= F.col("thr"))
-            .groupBy(*keys).agg(F.min("rank").alias("i"))
-            .collect()
-        )
-        first = {(_group_key(r, by), r["cname"]): int(r["i"]) for r in hits}
-        for key, (_, u) in stat.items():
-            top[key] = max(first.get(key, 1), min(COVERAGE_MIN_TOP, u))
+        same = F.lit(True)
+        total = stat.select(*[F.col(c).alias("_" + c) for c in keys], "tot")
+        for c in keys:
+            same = same & ranked[c].eqNullSafe(total["_" + c])
+        reached = ranked.join(total, same).where(F.col("cum") >= F.col("tot") * F.lit(float(coverage)))
+        hits = {tuple(r[c] for c in keys): int(r["i"]) for r in reached.groupBy(*keys).agg(F.min("rank").alias("i")).collect()}
+    seen = {tuple(r[c] for c in keys): int(r["u"]) for r in stat.collect()}  # one row per (group, column)
 
     specs: dict[tuple, FrequencySpec] = {}
     for g in groups:
         for c in cols:
-            _, u = stat.get((g, c), (0, 0))
+            u = seen.get((*g, c), 0)
             if kind == "index":
-                n_ent, null_v, other_v = u, u, u
+                specs[(g, c)] = FrequencySpec(c, g, u, u, u)
             else:
-                j = top.get((g, c), max(1, min(COVERAGE_MIN_TOP, u)))
-                n_ent, null_v, other_v = min(j, u), 0, j + 1
-            specs[(g, c)] = FrequencySpec(c, kind, g, null_v, other_v, n_entries=n_ent)
-
-    # bin of an entry: rank - 1 for the index, the rank itself for coverage
-    b_expr = (F.col("rank") - 1) if kind == "index" else F.col("rank")
-    if kind == "coverage":
-        lim_schema = T.StructType(
-            [df.schema[b] for b in by]
-            + [T.StructField("cname", T.StringType()), T.StructField("j", T.IntegerType())]
-        )
-        lim = spark.createDataFrame([(*g, c, top[(g, c)]) for (g, c) in top], lim_schema)
-        ranked = ranked.join(F.broadcast(lim), keys).where(F.col("rank") <= F.col("j"))
-    entries = ranked.select(*keys, "v", b_expr.cast("int").alias("b"), "rank")
-
-    small = [k for k, s in specs.items() if s.n_entries <= inline_max]
-    big = [k for k, s in specs.items() if s.n_entries > inline_max]
-    collected: dict[tuple, list] = {k: [] for k in small}
-    wanted = [k for k in small if specs[k].n_entries > 0]
-    if wanted:
-        cond = F.lit(False)
-        for g, c in wanted:
-            m = F.col("cname") == c
-            for b, gv in zip(by, g):
-                m = m & F.col(b).eqNullSafe(F.lit(gv))
-            cond = cond | m
-        # bounded: at most inline_max rows per selected (group, column)
-        for r in entries.where(cond).collect():
-            collected[(_group_key(r, by), r["cname"])].append((int(r["rank"]), r["v"], int(r["b"])))
-    for k, rows in collected.items():
-        specs[k].entries = [(v, b) for _, v, b in sorted(rows)]
-    if big:
-        # one lookup table per column, holding the entries of all its wide groups
-        table = materialize(entries)
-        for c in sorted({c for _, c in big}):
-            cond = F.lit(False)
-            for g, _ in [k for k in big if k[1] == c]:
-                m = F.lit(True)
-                for b, gv in zip(by, g):
-                    m = m & F.col(b).eqNullSafe(F.lit(gv))
-                cond = cond | m
-            col_table = table.where((F.col("cname") == c) & cond).select(*by, "v", "b", "rank")
-            for g, _ in [k for k in big if k[1] == c]:
-                specs[(g, c)].lookup = col_table
+                j = max(hits.get((*g, c), 1), min(COVERAGE_MIN_TOP, u))
+                specs[(g, c)] = FrequencySpec(c, g, 0, j + 1, min(j, u))
+    b = F.col("rank") - 1 if kind == "index" else F.col("rank")
+    entries = ranked
+    if kind == "coverage" and specs:
+        schema = T.StructType([*[T.StructField("_" + c, df.schema[c].dataType) for c in by], T.StructField("_cname", T.StringType()), T.StructField("j", T.IntegerType())])
+        limit = spark.createDataFrame([(*g, c, s.other_bin - 1) for (g, c), s in specs.items()], schema)
+        same = F.lit(True)
+        for c in keys:
+            same = same & ranked[c].eqNullSafe(limit["_" + c])
+        entries = ranked.join(F.broadcast(limit), same).where(F.col("rank") <= F.col("j"))
+    entries = materialize(entries.select(*keys, "v", "k", b.cast("int").alias("b")))
+    width = F.octet_length("v") + F.lit(ENTRY_BYTES)
+    for c in by:
+        width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    size = {r["cname"]: (int(r["n"]), int(r["bytes"])) for r in entries.groupBy("cname").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).collect()}
     if own:
         freq.unpersist()
     for t in temps:
         t.unpersist()
-    return specs
-
+    return FrequencyFit(by, specs, entries, size)
 
-def inline_sql(spec: FrequencySpec, ref: str) -> str:
-    """SQL text of the bin of ``ref`` (a string-valued expression) for an inline spec."""
-    parts = [f"WHEN {ref} IS NULL THEN {spec.null_value}"]
-    parts += [f"WHEN {ref} = {literal(v)} THEN {b}" for v, b in spec.entries or []]
-    return "CAST(CASE " + " ".join(parts) + f" ELSE {spec.other_value} END AS INT)"
 
+def lookup_join(df: DataFrame, entries: DataFrame, value: Column, out: str, by: list[str],
+                size: tuple[int, int], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``out``: the bin ``b`` of ``value`` in ``entries`` (by..., v, k, b), null if absent.
 
-def inline_expr(spec: FrequencySpec, column: str) -> Column:
-    """Bin of the string-valued column ``column`` for an inline spec."""
-    return F.expr(inline_sql(spec, ident(column)))
-
-
-def lookup_sql(spec: FrequencySpec, ref: str, joined: str) -> str:
-    """SQL text of the bin for a lookup spec: ``joined`` is the joined bin
-    column (null when the value is not in the table)."""
-    return (f"CAST(CASE WHEN {ref} IS NULL THEN {spec.null_value} "
-            f"ELSE coalesce({joined}, {spec.other_value}) END AS INT)")
-
+    Entries of at most ``broadcast_bytes`` are broadcast.  Of more, the most
+    frequent ones that fit are; rows that they answer, and rows without a
+    value, are spread evenly in the shuffle join that serves the others.
+    """
+    keyed = df.withColumn("_fb_v", value)
 
-def lookup_join(df: DataFrame, lookup: DataFrame, value: Column, out_col: str, by: list[str],
-                max_entries: int, broadcast_max: int = BROADCAST_MAX) -> DataFrame:
-    """Add ``out_col``: the bin of ``value`` in ``lookup`` (by..., v, b, rank), null if absent.
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"_{name}_{c}") for c in by], F.col("v").alias(f"_{name}_v"), F.col("b").alias(f"_{name}_b"))
 
-    One table serves every group of a column (its keys are group + value),
-    so a column needs one join whatever the number of groups.  The
-    ``broadcast_max`` most frequent entries of each group are broadcast (their
-    number is the proven bound).  Only rows whose value is rarer take a
-    shuffle join, with only the rarer entries, so no join key there is hot.
-    """
-    key = "_fb_v"
-    keyed = df.withColumn(key, value)
-    gcols = ["_fb_g_" + b for b in by]
-
-    def side(rows: DataFrame, v_name: str, b_name: str) -> DataFrame:
-        return rows.select(*[F.col(b).alias(g) for b, g in zip(by, gcols)],
-                           F.col("v").alias(v_name), F.col("b").alias(b_name))
-
-    def on(left: DataFrame, right: DataFrame, v_name: str) -> Column:
-        cond = left[key] == right[v_name]
-        for b, g in zip(by, gcols):
-            cond = cond & left[b].eqNullSafe(right[g])
+    def on(left: DataFrame, right: DataFrame, name: str, key: Column) -> Column:
+        cond = key == right[f"_{name}_v"]
+        for c in by:
+            cond = cond & left[c].eqNullSafe(right[f"_{name}_{c}"])
         return cond
 
-    hot = F.broadcast(side(lookup.where(F.col("rank") <= broadcast_max), "_fb_hv", "_fb_hb"))
-    step = keyed.join(hot, on(keyed, hot, "_fb_hv"), "left").drop("_fb_hv", *gcols)
-    if max_entries <= broadcast_max:
-        return step.withColumnRenamed("_fb_hb", out_col).drop(key)
-
-    matched = step.where(F.col("_fb_hb").isNotNull() | F.col(key).isNull())
-    rest = step.where(F.col("_fb_hb").isNull() & F.col(key).isNotNull()).drop("_fb_hb")
-    tail = side(lookup.where(F.col("rank") > broadcast_max), "_fb_tv", "_fb_tb")
-    rest = rest.join(tail, on(rest, tail, "_fb_tv"), "left").drop("_fb_tv", *gcols)
-    return (matched.withColumnRenamed("_fb_hb", out_col).drop(key)
-            .unionByName(rest.withColumnRenamed("_fb_tb", out_col).drop(key)))
+    n, n_bytes = size
+    if n_bytes <= broadcast_bytes:
+        table = F.broadcast(side(entries, "h"))
+        step = keyed.join(table, on(keyed, table, "h", keyed["_fb_v"]), "left")
+        return step.select(*df.columns, F.col("_h_b").alias(out))
+    fit = max(1, int(broadcast_bytes * n / n_bytes))
+    head = F.broadcast(side(entries.orderBy(F.col("k").desc(), "v", *by).limit(fit), "h"))
+    step = keyed.join(head, on(keyed, head, "h", keyed["_fb_v"]), "left").select(*df.columns, "_fb_v", "_h_b")
+    open_ = F.col("_h_b").isNull() & F.col("_fb_v").isNotNull()
+    step = step.withColumn("_fb_o", F.when(open_, F.col("_fb_v"))).withColumn(
+        "_fb_s", F.when(open_, F.lit(0)).otherwise(1 + F.monotonically_increasing_id() % SPREAD).cast("int"))
+    table = side(entries, "t").withColumn("_t_s", F.lit(0))
+    step = step.join(table, on(step, table, "t", step["_fb_o"]) & (step["_fb_s"] == table["_t_s"]), "left")
+    return step.select(*df.columns, F.coalesce("_h_b", "_t_b").alias(out))
+
+
+def frequency_bin(value: Column, found: Column, null_bin: Column, other_bin: Column) -> Column:
+    """The bin of a value given its entry's bin (null: no entry)."""
+    return F.when(value.isNull(), null_bin).otherwise(F.coalesce(found, other_bin)).cast("int")

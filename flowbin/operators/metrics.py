@@ -75,7 +75,11 @@ def auc_hard(pred: DataFrame, positive: float = 1.0, label_col: str = "label_bin
 
 def confusion_matrix(cm_rows, labels: list[float] | None = None) -> list[list[float]]:
     """Dense matrix (rows actual, columns predicted, labels ascending) from a
-    collected confusion table (at most classes^2 rows)."""
+    collected confusion table (at most classes^2 rows).
+
+    The classes are the actual labels, as MLlib's ``MulticlassMetrics`` has them: a
+    class that is only ever predicted has no row or column, its cells are left out.
+    """
     cells = {(float(r["label"]), float(r["prediction"])): float(r["n"]) for r in cm_rows}
-    labels = labels or sorted({a for a, _ in cells} | {p for _, p in cells})
+    labels = labels or sorted({a for a, _ in cells})
     return [[cells.get((a, p), 0.0) for p in labels] for a in labels]

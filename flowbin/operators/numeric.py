@@ -1,22 +1,20 @@
 """Standard-deviation bins with an exact two-sided trim (B1-B4).
 
 The trim keeps the rows ranked ``max(o, 1) .. n - o`` of each column sorted
-ascending, ``o = floor(n * trim)`` (non-null, non-NaN values only).  Equal
-values are interchangeable, so only the multiset of kept values matters and
-the whole fit runs on a value histogram ``H = (group, cname, v, k)``:
-
-1. ``H`` for all columns in one job (unpivot + partial aggregation, so a hot
-   value is collapsed map-side).
-2. The values at the two boundary ranks are found by exact selection: the
-   value range holding the rank is cut at approximate quantiles, bucket sums
-   locate the rank, and the range narrows until it holds at most
-   ``FINAL_ROWS`` histogram rows; only then one window numbers them.
-3. Kept copies per histogram row follow from the boundary values; mean and
-   sample standard deviation are weighted sums in two passes (no
-   ``E[x^2] - m^2`` cancellation), the minimum is the lower boundary value.
-
-The fitted edges are a handful of doubles per column, so the transform is a
-single ``CASE`` projection.
+ascending, ``o = floor(n * trim)`` (non-null, non-NaN values only).  The fit
+never shuffles the data:
+
+1. ``percentile_approx``, aggregated in the map tasks, gives for each column a
+   bracket of values round either boundary rank.
+2. Plain conditional aggregates count the values below and inside the brackets
+   and sum the values between them.  The counts prove that each rank lies in
+   its bracket; otherwise the bracket is widened and counted again.
+3. Only the values inside the brackets, about the sketch's error share of the
+   rows, are counted by value and ranked.  A value's kept copies follow from its
+   rank, so the trimmed count, sums and minimum are exact.
+
+Sums are taken round an approximate median, which avoids the cancellation of
+``E[x^2] - m^2``.  The fitted edges are a handful of doubles per column.
 """
 
 from __future__ import annotations
@@ -24,17 +22,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowbin.functions.sqltext import ident, literal
-from flowbin.session import keep
+from flowbin.operators.ranking import rank_and_cumsum
 
-#: Largest number of histogram rows one selection window may number.
-FINAL_ROWS = 1_000_000
-#: Cut points per narrowing round.
-N_CUTS = 256
+#: Accuracy of the sketch: ranks are off by at most n / ACCURACY.
+ACCURACY = 10_000
 
 
 @dataclass
@@ -49,150 +44,113 @@ class NumericSpec:
     minimum: float | None = None
 
 
-def histogram(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by..., cname, v double, k long) over non-null, non-NaN values."""
-    by = by or []
-    wide = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    long = wide.unpivot(by, cols, "cname", "v")
-    return (
-        long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy(*by, "cname", "v")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-
-
-def _targets_df(spark, by_fields, rows):
-    schema = T.StructType(
-        [T.StructField("tid", T.IntegerType())]
-        + by_fields
-        + [T.StructField("cname", T.StringType()),
-           T.StructField("lo_v", T.DoubleType()), T.StructField("hi_v", T.DoubleType()),
-           T.StructField("base", T.LongType()), T.StructField("r", T.LongType())]
-    )
-    return spark.createDataFrame(rows, schema)
-
-
-def select_ranks(
-    hist: DataFrame,
-    by_fields: list[T.StructField],
-    targets: list[tuple[tuple, str, int]],
-    final_rows: int = FINAL_ROWS,
-    n_cuts: int = N_CUTS,
-    sizes: dict[int, int] | None = None,
-) -> dict[tuple[tuple, str, int], tuple[float, int, int]]:
-    """Exact order statistics from a histogram.
-
-    ``targets`` are (group, cname, r) with 1-based rank ``r``.  Returns, per
-    target, ``(v, p, k)``: the value holding rank ``r``, the number of rows
-    below it and its own count.  Every window numbers at most ``final_rows``
-    rows (unless narrowing stalls, which needs fewer distinct values than
-    cut points and so is small anyway).
-    """
-    spark = hist.sparkSession
-    by = [f.name for f in by_fields]
-    state = {i: {"g": g, "c": c, "r": int(r), "lo": None, "hi": None, "base": 0, "size": None}
-             for i, (g, c, r) in enumerate(targets)}
-    result: dict[int, tuple[float, int, int]] = {}
-
-    def restricted(tids):
-        rows = [(i, *state[i]["g"], state[i]["c"], state[i]["lo"], state[i]["hi"],
-                 state[i]["base"], state[i]["r"]) for i in tids]
-        t = F.broadcast(_targets_df(spark, by_fields, rows))  # one row per target
-        j = hist.join(t, by + ["cname"])
-        return j.where((F.col("lo_v").isNull() | (F.col("v") >= F.col("lo_v")))
-                       & (F.col("hi_v").isNull() | (F.col("v") < F.col("hi_v"))))
-
-    pending = list(state)
-    known = dict(sizes or {})  # histogram rows per target, when the caller knows them
-    while pending:
-        if all(i in known for i in pending):
-            sizes = known
-        else:
-            sub = restricted(pending)
-            sizes = {r["tid"]: int(r["n"])
-                     for r in sub.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).collect()}
-        known = {}
-        final, narrow = [], []
-        for i in pending:
-            n = sizes.get(i, 0)
-            stalled = state[i]["size"] is not None and n >= state[i]["size"]
-            (final if n <= final_rows or stalled else narrow).append(i)
-            state[i]["size"] = n
-        if final:
-            w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-            hits = (
-                restricted(final)
-                .withColumn("cum", F.col("base") + F.sum("k").over(w))
-                .where((F.col("cum") - F.col("k") < F.col("r")) & (F.col("r") <= F.col("cum")))
-                .select("tid", "v", (F.col("cum") - F.col("k")).alias("p"), "k")
-                .collect()
-            )
-            for h in hits:
-                result[h["tid"]] = (float(h["v"]), int(h["p"]), int(h["k"]))
-        if narrow:
-            probs = [q / n_cuts for q in range(1, n_cuts)]
-            sub_n = restricted(narrow)
-            cuts = {
-                r["tid"]: sorted(set(r["q"]))
-                for r in sub_n.groupBy("tid")
-                .agg(F.percentile_approx("v", probs, 10 * n_cuts).alias("q")).collect()
-            }
-            cut_schema = T.StructType([T.StructField("tid", T.IntegerType()),
-                                       T.StructField("cuts", T.ArrayType(T.DoubleType()))])
-            cut_df = F.broadcast(spark.createDataFrame([(i, cuts[i]) for i in narrow], cut_schema))
-            bucket = F.size(F.filter("cuts", lambda x: x <= F.col("v")))
-            sums = (
-                sub_n.join(cut_df, "tid")
-                .groupBy("tid", bucket.alias("bucket"))
-                .agg(F.sum("k").alias("s"))
-                .collect()
-            )
-            per: dict[int, dict[int, int]] = {}
-            for r in sums:
-                per.setdefault(r["tid"], {})[int(r["bucket"])] = int(r["s"])
-            for i in narrow:
-                st, cs, acc = state[i], cuts[i], state[i]["base"]
-                for b in sorted(per.get(i, {})):
-                    s = per[i][b]
-                    if acc < st["r"] <= acc + s:
-                        st["lo"] = cs[b - 1] if b > 0 else st["lo"]
-                        st["hi"] = cs[b] if b < len(cs) else st["hi"]
-                        st["base"] = acc
-                        break
-                    acc += s
-        pending = list(narrow)
-    return {(state[i]["g"], state[i]["c"], state[i]["r"]): result[i] for i in result}
-
-
-def _boundaries_by_window(hist: DataFrame, by: list[str], trim: float) -> dict:
-    """Both boundary values of every (group, column) in one window job.
-
-    Used when every column's histogram has at most ``FINAL_ROWS`` rows (known
-    from the totals), so one task may number a whole column.  The window
-    gives each value its running count and the column total; only the rows
-    holding rank ``max(o, 1)`` or ``n - o`` are kept and collected (at most
-    two per column).
+def unpivoted(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """(by..., cname, v): every non-null, non-NaN value as a double; map-only."""
+    items = [F.struct(F.lit(c).alias("cname"), F.col(c).cast("double").alias("v")) for c in cols]
+    return df.select(*by, F.inline(F.array(*items))).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[k])
+    return cond
+
+
+def _brackets(long: DataFrame, keys: list[str], trim: float, accuracy: int, reach: float) -> dict:
+    """Per (group..., column): n, both ranks, a centre, and the two brackets."""
+    shares = [trim - reach, trim + reach, 1 - trim - reach, 1 - trim + reach, 0.5]
+    q = F.percentile_approx("v", [min(max(p, 0.0), 1.0) for p in shares], accuracy)
+    out = {}
+    # one row per (group, column)
+    for r in long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"), q.alias("q")).collect():
+        n, o = r["n"], math.floor(r["n"] * trim)
+        a1, b1, a2, b2, c = r["q"]
+        # the sketch is exact at neither end: a share beyond it is open
+        out[tuple(r[k] for k in keys)] = {
+            "n": n, "lo": max(o, 1), "hi": n - o, "c": c if math.isfinite(c) else 0.0,
+            "a1": r["mn"] if shares[0] <= 0 else a1, "b1": r["mx"] if shares[1] >= 1 else b1,
+            "a2": r["mn"] if shares[2] <= 0 else a2, "b2": r["mx"] if shares[3] >= 1 else b2}
+    return out
+
+
+def _frame(spark, fields: list[T.StructField], rows: dict, names: dict[str, T.DataType]) -> DataFrame:
+    schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in names.items()]])
+    return spark.createDataFrame([(*k, *[v[n] for n in names]) for k, v in rows.items()], schema)
+
+
+def trim_stats(df: DataFrame, cols: list[str], trim: float = 0.02, by: list[str] | None = None,
+               accuracy: int = ACCURACY) -> DataFrame:
+    """(by..., cname, n_rows, n_kept, mean, sd, minimum) of the trimmed values.
+
+    Columns without any non-null, non-NaN value have no row.  The driver holds
+    one record per (group, column).
     """
+    by = list(by or [])
+    spark = df.sparkSession
     keys = by + ["cname"]
-    run = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    x = hist.select(*keys, "v", "k", F.sum("k").over(run).alias("cum"), F.sum("k").over(whole).alias("n"))
-    o = F.floor(F.col("n") * F.lit(float(trim)))
-    lo, hi = F.greatest(o, F.lit(1)), F.col("n") - o
-    below = F.col("cum") - F.col("k")
-    hit_lo = (below < lo) & (lo <= F.col("cum"))
-    hit_hi = (below < hi) & (hi <= F.col("cum"))
-    rows = (x.where((hit_lo | hit_hi) & (hi >= lo))
-            .select(*keys, "v", below.alias("p"), "k", lo.alias("lo"), hi.alias("hi"),
-                    hit_lo.alias("is_lo"), hit_hi.alias("is_hi"))
-            .collect())
-    picks = {}
-    for r in rows:
-        g = tuple(r[b] for b in by)
-        for flag, rank in (("is_lo", "lo"), ("is_hi", "hi")):
-            if r[flag]:
-                picks[(g, r["cname"], int(r[rank]))] = (float(r["v"]), int(r["p"]), int(r["k"]))
-    return picks
+    fields = [df.schema[b] for b in by] + [T.StructField("cname", T.StringType())]
+    long = unpivoted(df, cols, by)
+    x, s = F.col("v"), F.sum
+    first = (x >= F.col("a1")) & (x <= F.col("b1"))
+    second = (x >= F.col("a2")) & (x <= F.col("b2"))
+    middle = (x > F.col("b1")) & (x < F.col("a2"))
+    dev = x - F.col("c")
+    numbers = {n: T.DoubleType() for n in ("a1", "b1", "a2", "b2", "c")}
+    ranks = {"lo": T.LongType(), "hi": T.LongType()}
+    done: dict = {}
+    sums: dict = {}
+    reach = 2.0 / accuracy
+    todo = long
+    while True:
+        found = _brackets(todo, keys, trim, accuracy, reach)
+        if found:
+            table = F.broadcast(_frame(spark, fields, found, numbers))  # one row per (group, column)
+            both = todo.join(table, _on(todo, table, keys)).drop(*[table[k] for k in keys])
+            count = lambda cond: s(F.when(cond, 1).otherwise(0))
+            rows = both.groupBy(*keys).agg(
+                count(x < F.col("a1")).alias("below1"), count(first).alias("in1"), count(x < F.col("a2")).alias("below2"), count(second).alias("in2"),
+                count(middle).alias("nm"), s(F.when(middle, dev)).alias("sm"), s(F.when(middle, dev * dev)).alias("ssm")).collect()
+            for r in rows:
+                k = tuple(r[c] for c in keys)
+                f = found[k]
+                if f["hi"] < f["lo"] or (r["below1"] < f["lo"] <= r["below1"] + r["in1"] and r["below2"] < f["hi"] <= r["below2"] + r["in2"]):
+                    done[k], sums[k] = f, r
+        left = {k: {} for k in found if k not in done}
+        if not left:
+            break
+        reach *= 8  # beyond 1 the brackets hold everything
+        todo = long.join(F.broadcast(_frame(spark, fields, left, {})), keys, "left_semi") if not by else long.join(
+            (t := F.broadcast(_frame(spark, fields, left, {}))), _on(long, t, keys), "left_semi")
+
+    kept: list[DataFrame] = []
+    some = {k: f | {"below": int(sums[k]["below1"]), "nm": int(sums[k]["nm"])} for k, f in done.items() if f["hi"] >= f["lo"]}
+    inner: dict = {}
+    if some:
+        table = F.broadcast(_frame(spark, fields, some, numbers | ranks | {"below": T.LongType(), "nm": T.LongType()}))
+        both = long.join(table, _on(long, table, keys)).drop(*[table[k] for k in keys]).where(first | second)
+        extra = ["a2", "c", "lo", "hi", "below", "nm"]
+        hist = both.groupBy(*keys, "v", *extra).agg(F.count(F.lit(1)).alias("k"))
+        placed = rank_and_cumsum(hist, keys, [F.col("v").asc()], "k", kept=kept)
+        before = F.col("below") + F.col("cum") - F.col("k") + F.when(x >= F.col("a2"), F.col("nm")).otherwise(0)
+        w = F.greatest(F.lit(0), F.least(before + F.col("k"), F.col("hi")) - F.greatest(before, F.col("lo") - 1))
+        weighed = placed.withColumn("w", w).where("w > 0")
+        for r in weighed.groupBy(*keys).agg(s("w").alias("n"), s(F.col("w") * dev).alias("s"), s(F.col("w") * dev * dev).alias("ss"), F.min("v").alias("mn")).collect():
+            inner[tuple(r[c] for c in keys)] = r
+    for t in kept:
+        t.unpersist()
+
+    out = {}
+    for k, f in done.items():
+        row = {"n_rows": int(f["n"]), "n_kept": 0, "mean": None, "sd": None, "minimum": None}
+        if k in inner:
+            m, r = sums[k], inner[k]
+            n = int(m["nm"]) + int(r["n"])
+            total, square = (m["sm"] or 0.0) + r["s"], (m["ssm"] or 0.0) + r["ss"]
+            sd = math.sqrt(max(square - total * total / n, 0.0) / (n - 1)) if n > 1 else 0.0
+            row |= {"n_kept": n, "mean": f["c"] + total / n, "sd": sd, "minimum": r["mn"]}
+        out[k] = row
+    return _frame(spark, fields, out, {"n_rows": T.LongType(), "n_kept": T.LongType(), "mean": T.DoubleType(), "sd": T.DoubleType(), "minimum": T.DoubleType()})
 
 
 def _center(m: Column, s: Column, mn: Column) -> Column:
@@ -204,138 +162,27 @@ def _center(m: Column, s: Column, mn: Column) -> Column:
     return F.when(mn >= 0, shifted).otherwise(m)
 
 
-def trim_stats(
-    df: DataFrame,
-    cols: list[str],
-    trim: float = 0.02,
-    by: list[str] | None = None,
-    final_rows: int = FINAL_ROWS,
-    n_cuts: int = N_CUTS,
-) -> DataFrame:
-    """(by..., cname, n_rows, n_kept, mean, sd, minimum) of the trimmed values.
-
-    Runs the boundary selection now (small jobs); the returned frame is lazy.
-    Columns without any non-null, non-NaN value have no row.
-    """
-    return _trim_stats(df, cols, trim, by, final_rows, n_cuts)[0]
-
-
-def _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist=None, totals_known=None):
-    by = by or []
-    spark = df.sparkSession
-    by_fields = [df.schema[b] for b in by]
-    keys = by + ["cname"]
-    if hist is None:
-        hist = keep(histogram(df, cols, by))
-    else:
-        hist = hist.where(F.col("cname").isin(cols))
-
-    if totals_known is None:
-        tot_rows = hist.groupBy(*keys).agg(F.sum("k").alias("n_rows"), F.count(F.lit(1)).alias("u")).collect()
-        known = {(tuple(r[b] for b in by), r["cname"]): (int(r["n_rows"]), int(r["u"])) for r in tot_rows}
-    else:
-        known = {key: v for key, v in totals_known.items() if key[1] in cols}
-    # one row per (group, column)
-    n_of = {key: n for key, (n, _) in known.items()}
-    u_of = {key: u for key, (_, u) in known.items()}
-
-    bounds: dict[tuple, tuple[int, int]] = {}
-    targets = []
-    for (g, c), n in n_of.items():
-        o = math.floor(n * trim)
-        lo, hi = max(o, 1), n - o
-        if hi >= lo:
-            bounds[(g, c)] = (lo, hi)
-            targets += [(g, c, lo), (g, c, hi)]
-    if targets and all(u_of[(g, c)] <= final_rows for g, c, _ in targets):
-        picks = _boundaries_by_window(hist, by, trim)
-    else:
-        sizes = {i: u_of[(g, c)] for i, (g, c, _) in enumerate(targets)}
-        picks = select_ranks(hist, by_fields, targets, final_rows, n_cuts, sizes) if targets else {}
-
-    rows = []
-    for (g, c), (lo, hi) in bounds.items():
-        v_lo, p_lo, k_lo = picks[(g, c, lo)]
-        v_hi, p_hi, _ = picks[(g, c, hi)]
-        w_lo = (hi - lo + 1) if v_lo == v_hi else (p_lo + k_lo - lo + 1)
-        rows.append((*g, c, v_lo, v_hi, int(w_lo), int(hi - p_hi)))
-    bschema = T.StructType(
-        by_fields + [T.StructField("cname", T.StringType()),
-                     T.StructField("v_lo", T.DoubleType()), T.StructField("v_hi", T.DoubleType()),
-                     T.StructField("w_lo", T.LongType()), T.StructField("w_hi", T.LongType())])
-    bt = F.broadcast(spark.createDataFrame(rows, bschema))  # one row per (group, column)
-    w = (F.when((F.col("v") < F.col("v_lo")) | (F.col("v") > F.col("v_hi")), F.lit(0))
-         .when(F.col("v") == F.col("v_lo"), F.col("w_lo"))
-         .when(F.col("v") == F.col("v_hi"), F.col("w_hi"))
-         .otherwise(F.col("k")))
-    kept = hist.join(bt, keys).withColumn("w", w).where(F.col("w") > 0)
-    # first pass: kept rows, mean, minimum (one row per (group, column))
-    first = {
-        (tuple(r[b] for b in by), r["cname"]): (int(r["n_kept"]), float(r["mean"]), float(r["minimum"]))
-        for r in kept.groupBy(*keys).agg(
-            F.sum("w").alias("n_kept"),
-            (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"),
-            F.min("v").alias("minimum"),
-        ).collect()
-    }
-    # second pass around the mean (no E[x^2] - m^2 cancellation)
-    mschema = T.StructType(by_fields + [T.StructField("cname", T.StringType()),
-                                        T.StructField("mean", T.DoubleType())])
-    means = F.broadcast(spark.createDataFrame([(*g, c, m) for (g, c), (_, m, _) in first.items()], mschema))
-    dev = F.col("v") - F.col("mean")
-    ss = {
-        (tuple(r[b] for b in by), r["cname"]): float(r["ss"])
-        for r in kept.join(means, keys).groupBy(*keys).agg(F.sum(F.col("w") * dev * dev).alias("ss")).collect()
-    }
-    sschema = T.StructType(by_fields + [
-        T.StructField("cname", T.StringType()), T.StructField("n_rows", T.LongType()),
-        T.StructField("n_kept", T.LongType()), T.StructField("mean", T.DoubleType()),
-        T.StructField("sd", T.DoubleType()), T.StructField("minimum", T.DoubleType())])
-    rows_out = []
-    for (g, c), n in n_of.items():
-        if (g, c) in first:
-            nk, m, mn = first[(g, c)]
-            sd = math.sqrt(ss[(g, c)] / (nk - 1)) if nk > 1 else 0.0
-            rows_out.append((*g, c, n, nk, m, sd, mn))
-        else:
-            rows_out.append((*g, c, n, 0, None, None, None))
-    # one row per (group, column), every value computed by the jobs above
-    out = spark.createDataFrame(rows_out, sschema)
-    return out, hist
-
-
 def edges_frame(stats: DataFrame) -> DataFrame:
     """Add the shifted centre and the five interior edges e1..e5 (with repeats)."""
     m, s, mn = F.col("mean"), F.coalesce(F.col("sd"), F.lit(0.0)), F.col("minimum")
-    c = _center(m, s, mn)
-    out = stats.withColumn("center", c)
+    out = stats.withColumn("center", _center(m, s, mn))
     cc = F.col("center")
     return out.select(
         "*", (cc - s * 2).alias("e1"), (cc - s).alias("e2"), cc.alias("e3"),
         (cc + s).alias("e4"), (cc + s * 2).alias("e5"))
 
 
-def fit_numeric(
-    df: DataFrame,
-    cols: list[str],
-    trim: float = 0.02,
-    by: list[str] | None = None,
-    final_rows: int = FINAL_ROWS,
-    n_cuts: int = N_CUTS,
-    hist: DataFrame | None = None,
-    totals: dict[tuple, tuple[int, int]] | None = None,
-) -> dict[tuple, NumericSpec]:
-    """Fit trimmed mean / sd / min and edges per (group, column).
-
-    ``hist`` may hold a precomputed :func:`histogram` (kept by the caller)
-    and ``totals`` its ``{(group, column): (rows, distinct values)}``.
+def fit_numeric(df: DataFrame, cols: list[str], trim: float = 0.02, by: list[str] | None = None,
+                groups: list[tuple] | None = None, accuracy: int = ACCURACY) -> dict[tuple, NumericSpec]:
+    """Fit trimmed mean / sd / min and edges; ``{(group, column): spec}``.
+
+    ``groups`` lists all groups of the data; a group or column without values
+    gets a spec without edges.
     """
-    by = by or []
+    by = list(by or [])
     specs: dict[tuple, NumericSpec] = {}
-    own = hist is None
-    stats, hist = _trim_stats(df, cols, trim, by, final_rows, n_cuts, hist, totals)
     # one row per (group, column)
-    for r in edges_frame(stats).collect():
+    for r in edges_frame(trim_stats(df, cols, trim, by, accuracy)).collect():
         g = tuple(r[b] for b in by)
         sp = NumericSpec(r["cname"], g, n_rows=int(r["n_rows"]), n_kept=int(r["n_kept"]))
         if r["mean"] is not None:
@@ -344,25 +191,16 @@ def fit_numeric(
                 if e not in sp.edges:
                     sp.edges.append(float(e))
         specs[(g, r["cname"])] = sp
-    if own:
-        hist.unpersist()
-    groups = {g for g, _ in specs} or {()}
-    for g in groups:
+    for g in groups or ({g for g, _ in specs} or {()}):
         for c in cols:
             specs.setdefault((g, c), NumericSpec(c, g))
     return specs
 
 
-def numeric_sql(spec: NumericSpec, ref: str) -> str:
-    """SQL text of the bin of ``ref`` (a double expression): null 0, NaN one
-    past the last bucket, else 1 + the number of edges <= value."""
-    n = len(spec.edges)
-    parts = [f"WHEN {ref} IS NULL THEN 0", f"WHEN isnan({ref}) THEN {n + 2}"]
-    for i in range(n - 1, -1, -1):
-        parts.append(f"WHEN {ref} >= {literal(float(spec.edges[i]))} THEN {i + 2}")
-    return "CAST(CASE " + " ".join(parts) + " ELSE 1 END AS INT)"
-
-
-def numeric_expr(spec: NumericSpec, column: str) -> Column:
-    """Bin of the numeric column ``column``."""
-    return F.expr(numeric_sql(spec, f"CAST({ident(column)} AS DOUBLE)"))
+def numeric_bin(value: Column, edges: list[Column], n_edges: Column) -> Column:
+    """Bin of a double: null 0, NaN one past the last bucket, else 1 + the number
+    of edges <= value.  Missing edges are null and count nothing."""
+    above = F.lit(1)
+    for e in edges:
+        above = above + F.coalesce((value >= e).cast("int"), F.lit(0))
+    return F.when(value.isNull(), 0).when(F.isnan(value), n_edges + 2).otherwise(above).cast("int")

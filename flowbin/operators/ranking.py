@@ -1,25 +1,19 @@
 """Row numbers and running sums over a total order, without one giant task.
 
 ``row_number() OVER (ORDER BY ...)`` without ``PARTITION BY`` plans an
-``Exchange SinglePartition``: every row goes to one task.  The helpers here
-use a single window only when the input is proven small (its row count is
-checked); above that they range-partition the rows on the ordering, number
-them inside each range partition and add the sizes of the preceding
-partitions, which come from a table with one row per (group, partition).
+``Exchange SinglePartition``: every row goes to one task.  Here the rows are
+range-partitioned on the ordering, numbered inside each range partition, and
+shifted by the sizes of the preceding partitions, which come from a table with
+one row per (group, partition).  There is one path for every size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbin.session import keep
 
-#: Largest number of rows one window task may sort in the single-window path.
-SINGLE_TASK_ROWS = 1_000_000
-
 
 def _join_cond(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     cond = F.lit(True)
@@ -35,33 +29,18 @@ def rank_and_cumsum(
     sum_col: str | None = None,
     rank_col: str = "rank",
     cum_col: str = "cum",
-    n_rows: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
     kept: list | None = None,
 ) -> DataFrame:
     """Add a 1-based ``rank_col`` (and inclusive running sum of ``sum_col``).
 
     ``order_cols`` must be a strict total order inside each ``part_cols``
     group (callers add the value as the last tie-break).  The range-partitioned
-    copy the large path keeps (its partition ids must not change between the
-    two reads) is appended to ``kept`` so the caller can release it.
+    copy is kept, since its partition ids must not change between the two
+    reads; it is appended to ``kept`` so that the caller can release it.
     """
-    if n_rows is None:
-        n_rows = df.count()
-    if n_rows <= single_task_rows:
-        w = Window.partitionBy(*part_cols).orderBy(*order_cols)
-        out = df.withColumn(rank_col, F.row_number().over(w))
-        if sum_col is not None:
-            out = out.withColumn(
-                cum_col, F.sum(sum_col).over(w.rowsBetween(Window.unboundedPreceding, 0))
-            )
-        return out
-
-    n_parts = max(2, math.ceil(n_rows / single_task_rows) * 2)
     ranged = keep(
-        df.repartitionByRange(n_parts, *[F.col(c) for c in part_cols], *order_cols)
-        .withColumn("_pid", F.spark_partition_id())
-    )
+        df.repartitionByRange(*[F.col(c) for c in part_cols], *order_cols)
+        .withColumn("_pid", F.spark_partition_id()), eager=False)
     if kept is not None:
         kept.append(ranged)
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -80,12 +59,9 @@ def rank_and_cumsum(
         local = local.withColumn(
             "_lcum", F.sum(sum_col).over(local_w.rowsBetween(Window.unboundedPreceding, 0))
         )
-    # one row per (group, range partition): bounded by groups x n_parts
-    offs_b = F.broadcast(offs)
-    joined = local.join(offs_b, _join_cond(local, offs_b, part_cols + ["_pid"]))
-    out = joined.select(
+    joined = local.join(offs, _join_cond(local, offs, part_cols + ["_pid"]))
+    return joined.select(
         *[local[c] for c in df.columns],
-        (local["_lrn"] + offs_b["_off_n"]).cast("int").alias(rank_col),
-        *([(local["_lcum"] + offs_b["_off_s"]).alias(cum_col)] if sum_col is not None else []),
+        (local["_lrn"] + offs["_off_n"]).cast("int").alias(rank_col),
+        *([(local["_lcum"] + offs["_off_s"]).alias(cum_col)] if sum_col is not None else []),
     )
-    return out

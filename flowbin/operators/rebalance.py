@@ -13,13 +13,12 @@ from those counts; then attack rows and benign rows are each read once:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowbin.functions.labels import hash_unit
+from flowbin.functions.labels import row_unit
 from flowbin.sources.schema import BENIGN, ID_COL, LABEL_COL
 
 # The name of the single multi-class task, the two tactics the
@@ -134,7 +133,7 @@ def rebalance(df: DataFrame, attack_pct: float, num_top_labels: int,
     row_tasks = (F.when(label == F.lit(benign), benign_tasks)
                  .when(label.isin(tasks), F.array(label))
                  .otherwise(F.array().cast("array<string>")))
-    draw = hash_unit(id_col, seed_part) if sampler == "hash" else F.rand(seed)
+    draw = row_unit(df, id_col, seed_part) if sampler == "hash" else F.rand(seed)
     # the draw is computed once per row, before the generator
     with_u = df.select("*", F.when(label == F.lit(benign), draw).alias("_fb_u"))
     return with_u.select(F.explode(row_tasks).alias("task"), *df.columns)
@@ -153,15 +152,6 @@ def gate_tasks(tasks: DataFrame, min_rows: int = MIN_TASK_ROWS) -> DataFrame:
     return tasks.join(F.broadcast(sizes.select("task")), "task", "left_semi")
 
 
-def filter_tasks(tasks: DataFrame, names: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:
-    """Keep the named tasks; every name must be a known task."""
-    if known is not None:
-        missing = [n for n in names if n not in set(known)]
-        if missing:
-            raise KeyError("unknown task(s): " + ", ".join(missing))
-    return tasks.where(F.col("task").isin(list(names)))
-
-
 def make_tasks(df: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_labels: int = 10,
                tactics: Sequence[str] | None = DEFAULT_TACTICS, label_col: str = LABEL_COL,
                benign: str = BENIGN, sampler: str = "hash") -> DataFrame:
@@ -171,8 +161,3 @@ def make_tasks(df: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
         return df.select(F.lit(ALL_TASK).alias("task"), *df.columns)
     return rebalance(df, attack_pct, num_top_labels, label_col, benign,
                      keep=list(tactics) if tactics else None, sampler=sampler)
-
-
-def expected_copies(quota: float, benign_rows: int) -> tuple[float, int]:
-    """(frac, copies) for a quota, as in the plan table."""
-    return (quota % benign_rows) / benign_rows, int(math.floor(math.floor(quota) / benign_rows))

@@ -22,22 +22,34 @@ from flowbin.operators.models import PREFIX_SIZES, assemble, feature_columns, fi
 from flowbin.operators.rebalance import MIN_TASK_ROWS, make_tasks
 from flowbin.operators.split import hash_split, random_split, split_flag
 from flowbin.plans.labelling import add_binary_label, add_multiclass_label
-from flowbin.session import ensure_parallelism, materialize
+from flowbin.session import materialize
 from flowbin.sources.schema import ID_COL, LABEL_COL
 from flowbin.sources.results import append_results, results_frame
 
 
 def feature_distinct_counts(df: DataFrame, cols: list[str], approx: bool = False,
                             rsd: float = 0.01) -> DataFrame:
-    """One row: the number of distinct values of each column (one job).
+    """One row: the number of distinct values of each column.
 
-    Exact counts expand each row once per column before the partial
-    aggregate; ``approx=True`` uses HyperLogLog++ sketches (one pass, fixed
-    memory) with relative standard deviation ``rsd``.
+    Exact counts group the unpivoted (column, value) pairs, which the map-side
+    partial aggregate collapses; ``approx=True`` uses HyperLogLog++ sketches
+    (fixed memory) with relative standard deviation ``rsd``.
     """
     if approx:
         return df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in cols])
-    return df.agg(*[F.count_distinct(c).alias(c) for c in cols])
+    items = [F.struct(F.lit(c).alias("cname"), F.col(c).cast("string").alias("v")) for c in cols]
+    values = df.select(F.inline(F.array(*items))).where("v IS NOT NULL").groupBy("cname", "v").agg(F.count(F.lit(1)).alias("k"))
+    sizes = values.groupBy("cname").agg(F.count(F.lit(1)).alias("u"))
+    return sizes.agg(*[F.coalesce(F.max(F.when(F.col("cname") == c, F.col("u"))), F.lit(0)).alias(c) for c in cols])
+
+
+def check_models(models: Sequence[str], binary: bool) -> None:
+    """Raise before any job if a model does not exist or cannot learn the labels."""
+    for kind in models:
+        if kind not in ("rf", "gbt"):
+            raise ValueError(f"unknown model {kind!r}")
+        if kind == "gbt" and not binary:
+            raise ValueError("gradient-boosted trees need labels 0.0 / 1.0 (binary tasks only)")
 
 
 def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_labels: int = 10,
@@ -76,13 +88,13 @@ def prepare(flows: DataFrame, binary: bool, attack_pct: float = 0.3, num_top_lab
     else:
         labelled = add_multiclass_label(gated, by=["task"])
     fit_rows = labelled if fit_bins_on == "all" else labelled.where(split_flag(train_share) == "train")
-    model = BinningModel.fit(fit_rows, config, by=["task"])
+    model = BinningModel.fit(fit_rows, config, by=["task"], groups_of=labelled)
     binned = model.transform(labelled)
     if not binary and fit_bins_on == "all":
         binned = binned.withColumn("label_bin", F.col(LABEL_COL + "_bin").cast("double"))
     label_cols = [c for c in (LABEL_COL, LABEL_COL + "_bin", "label_bin") if c in binned.columns]
     narrow = binned.select("task", ID_COL, *label_cols, *model.feature_names())
-    binned = materialize(ensure_parallelism(narrow))
+    binned = materialize(narrow)
     if sampler == "bernoulli":
         tasks.unpersist()
     return binned, model, time.perf_counter() - t0
@@ -95,12 +107,17 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
                    results_path: str | None = None, model_params: dict | None = None,
                    config: BinningConfig | None = None, fit_bins_on: str = "all",
                    sampler: str = "hash") -> DataFrame:
-    """Tasks x feature prefixes x models; one results row per model fit."""
+    """Tasks x feature prefixes x models; one results row per model fit.
+
+    With ``results_path`` each row is appended as soon as its fit has ended, so a
+    later failure loses none.
+    """
     if fit_bins_on == "train" and split != "hash":
         raise ValueError("fit_bins_on='train' needs the deterministic hash split")
+    check_models(models, binary)
     spark = flows.sparkSession
     start = datetime.datetime.now().strftime("%H:%M:%S")
-    binned, _, bin_time = prepare(flows, binary, attack_pct, num_top_labels, tactics, min_rows, config,
+    binned, model, bin_time = prepare(flows, binary, attack_pct, num_top_labels, tactics, min_rows, config,
                                   fit_bins_on, sampler=sampler)
     task_names = sorted(r["task"] for r in binned.select("task").distinct().collect())  # few tasks
     rows = []
@@ -110,6 +127,7 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
             cols = feature_columns(one, n)
             feats = assemble(one, cols)
             train, test = hash_split(feats) if split == "hash" else random_split(feats)
+            seen = feature_distinct_counts(train, cols).first()
             for kind in models:
                 params = (model_params or {}).get(kind, {})
                 _, _, cm_df, t_train, t_test = fit_predict(kind, train, test, **params)
@@ -120,11 +138,11 @@ def run_experiment(flows: DataFrame, binary: bool, models: Sequence[str] = ("rf"
                     start, dataset, task, kind, float(attack_pct), len(cols), cols, cm,
                     m["accuracy"], m["precision"], m["recall"], m["f_measure"],
                     m["auc_hard"] if (binary or kind == "gbt") else None,
-                    m["true_positive"], m["false_positive"], bin_time, t_train, t_test,
+                    m["true_positive"], m["false_positive"], bin_time, t_train, t_test, [int(seen[c]) for c in cols],
                 ))
+                if results_path:
+                    append_results(results_frame(spark, rows[-1:]), results_path)
     binned.unpersist()
-    res = results_frame(spark, rows)
-    if results_path:
-        append_results(res, results_path)
-    return res
+    model.release()
+    return results_frame(spark, rows)
 

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbin.functions.labels import binary_label
-from flowbin.functions.sqltext import ident
-from flowbin.operators.binning import _frequency_bin
-from flowbin.operators.frequency import fit_frequency
+from flowbin.operators.binning import BinningConfig, BinningModel
 from flowbin.sources.schema import BENIGN, LABEL_COL
 
 
@@ -22,12 +20,6 @@ def add_multiclass_label(df: DataFrame, label_col: str = LABEL_COL, by: list[str
                          out: str = "label_bin") -> DataFrame:
     """Frequency rank of the label with full coverage: most frequent class 1.0,
     null label 0.0; adds ``<label>_bin`` (int) and ``out`` (double)."""
-    by = by or []
-    specs = fit_frequency(df, [label_col], "coverage", 1.0, by=by)
-    value = "_fb_lbl_v"
-    res = df.withColumn(value, F.col(label_col).cast("string"))
-    per = {g: s for (g, _), s in specs.items()}
-    res, text = _frequency_bin(res, per, F.col(value), ident(value), "_fb_lbl_j", by)
-    res = res.withColumn(label_col + "_bin", F.expr(text))
-    res = res.drop(*[c for c in res.columns if c.startswith("_fb_lbl_")])
+    config = BinningConfig(ip=[], port=[], boolean=[], nominal=[], numeric=[], extra_coverage={label_col: 1.0})
+    res = BinningModel.fit(df, config, by=by).transform(df)
     return res.withColumn(out, F.col(label_col + "_bin").cast("double"))

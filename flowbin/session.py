@@ -27,9 +27,9 @@ def local_session(app: str = "flowbin", partitions: int = 8, cores: str = "*") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # HotSpot does not JIT methods above 8000 bytes of bytecode; past that
-        # size Spark falls back to split, compilable code for the stage
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # small files are split over the cores by the scan itself
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "512k")
         .getOrCreate()
     )
 
@@ -71,10 +71,7 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
         except Exception:  # pragma: no cover - sessions without a SparkContext
             pass
         return df.checkpoint(eager=eager)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if eager:
-        kept.count()
-    return kept
+    return keep(df, eager)
 
 
 def keep(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -93,33 +90,20 @@ def keep(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (else the warehouse)."""
-    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    base = checkpoint_dir(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/_flowbin/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder on whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def force(df: DataFrame) -> None:
     """Run the whole plan of ``df`` without collecting it (noop sink)."""
     df.write.format("noop").mode("overwrite").save()
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` over at least ``min_partitions`` (default: the cluster's
-    parallelism) when it has fewer, e.g. one small file read as one split.
-
-    Large inputs already have more partitions than cores, so this adds no
-    shuffle for them.  Only plans without an exchange are inspected: their
-    partition count is known from planning alone, whereas asking an adaptive
-    plan with shuffles for its RDD would run those shuffles.
-    """
-    try:
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        if "Exchange" in plan:
-            return df
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave as is
-        return df
-    if have < want:
-        return df.repartition(want)
-    return df

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowbin.session import ensure_parallelism
-
 _LABEL_KEY = "(l_orderkey*31 + l_linenumber*7 + l_partkey) % 1000"
 
 CONN_SELECT: list[tuple[str, str]] = [
@@ -73,13 +71,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def conn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw flow fixture (source column names) over the whole ``lineitem``.
-
-    A table stored as one row group is read by one task; it is spread over
-    the cores first (no-op for inputs that already have enough splits).
-    """
-    li = ensure_parallelism(table(spark, sf_dir, "lineitem"))
-    return li.selectExpr(*[f"{e} AS {a}" for e, a in CONN_SELECT])
+    """The raw flow fixture (source column names) over the whole ``lineitem``."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {a}" for e, a in CONN_SELECT])
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from flowbin.sources.schema import FLOW_RAW, RENAME_MAP, require_columns
+
 RESULTS = T.StructType([
     T.StructField("start", T.StringType()),
     T.StructField("dataset", T.StringType()),
@@ -24,6 +26,7 @@ RESULTS = T.StructType([
     T.StructField("bin_time", T.DoubleType()),
     T.StructField("train_time", T.DoubleType()),
     T.StructField("test_time", T.DoubleType()),
+    T.StructField("train_distinct", T.ArrayType(T.LongType())),  # values of each feature in the training rows
 ])
 
 
@@ -38,21 +41,42 @@ def append_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "csv":
         flat = results.selectExpr(
             "*", "concat_ws(' ', feature_cols) AS feature_list",
-            "to_json(cfsn_mtrx) AS matrix_json").drop("feature_cols", "cfsn_mtrx")
+            "to_json(cfsn_mtrx) AS matrix_json",
+            "to_json(train_distinct) AS distinct_json").drop("feature_cols", "cfsn_mtrx", "train_distinct")
         flat.coalesce(1).write.mode("append").option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
 
 
-def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", infer: bool = False) -> DataFrame:
-    """Scan raw flow files.  CSV uses the explicit flow schema unless ``infer``
-    (inference costs a full extra pass over the text).  A scan with fewer
-    splits than cores is spread over them (see ``ensure_parallelism``)."""
-    from flowbin.session import ensure_parallelism
-    from flowbin.sources.schema import FLOW_RAW
+#: Column that holds the text of a record with cells that do not parse.
+BAD_RECORD = "_bad_record"
 
-    if fmt == "csv":
-        r = spark.read.option("header", True)
-        r = r.option("inferSchema", True) if infer else r.schema(FLOW_RAW)
-        return ensure_parallelism(r.csv(path))
-    return ensure_parallelism(spark.read.format(fmt).load(path))
+
+def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", infer: bool = False,
+               on_bad: str = "fail") -> DataFrame:
+    """Scan raw flow files.
+
+    A CSV scan goes by the header's names: all flow columns must be there
+    (MissingColumnsError names those that are not), in any order, and further
+    columns come as strings.  Files with another header than the first fail.
+    Cells that do not parse fail the scan (``on_bad="fail"``), keep the
+    record's text in a column ``_bad_record`` (``"column"``), or are null
+    (``"null"``).  ``infer`` infers the types instead, at the cost of a full
+    extra pass over the text.
+    """
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    if on_bad not in ("fail", "column", "null"):
+        raise ValueError(f"unknown on_bad {on_bad!r}")
+    header = spark.read.option("header", True).csv(path)  # reads the first line
+    require_columns(header, RENAME_MAP)
+    reader = spark.read.option("header", True)
+    if infer:
+        return reader.option("inferSchema", True).csv(path)
+    known = {f.name: f for f in FLOW_RAW.fields}
+    fields = [known.get(c, T.StructField(c, T.StringType())) for c in header.columns]
+    if on_bad == "column":
+        fields.append(T.StructField(BAD_RECORD, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
+    mode = "FAILFAST" if on_bad == "fail" else "PERMISSIVE"
+    return reader.option("mode", mode).option("enforceSchema", False).schema(T.StructType(fields)).csv(path)

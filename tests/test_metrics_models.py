@@ -39,6 +39,21 @@ def test_confusion_matrix_dense(spark):
     assert len(mat) == 2 and sum(map(sum, mat)) == pred.count()
 
 
+def test_confusion_matrix_has_the_actual_classes_only(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (1.0, 3.0), (2.0, 2.0)], "label_bin double, prediction double")
+    assert confusion_matrix(confusion(df).collect()) == [[1.0, 0.0], [0.0, 1.0]]
+
+
+def test_a_failing_second_model_leaves_the_first_row(spark, flow001):
+    from flowbin.plans.experiment import run_experiment
+
+    out = tempfile.mkdtemp(prefix="flowbin-res-", dir="/tmp") + "/r"
+    with pytest.raises(Exception):
+        run_experiment(flow001, binary=True, models=("rf", "gbt"), prefixes=(6,), tactics=("Discovery",),
+                       results_path=out, model_params={"gbt": {"maxIter": -1}})
+    assert [r["model"] for r in spark.read.parquet(out).collect()] == ["rf"]
+
+
 def test_experiment_binary_rows(spark, flow001):
     from flowbin.plans.experiment import run_experiment
 
