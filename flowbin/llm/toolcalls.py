@@ -12,7 +12,8 @@ identifiers cannot multiply: the first call (by turn, name, arguments) and the f
 
 Dependencies that point backwards, as in a transcript, cost one round.  Each further round
 moves the calls that follow a moved one; a cycle is found when a call moves on for more
-rounds than its conversation has calls, and its members get order null and an error.
+steps than its conversation has calls.  Its members, and the calls that depend on them, get
+order null and an error.
 
 Defined results: rows without conversation or identifier are left out; a result without a
 call is an ``orphan_result`` with null call columns; a call without a result has a null
@@ -49,16 +50,15 @@ def order(calls: DataFrame) -> DataFrame:
     place = settle(nodes.withColumn("step", F.lit(0).cast("long")).withColumn("cyclic", F.lit(False)))
     moved = place
     while True:
-        lifted = edges.join(moved.select("conv", F.col("call_id").alias("dep"), F.col("turn").alias("t"), F.col("step").alias("s")), ["conv", "dep"])
-        best = lifted.groupBy("conv", "call_id").agg(F.max(F.struct("t", F.expr("s + 1").alias("s"))).alias("to"))
-        both = place.join(best, ["conv", "call_id"]).where(~F.col("cyclic") & (F.struct("turn", "step") < F.col("to")))
-        both = both.join(size, "conv").select("conv", "call_id", F.col("to.t").alias("turn"), F.col("to.s").alias("step"), (F.col("to.s") > F.col("size")).alias("cyclic"))
-        moved = settle(both)
+        before = moved.select("conv", F.col("call_id").alias("dep"), F.col("turn").alias("t"), F.col("step").alias("s"), F.col("cyclic").alias("c"))
+        best = edges.join(before, ["conv", "dep"]).groupBy("conv", "call_id").agg(F.max(F.struct("t", F.expr("s + 1").alias("s"))).alias("to"), F.max("c").alias("c"))
+        both = place.join(best, ["conv", "call_id"]).where(~F.col("cyclic") & (F.col("c") | (F.struct("turn", "step") < F.col("to")))).join(size, "conv")
+        cyclic = F.col("c") | (F.col("to.s") > F.col("size"))
+        moved = settle(both.select("conv", "call_id", F.col("to.t").alias("turn"), F.col("to.s").alias("step"), cyclic.alias("cyclic")))
         if moved.isEmpty():
             break
         stay = place.join(moved.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
         place = settle(stay.unionByName(moved))
-        moved = moved.where("NOT cyclic")
     free = ~F.col("cyclic")
     return place.select("conv", "call_id", F.when(free, F.col("turn")).alias("order_turn"), F.when(free, F.col("step")).alias("order_step"), "cyclic")
 
