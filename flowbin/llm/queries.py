@@ -133,6 +133,31 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d""",
     "op9_line_crf": op9_line_crf,
+    "op5_decontamination": r"""
+        WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+                   FROM benchmark WHERE text IS NOT NULL),
+        d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+        size AS (SELECT DISTINCT least(10, len(ws)) AS n FROM b WHERE len(ws) > 0),
+        bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS s
+               FROM (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0), unnest(generate_series(1, len(ws) - n + 1)) AS t(i)),
+        dw AS (SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS s FROM d, size, unnest(generate_series(1, len(ws) - n + 1)) AS t(i) WHERE len(ws) >= n),
+        hit AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+        word AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(generate_series(0, n - 1)) AS t(k) GROUP BY doc_id),
+        item AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names
+                 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op8_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s FROM d, unnest(generate_series(1, len(ws) - 12)) AS t(i) WHERE len(ws) >= 13),
+        least_of AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM win JOIN least_of USING (s), unnest(generate_series(0, 12)) AS t(k) WHERE first < doc_id),
+        word AS (SELECT doc_id, i, ws[i] AS w FROM d, unnest(generate_series(1, len(ws))) AS t(i)),
+        kept AS (SELECT word.doc_id, string_agg(w, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS text, count(gone.i) AS n
+                 FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op10_tool_calls": """
         WITH t AS (SELECT conv_id, turn, role, text, len(list_filter(string_split(text, ' '), lambda w: w != '')) AS n FROM conversations),
         c AS (SELECT conv_id, 'call_' || conv_id || '_' || turn AS call_id, min(turn) AS turn, CASE WHEN turn >= 2 THEN 'continue' ELSE 'open' END AS name,

@@ -159,14 +159,14 @@ def test_no_calls_at_all(spark):
     assert only[(1, "a")].status == "orphan_result"
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op10_tool_calls"])
+@pytest.mark.parametrize("name", ["op2_warc", "op5_decontamination", "op8_substring_dedup", "op10_tool_calls"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     from flowbin.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF001}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]

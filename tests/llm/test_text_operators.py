@@ -13,35 +13,9 @@ from pyspark.sql import functions as F
 
 from flowbin.llm import decontam, fertility, langid, linecrf, pieces
 from flowbin.llm import textscan as scan
+from llm_brute import brute_leaks
 
 SF001 = "/root/testdata/sf0.001"
-LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def toks(text):
-    return LETTERS.findall((text or "").translate(UPPER))
-
-
-def brute_leaks(docs, items, size=10):
-    at = collections.defaultdict(set)
-    for i, t in items:
-        w = toks(t)
-        if 0 < len(w) < size:
-            at[tuple(w)].add(i)
-        for j in range(len(w) - size + 1):
-            at[tuple(w[j : j + size])].add(i)
-    out = []
-    for i, t in docs:
-        w = toks(t)
-        hit, found = [False] * len(w), set()
-        for n in {len(k) for k in at}:
-            for j in range(len(w) - n + 1):
-                if tuple(w[j : j + n]) in at:
-                    hit[j : j + n] = [True] * n
-                    found |= at[tuple(w[j : j + n])]
-        out.append((i, len(w), sum(hit), sorted(x for x in found if x is not None)))
-    return sorted(out, key=str)
 
 
 @pytest.fixture(scope="module")
