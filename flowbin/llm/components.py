@@ -31,12 +31,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b); the label is the least node."""
     edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
     while True:
         edges = settle(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.xxhash64("b") % 1000003)).first()
-        if now == seen:
+        # done when every node has one link and the node that it links to has none
+        out = edges.groupBy("a").agg(F.count("*").alias("n"))
+        loose = out.where("n > 1").select("a").unionByName(edges.select(F.col("b").alias("a")).join(out, "a", "left_semi"))
+        if loose.isEmpty():
             break
-        seen = now
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

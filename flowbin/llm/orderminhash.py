@@ -11,11 +11,11 @@ c / (m + n - c), where c is the length of the longest common subsequence of thei
 within a band of diagonals that no alignment of the wanted similarity can leave.  From
 ``THRESHOLD`` on, the texts are linked, and the classes are the connected components.
 
-Nothing grows with the square of a group.  Equal texts (same words) are one node.  In each
-band bucket every member is aligned with one leader, drawn by hash; the members that did
-not join the leader's class go on without it to the next round with a new leader, until
-every bucket is settled.  A link is missed only if its two texts part in each of the many
-buckets that they share, each with a leader of its own.
+Nothing grows with the square of a group.  Texts of the same words are one node, and in each
+band bucket every member is aligned with three leaders: the most central one, whose buckets
+hold most other members, and two drawn by hash.  A link is missed only if its two texts part
+from each other in every bucket that they share, by leaders that are near one of them alone,
+and no other text joins them.
 
 Defined results: a null text, an empty one or one without words is in no class but its own;
 a text of fewer than K words is one shingle; repeated rows and equal texts share a class,
@@ -31,16 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowbin.llm import textscan as scan
 from flowbin.llm.components import components
-from flowbin.llm.frames import pack, settle
+from flowbin.llm.frames import Packed, pack, settle
 
 K = 5
 THRESHOLD = 0.8
 TUPLE = 2
 ROWS = 2
 BANDS = 20
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(w: scan.Words, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -74,38 +77,64 @@ def bands(row: np.ndarray, label: np.ndarray, rows: int) -> tuple[np.ndarray, np
     start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
     if len(start) == 0:
         return start, np.zeros((0, BANDS), np.uint64)
-    size = np.diff(np.append(start, len(row)))
-    group = np.repeat(np.arange(len(start)), size)
-    place = np.arange(len(row), dtype=np.uint64)
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(row))))
+    odd = scan.mix(np.arange(BANDS * ROWS, dtype=np.uint64), 47) | np.uint64(1)
     keys = np.zeros((len(start), BANDS), np.uint64)
     top = np.uint64((1 << 64) - 1)
+    padded = np.append(label, np.uint64(0))
     for s in range(BANDS * ROWS):
-        value = scan.mix(label, 100 + s)
+        value = label * odd[s]  # a bijection, so that a row's values differ
         chosen = []
         for _ in range(TUPLE):
             least = np.minimum.reduceat(value, start)
-            hit = value == least[group]
-            at = np.minimum.reduceat(np.where(hit, place, top), start).astype(np.int64)  # leftmost
-            done = value[at] == top  # fewer shingles than TUPLE
-            chosen.append(np.where(done, len(row), at))
+            hit = np.flatnonzero(value == least[group])
+            at = hit[np.searchsorted(hit, start)]
+            chosen.append(np.where(least == top, len(row), at))  # fewer shingles than TUPLE
             value[at] = top
-        order = np.sort(np.stack(chosen), axis=0)
-        padded = np.append(label, np.uint64(0))
-        for at in order:  # in text order
+        for at in np.sort(np.stack(chosen), axis=0):  # in text order
             keys[:, s // ROWS] = scan.mix(keys[:, s // ROWS] * np.uint64(0x9E3779B97F4A7C15) + padded[at], 43)
     return row[start], keys
 
 
+def node_hash(w: scan.Words) -> np.ndarray:
+    """One hash of the words of each row."""
+    both = [scan.span_hash(w.hashes(s), w.first[:-1], w.first[1:], s) for s in (0, 1)]
+    return scan.mix(both[0] ^ scan.mix(both[1], 45), 46).view(np.int64)
+
+
 def _sketch(schema: pa.Schema):
+    """id, node and band keys of every row; node and keys null without words."""
     def run(batches):
         for b in scan.slices(batches, "text"):
             w = scan.words(*scan.buffers(b.column("text")))
             row, key = shingles(w)
             of, keys = bands(row, labelled(row, key), w.rows)
-            node = b.column("node").to_numpy(zero_copy_only=False)[of]
-            band = np.tile(np.arange(BANDS, dtype=np.int64), len(of))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(scan.mix(keys.ravel() + band.astype(np.uint64), 44).view(np.int64)), pa.array(np.repeat(node, BANDS))], schema=schema)
+            band = np.arange(BANDS, dtype=np.uint64)
+            flat = scan.mix(keys + band, 44).view(np.int64).ravel()
+            size = np.zeros(w.rows + 1, np.int64)
+            size[of + 1] = BANDS
+            node = pa.array(node_hash(w), mask=w.counts == 0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), node, pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(flat))], schema=schema)
+
+    return run
+
+
+def _own_text(schema: pa.Schema):
+    """(node, text) of the rows whose words have the wanted node."""
+    def run(batches):
+        for b in scan.slices(batches, "text"):
+            w = scan.words(*scan.buffers(b.column("text")))
+            same = pa.array(node_hash(w) == b.column("node").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(same), b.column("text").filter(same)], schema=schema)
+
+    return run
+
+
+def _with_node(schema: pa.Schema):
+    def run(batches):
+        for b in scan.slices(batches, "text"):
+            w = scan.words(*scan.buffers(b.column("text")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node_hash(w), mask=w.counts == 0)], schema=schema)
 
     return run
 
@@ -164,58 +193,53 @@ def _verify(threshold: float, schema: pa.Schema):
     return run
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float):
-    """The packed rows with their node, and (node, class_id)."""
-    spark = docs.sparkSession
-    packed = pack(docs, id_col, text_col, "near")
-    # the words of a text, joined by one space, stand for it: equal texts are one node
-    flat = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    rows = packed.rows.withColumn("node", F.when(F.length(flat) > 0, F.xxhash64(F.sha2(flat, 256), flat)))
-    known = rows.where(F.col("node").isNotNull())
-    texts = known.groupBy("node").agg(F.min("id").alias("id"))
-
-    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
-    member = known.select("node", "text").mapInArrow(_sketch(schema), "bucket long, node long").distinct()
-    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    member = settle(member.join(shared, "bucket").withColumn("label", F.col("node")))
-    # texts of the candidates alone, each from a row of its least id
-    needed = member.select("node").distinct().join(texts, "node")
-    same = known["id"].eqNullSafe(needed["id"]) & (known["node"] == needed["node"])
-    text = settle(known.join(needed, same).select(known["node"], known["text"]).dropDuplicates(["node"]))
+def _checked(frame: DataFrame) -> DataFrame:
+    """Broadcast a table of a few narrow columns if its counted size allows it."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def _grouped(packed: Packed, threshold: float) -> DataFrame:
+    """(id, node, class_id) of every row."""
+    rows = packed.rows.select("id", "text")
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    sketched = settle(rows.mapInArrow(_sketch(to_arrow_schema(out)), out))
+    texts = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
 
+    member = sketched.where("node IS NOT NULL").select(F.explode("keys").alias("bucket"), "node").distinct()
+    size = settle(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    member = settle(member.join(size, "bucket"))
+    central = member.groupBy("node").agg(F.sum("n").alias("near"))
+    # the leaders of a bucket are minima and maxima, aggregated before the shuffle
+    drawn = lambda k: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(k)), "node"))["node"]
+    most = F.max(F.struct("near", F.xxhash64("bucket", "node"), "node"))["node"]
+    lead = settle(member.join(central, "node").groupBy("bucket").agg(F.array_distinct(F.array(most, drawn(1), drawn(2))).alias("leads")))
+    pairs = member.join(lead, "bucket").select("node", F.explode("leads").alias("lead")).where("node != lead")
+    pairs = settle(pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct())
+
+    # texts of the candidates alone, each from a row of its least id
+    needed = _checked(settle(member.select("node").distinct().join(texts, "node").select("node", F.col("id").alias("of"))))
+    own = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
+    text = rows.join(needed, rows["id"].eqNullSafe(needed["of"])).select("node", "text").mapInArrow(_own_text(to_arrow_schema(own)), own)
+    text = settle(text.dropDuplicates(["node"]))
+    sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    sides = sides.join(text.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    links = spark.createDataFrame([], "a long, b long")
-    turn = 0
-    while True:
-        # the leader of a bucket: a minimum, so that it is aggregated before the shuffle
-        order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("rank"), F.col("node").alias("a"), F.col("label").alias("of"))
-        lead = member.groupBy("bucket").agg(F.min(order).alias("lead")).select("bucket", "lead.a", "lead.of")
-        pairs = member.join(lead, "bucket").where("label != of").select("a", F.col("node").alias("b")).distinct()
-        sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        sides = sides.join(text.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-        links = settle(links.unionByName(sides.mapInArrow(_verify(threshold, pair), "a long, b long")))
-        label = components(links)
-        # what is left in a bucket: members outside the class of its leader
-        named = member.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        head = lead.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", F.coalesce("label", "a").alias("of"))
-        rest = named.join(head, "bucket").where("label != of").select("bucket", "node", "label")
-        many = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        member = settle(rest.join(many, "bucket"))
-        turn += 1
-        if member.isEmpty():
-            break
-
-    named = texts.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    return packed, rows, named.join(least, "label").select("node", "class_id")
+    label = components(sides.mapInArrow(_verify(threshold, pair), "a long, b long"))
+
+    grouped = texts.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    least = grouped.groupBy("label").agg(F.min("id").alias("class_id"))
+    found = grouped.join(least, "label").select("node", "class_id")
+    whole = sketched.select("id", "node").join(found, "node", "left")
+    return settle(whole.select("id", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with a struct ``near``: class_id, and node, a hash of the words (null: no words)."""
-    packed, rows, found = _grouped(docs, id_col, text_col, threshold)
-    out = rows.join(found, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    return packed.unpack(out, F.struct(own.alias("class_id"), "node"))
+    """(id, class_id, node), one row for each document.
+
+    node is a hash of the words, null for a text without any.
+    """
+    found = _grouped(pack(docs, id_col, text_col, "near"), threshold)
+    return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "class_id", "node")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -224,12 +248,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where several rows have that id, the least text stays; of rows that differ in other
     columns only, any one.  A class without any id keeps its rows.
     """
-    packed, rows, found = _grouped(docs, id_col, text_col, threshold)
-    kept = rows.join(found, "node", "left").where("node IS NULL OR class_id IS NULL OR id = class_id").select("id", "text", "rest", "node", "class_id")
-    first = kept.where("node IS NOT NULL AND id = class_id")
-    twins = first.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    packed = pack(docs, id_col, text_col, "near")
+    found = _grouped(packed, threshold)
+    out = T.StructType([*packed.rows.schema.fields, T.StructField("node", T.LongType())])
+    rows = packed.rows.mapInArrow(_with_node(to_arrow_schema(out)), out)
+    wanted = found.where("node IS NULL OR class_id IS NULL OR id = class_id").select(F.col("id").alias("i"), F.col("node").alias("n"), "class_id").distinct()
+    kept = rows.join(_checked(wanted), rows["id"].eqNullSafe(F.col("i")) & rows["node"].eqNullSafe(F.col("n"))).select("id", "text", "rest", "node", "class_id")
+    # several rows of one class with its id: only where ids or rows repeat
+    ids = packed.rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 AND id IS NOT NULL")
+    twins = settle(ids.select(F.col("id").alias("class_id")))
     if not twins.isEmpty():
-        one = first.join(twins, "class_id").groupBy("class_id").agg(F.min_by(F.struct("id", "text", "rest", "node"), "text").alias("row")).select("row.*", "class_id")
-        lone = first.join(twins, "class_id", "left_anti").select(kept.columns)
-        kept = kept.where("node IS NULL OR class_id IS NULL").unionByName(lone).unionByName(one)
+        first = F.col("node").isNotNull() & F.col("class_id").isNotNull()
+        several = kept.where(first).join(twins, "class_id")
+        one = several.groupBy("class_id").agg(F.min_by(F.struct("id", "text", "rest", "node"), "text").alias("row")).select("row.*", "class_id")
+        kept = kept.where(~first).unionByName(kept.where(first).join(twins, "class_id", "left_anti").select(kept.columns)).unionByName(one.select(kept.columns))
     return packed.unpack(kept, F.lit(0)).drop("near")
