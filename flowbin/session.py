@@ -7,7 +7,10 @@ intermediate result is kept.
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -89,12 +92,25 @@ def keep(df: DataFrame, eager: bool = True) -> DataFrame:
     return kept
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder for tables between jobs: the session's checkpoint folder.
+
+    Where none is set, a cluster uses its warehouse, which all executors share, and a
+    session of one machine (``local``) a folder of its own, set as its checkpoint folder.
+    """
+    d = checkpoint_dir(spark)
+    if d is None:
+        master = spark.conf.get("spark.master", "")
+        if master == "local" or master.startswith("local["):
+            d = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="flowbin-"))
+        else:
+            d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_flowbin"
+    return d.rstrip("/")
+
+
 def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/_flowbin/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under :func:`work_dir`."""
+    return f"{work_dir(spark)}/_flowbin/{name}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -104,6 +120,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once a session.
+
+    Needed where the workers do not find it by themselves: another working folder, or a
+    cluster that was not given it with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_flowbin_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="flowbin-")) / "flowbin_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._flowbin_shipped = True
+
+
 def force(df: DataFrame) -> None:
     """Run the whole plan of ``df`` without collecting it (noop sink)."""
     df.write.format("noop").mode("overwrite").save()

@@ -61,3 +61,11 @@ def test_distinct_counts_do_not_expand(flow001):
 def test_metrics_are_one_small_aggregate(spark):
     p = plan_of(class_metrics(fixtures.scored(spark, SF001)))
     assert "Python" not in p and "Join" not in p
+
+
+def test_queries_leave_nothing_persisted(spark):
+    from flowbin.plans.queries import QUERIES
+
+    for name in ("full_bin", "trim_stats", "label_multiclass", "nominal_coverage_join", "grouped_bin_null_group", "csv_scan"):
+        QUERIES[name](spark, SF001).count()
+        assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty(), name
