@@ -7,13 +7,11 @@ read again as the docs of the next.  All but the last return the columns of ``do
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbin.llm import decontam, fertility, orderminhash, pieces, substrings
-from flowbin.session import checkpoint_dir
+from flowbin.session import shared_scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,11 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder and reread."""
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = f"{folder.rstrip('/')}/pipeline/{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and reread."""
+    base = shared_scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"

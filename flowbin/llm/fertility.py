@@ -41,7 +41,7 @@ LEAST_WORDS = 50
 REACH = 4.0
 LEAST_SPREAD = 0.01
 BROADCAST_GROUPS = 10_000
-SYMBOLS = ~scan.separators(b"#*$%&|<>")
+SYMBOLS = scan.separators(b"#*$%&|<>")
 MEASURES = ("chars_per_token", "bytes_chars_per_token", "fallback_share", "entropy")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # script blocks of the Unicode standard by first code point (fixed values)
@@ -62,7 +62,7 @@ def base_counts(w: scan.Words) -> dict[str, np.ndarray]:
     edge[w.start] += 1
     edge[w.end] -= 1
     in_word = np.cumsum(edge[:-1]).astype(bool)
-    out = {"n_words": w.counts, "word_chars": _per_row(lead & in_word, w.offsets), "n_symbols": _per_row(~SYMBOLS[data], w.offsets)}
+    out = {"n_words": w.counts, "word_chars": _per_row(lead & in_word, w.offsets), "n_symbols": _per_row(SYMBOLS[data], w.offsets)}
     # lines with a word that equal an earlier one of the row
     line = scan.words(data, w.offsets, scan.separators(b"\n"))
     held = np.diff(np.searchsorted(w.start, np.append(line.start, len(data)))) if len(line.start) else np.zeros(0, np.int64)
@@ -186,7 +186,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     with open(pieces, "rb") as f, open(ranks, "rb") as g:
         shared = spark.sparkContext.broadcast((f.read(), g.read(), pattern))  # the two public files, under 2 MB
     packed = pack(docs, id_col, text_col, "fertility")
-    lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
     rest = [c for c in docs.columns if c not in (id_col, text_col, "fertility")]
     lang = F.col(f"rest.c{rest.index(lang_col)}").cast("string") if lang_col else F.lit(None).cast("string")
     rows = packed.rows.withColumn("lang", lang)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowbin.session import checkpoint_dir
+from flowbin.session import shared_scratch
 
 
 @dataclass
@@ -44,14 +43,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, result: str) -> Packed:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the cluster's shared checkpoint folder and read it back, lineage cut.
-
-    The folder is spark.checkpoint.dir; without one (tests) the session's own is used.
-    """
+    """Write ``frame`` to the cluster's shared folder (spark.checkpoint.dir) and read it back, lineage cut."""
     spark = frame.sparkSession
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = shared_scratch(spark, "table")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

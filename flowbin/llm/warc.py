@@ -22,8 +22,6 @@ percent-encoded; an empty table gives no archive.  Further columns are not archi
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowbin.llm.frames import settle
-from flowbin.session import checkpoint_dir
+from flowbin.session import shared_scratch
 
 MAGIC = "WARC/1.0\r\n"
 REVISIT_BYTES = 100
@@ -211,6 +209,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def archive(pages: DataFrame, **columns: str) -> DataFrame:
     """Write ``pages`` to the shared checkpoint folder as archives and read them back."""
     spark = pages.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/archives/{uuid.uuid4().hex}"
+    path = shared_scratch(spark, "archives")
     write(pages, path, **columns)
     return read(spark, path)
