@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.session import shared_scratch
+from flowbin.session import remove_path, shared_scratch
+
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_settled: list[str] = []
 
 
 @dataclass
@@ -35,7 +39,14 @@ class Packed:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, result: str) -> Packed:
-    """Rename to working columns.  A column called ``result`` in the input will be replaced."""
+    """Rename to working columns.  A column called ``result`` in the input will be replaced.
+
+    Texts are wide rows: unless the session has its own setting, they go to Python a
+    thousand at a time, which bounds the Arrow buffers on both sides.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH_ROWS) == "10000":  # Spark's default
+        conf.set(_BATCH_ROWS, "1000")
     others = [c for c in docs.columns if c not in (id_col, text_col, result)]
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("fill"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), rest.alias("rest"))
@@ -46,5 +57,15 @@ def settle(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the cluster's shared folder (spark.checkpoint.dir) and read it back, lineage cut."""
     spark = frame.sparkSession
     path = shared_scratch(spark, "table")
+    _settled.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that :func:`settle` has written so far.
+
+    For callers that have written their results: frames that still read the tables fail.
+    """
+    while _settled:
+        remove_path(spark, _settled.pop())
