@@ -11,11 +11,15 @@ c / (m + n - c), where c is the length of the longest common subsequence of thei
 within a band of diagonals that no alignment of the wanted similarity can leave.  From
 ``THRESHOLD`` on, the texts are linked, and the classes are the connected components.
 
-Nothing grows with the square of a group.  Texts of the same words are one node, and in each
-band bucket every member is aligned with three leaders: the most central one, whose buckets
-hold most other members, and two drawn by hash.  A link is missed only if its two texts part
-from each other in every bucket that they share, by leaders that are near one of them alone,
-and no other text joins them.
+Texts of the same words are one node.  In each band bucket every member is first aligned with
+three leaders: the most central one, whose buckets hold most other members, and two drawn by
+hash.  A bucket is settled if its members are of one class by then, or if every pair in it
+has a leader.  The members of all other buckets (of a template, say) are joined on their
+rarest shingles: the longer of two near texts has one of the shorter's least (1 - t) / (1 + t)
+among its own least 1 - t, in any fixed order of the shingles.  The order is by counts in
+``SLOTS`` hashed slots, so that the shingles of a template come last and join nothing.  All
+pairs that share one, of different classes and fitting in size and place, are aligned.  So
+two near texts that share a bucket are always in one class; nothing is capped or drawn.
 
 Defined results: a null text, an empty one or one without words is in no class but its own;
 a text of fewer than K words is one shingle; repeated rows and equal texts share a class,
@@ -44,6 +48,7 @@ TUPLE = 2
 ROWS = 2
 BANDS = 20
 BROADCAST_ROWS = 1_000_000
+SLOTS = 1 << 18
 
 
 def shingles(w: scan.Words, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +198,86 @@ def _verify(threshold: float, schema: pa.Schema):
     return run
 
 
+def _slots(label: np.ndarray) -> np.ndarray:
+    return (scan.mix(label, 48) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _count_slots(schema: pa.Schema):
+    """How many shingles of the task's texts fall into each slot."""
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in scan.slices(batches, "text"):
+            row, key = shingles(scan.words(*scan.buffers(b.column("text"))))
+            total += np.bincount(_slots(labelled(row, key)), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
+
+    return run
+
+
+def _rarest(shared, threshold: float, schema: pa.Schema):
+    """The rarest shingles of each text, as many as a near text of its size or more (``short``) or less must share."""
+    def run(batches):
+        counts = shared.value
+        for b in scan.slices(batches, "text"):
+            row, key = shingles(scan.words(*scan.buffers(b.column("text"))))
+            label = labelled(row, key)
+            order = np.lexsort((label, counts[_slots(label)], row))
+            row, label = row[order], label[order]
+            size = np.bincount(row, minlength=b.num_rows)
+            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            m = size[row]
+            as_long = m - np.ceil(threshold * m - 1e-6).astype(np.int64)
+            as_short = m - np.ceil(2 * threshold / (1 + threshold) * m - 1e-6).astype(np.int64)
+            kept = place <= as_long
+            at = pa.array(row[kept])
+            columns = [label[kept].view(np.int64), m[kept], place[kept], (place <= as_short)[kept]]
+            yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("label").take(at), *map(pa.array, columns)], schema=schema)
+
+    return run
+
+
+def _unsettled(member: DataFrame, lead: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, label) of the members of buckets with pairs of two classes and without a leader."""
+    named = member.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    of = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n")).where("x < y")
+    left = of.join(lead, "bucket").where("n > size(leads) + 1").select("bucket")
+    return settle(named.join(left, "bucket").select("node", "label").distinct())
+
+
+def _rest(named: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all pairs of different labels in ``named`` that can be near."""
+    spark = named.sparkSession
+    whole = settle(text.join(named, "node").select("node", "label", "text"))
+    slot = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
+    found = whole.mapInArrow(_count_slots(to_arrow_schema(slot)), slot).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)  # 2 MB, whatever the input
+    out = T.StructType([*[T.StructField(c, T.LongType()) for c in ("node", "label", "token", "size", "place")], T.StructField("short", T.BooleanType())])
+    rare = settle(whole.mapInArrow(_rarest(shared, threshold, to_arrow_schema(out)), out))
+    several = rare.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    rare = settle(rare.join(several, "token"))
+    x, y = rare.where("short").alias("x"), rare.alias("y")
+    sizes = F.expr(f"x.token = y.token AND x.label != y.label AND (x.size < y.size OR x.size = y.size AND x.node < y.node) AND x.size >= {threshold} * y.size - 1e-6")
+    # what follows the first shingle in common must suffice
+    places = F.expr(f"least(x.size - x.place, y.size - y.place) >= {threshold / (1 + threshold)} * (x.size + y.size) - 1e-6")
+    return x.join(y, sizes & places).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _checked(frame: DataFrame) -> DataFrame:
     """Broadcast a table of a few narrow columns if its counted size allows it."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+def _near(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose texts are near."""
+    sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    sides = sides.join(text.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return sides.mapInArrow(_verify(threshold, pair), "a long, b long")
+
+
 def _grouped(packed: Packed, threshold: float) -> DataFrame:
     """(id, node, class_id) of every row."""
     rows = packed.rows.select("id", "text")
@@ -221,10 +301,13 @@ def _grouped(packed: Packed, threshold: float) -> DataFrame:
     own = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
     text = rows.join(needed, rows["id"].eqNullSafe(needed["of"])).select("node", "text").mapInArrow(_own_text(to_arrow_schema(own)), own)
     text = settle(text.dropDuplicates(["node"]))
-    sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    sides = sides.join(text.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    label = components(sides.mapInArrow(_verify(threshold, pair), "a long, b long"))
+    links = settle(_near(pairs, text, threshold))
+    label = components(links)
+    open_ = _unsettled(member, lead, label)
+    if not open_.isEmpty():
+        more = settle(_near(_rest(open_, text, threshold), text, threshold))
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
 
     grouped = texts.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min("id").alias("class_id"))

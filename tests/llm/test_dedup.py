@@ -1,12 +1,14 @@
 """Near duplicates, substring dedup and components against brute force, and their odd inputs."""
 
+import collections
 import random
 
+import numpy as np
 import pytest
 
 from flowbin.llm import orderminhash, substrings
 from flowbin.llm.components import components
-from llm_brute import brute_classes, brute_common, brute_repeats
+from llm_brute import brute_classes, brute_common, brute_repeats, shingled
 
 
 def test_alignment_is_exact_from_the_threshold_on():
@@ -58,6 +60,35 @@ def test_near_copies_of_a_large_group_and_shared_passage(spark):
     assert all(got[i] == i for i in range(120, 240))
 
 
+def test_near_pairs_within_a_template_of_thousands(spark):
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(85)]
+    fresh = iter(range(10**6))
+    docs = []
+    for i in range(1000):  # the template alone is not enough; a pair has six more words in common
+        shared = [f"s{i}_{j}" for j in range(6)]
+        for _ in range(2 if i < 200 else 1):
+            docs.append(" ".join(template + shared + [f"u{next(fresh)}" for _ in range(9)]))
+        docs.append(" ".join(template + [f"u{next(fresh)}" for _ in range(15)]))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    sets = [frozenset(shingled(t)) for _, t in docs]
+    want = {i: i for i, _ in docs}
+    often = collections.Counter(x for one in sets for x in one)
+    names = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
+    held = np.zeros((len(docs), len(names)), np.float32)
+    for i, one in enumerate(sets):
+        held[i, [names[x] for x in one if x in names]] = 1
+    both, size = held @ held.T, np.array([len(x) for x in sets])
+    # no shingle occurs twice in a text, so that no more than those in common can be aligned
+    for i, j in np.argwhere(np.triu(both >= 0.8 * (size[:, None] + size - both), 1)).tolist():
+        if brute_classes([docs[i], docs[j]])[j] == i:
+            want[j] = want[i]
+    assert sum(i != c for i, c in want.items()) == 200
+    got = {r.doc_id: r.class_id for r in orderminhash.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_keep_first_keeps_one_of_each_class_and_all_columns(spark, small_docs):
     rows = [(i, t, "x", i * 2) for i, t in small_docs] + [(0, small_docs[0][1], "x", 0), (None, "lonely text of a row without id", "y", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, near long")
