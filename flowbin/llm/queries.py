@@ -132,7 +132,6 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > first THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d""",
-    "op9_line_crf": op9_line_crf,
     "op5_decontamination": r"""
         WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
                    FROM benchmark WHERE text IS NOT NULL),

@@ -282,3 +282,10 @@ def test_decontamination_query_equals_brute_force(spark):
     want = {i: (n, h, len(x), hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest(), h > 0) for i, n, h, x in brute_leaks(docs, items)}
     got = {r[0]: tuple(r)[1:] for r in QUERIES["op5_decontamination"](spark, SF001).collect()}
     assert got == want
+
+
+def test_every_oracle_is_sql():
+    from flowbin.llm.queries import ORACLES, QUERIES
+
+    assert set(ORACLES) <= set(QUERIES)
+    assert all(isinstance(sql, str) for sql in ORACLES.values())
