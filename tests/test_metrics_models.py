@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowbin.operators.metrics import class_metrics, confusion, confusion_matrix
 from flowbin.sources import fixtures
-from conftest import SF001
+from paths import SF001
 
 
 def test_auc_hard_unit(spark):

@@ -9,7 +9,7 @@ from flowbin.operators.metrics import class_metrics
 from flowbin.plans.experiment import feature_distinct_counts
 from flowbin.sources import fixtures
 from flowbin.sources.schema import BOOL_COLS, NOMINAL_COLS
-from conftest import SF001
+from paths import SF001
 
 
 def plan_of(df) -> str:

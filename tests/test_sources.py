@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowbin.sources import fixtures
 from flowbin.sources.results import RESULTS, append_results, read_flows, results_frame
 from flowbin.sources.schema import FLOW, FLOW_RAW, MissingColumnsError, rename_flow
-from conftest import SF001
+from paths import SF001
 
 
 def test_rename_checks_all_columns_at_once(spark):
