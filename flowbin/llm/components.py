@@ -19,7 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # a table of its own, so that the join can split a node with many links
+    least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     to = both.join(least, "a")
     if large:
         out = to.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -32,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b); the label is the least node."""
     edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        edges = settle(_star(_star(edges, True), False))
+        edges = settle(_star(settle(_star(edges, True)), False))
         # done when every node has one link and the node that it links to has none
         out = edges.groupBy("a").agg(F.count("*").alias("n"))
         loose = out.where("n > 1").select("a").unionByName(edges.select(F.col("b").alias("a")).join(out, "a", "left_semi"))

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators; ORACLES has DuckDB SQL where SQL can state them."""
+"""The registered queries of the operators; ORACLES has DuckDB SQL where SQL can state them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowbin.llm import decontam, fertility, langid, linecrf, maintext, orderminhash, pieces, substrings, toolcalls, warc
+from flowbin.llm import (
+    centroids, decontam, fertility, langid, linecrf, maintext, orderminhash, pieces, sortedpasses, substrings, texttries, toolcalls, warc,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -111,6 +113,24 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("conv", "conv_id").withColumn("errors", F.array_join("errors", "; "))
 
 
+def op11_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector to near ones of its label, and the least id that they reach."""
+    out = sortedpasses.link_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "links.n_links", "links.component_id", "links.kept")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds in integers."""
+    out = centroids.cluster_vectors(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "clustering.*")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by language."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return texttries.audit(docs, _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_warc": op2_warc,
@@ -122,8 +142,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_crf": op9_line_crf,
     "op10_tool_calls": op10_tool_calls,
+    "op11_sorted_passes": op11_sorted_passes,
+    "op12_centroids": op12_centroids,
+    "op13_filter_audit": op13_filter_audit,
 }
 
+
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds, a common table for each assignment and each set of centroids."""
+    fine = "len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+                 FROM embeddings, unnest(generate_series(1, 64)) AS t(i) WHERE {fine})""",
+             f"""c0 AS MATERIALIZED (SELECT rank - 1 AS c, i, x FROM v JOIN (
+                 SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) AS rank FROM (SELECT DISTINCT vec_id FROM v)) USING (vec_id) WHERE rank <= {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, CAST(min(d * {k} + c) AS BIGINT) AS m FROM (
+            SELECT vec_id, c, sum((v.x - w.x) * (v.x - w.x)) AS d FROM v JOIN c{r} AS w USING (i) GROUP BY vec_id, c) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, o.i, coalesce(u.x, o.x) AS x FROM c{r} AS o LEFT JOIN (
+                SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (
+                    SELECT m % {k} AS c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id) GROUP BY ALL)) AS u ON o.c = u.c AND o.i = u.i)""")
+    parts.append(f"h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} JOIN h ON m % {k} = c"""
+
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -173,4 +217,38 @@ ORACLES: dict[str, str] = {
                CASE WHEN a.call_id IS NOT NULL THEN '{"arguments":' || arguments || ',"id":"' || a.call_id || '","name":"' || name || '","result":' ||
                     coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' END AS message
         FROM a FULL JOIN r ON a.conv_id = r.conv_id AND a.call_id = r.call_id""",
+    "op11_sorted_passes": """
+        WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        u AS (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x != 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+              WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+        FROM e LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a""",
+    "op12_centroids": _centroid_sql(),
+    "op13_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT)
+                     + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+                     + 16 * CAST(doc_id > first AS INT) AS mask FROM w LEFT JOIN l USING (doc_id)),
+        cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+              WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT filter_order, CAST(step AS INT) AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+                     coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0)::INT AS before
+              FROM o, unnest(generate_series(1, 5)) AS t(step)),
+        r AS (SELECT part, filter_order, step, bit,
+                     coalesce(sum(n) FILTER (mask & bit = 0 AND mask & before = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS removed,
+                     coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS toxic_lost
+              FROM cell, s GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }
