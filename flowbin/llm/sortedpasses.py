@@ -246,16 +246,42 @@ def _windows(window: int, threshold: float, edges: bool):
     return run
 
 
-def unit(vec: Column) -> Column:
-    """The vector's direction, as doubles."""
-    x = F.transform(vec, lambda v: v.cast("double"))
-    scaled = F.transform(x, lambda v: v / F.array_max(F.transform(x, F.abs)))
-    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(scaled, lambda v: v / size)
+def _near(threshold: float):
+    """The pairs whose vectors are near, in doubles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for dim, batch in _by_dim(whole):
+                for begin in range(0, batch.num_rows, 4096):
+                    part = batch.slice(begin, 4096)
+                    a, b = (_units(_matrix(part.column(c), dim)) for c in ("vec_a", "vec_b"))
+                    at = pa.array(np.flatnonzero((a * b).sum(axis=1) >= threshold))
+                    yield part.select(["a", "b"]).take(at)
+    return run
+
+
+def _sum_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the directions of each component in a batch, by coordinate."""
+    for whole in batches:
+        for dim, batch in _by_dim(whole):
+            comp, at = np.unique(batch.column("comp").to_numpy(), return_inverse=True)
+            total = np.zeros((len(comp), dim))
+            for begin in range(0, batch.num_rows, 4096):
+                np.add.at(total, at[begin : begin + 4096], _units(_matrix(batch.column("vec").slice(begin, 4096), dim)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(comp, dim)), pa.array(np.tile(np.arange(dim, dtype=np.int32), len(comp))), pa.array(total.ravel())],
+                                             names=["comp", "k", "x"])
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The angle of each vector to the centre of its component; to a centre of zero, a right angle."""
+    for whole in batches:
+        for dim, batch in _by_dim(whole):
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                centre = _matrix(part.column("centre"), dim)
+                size = np.linalg.norm(centre, axis=1)
+                cosine = (_units(_matrix(part.column("vec"), dim)) * centre).sum(axis=1) / np.maximum(size, 1e-300)
+                angle = np.where(size > 1e-9, np.arccos(np.clip(cosine, -1, 1)), math.pi / 2)
+                yield pa.RecordBatch.from_arrays([*part.select(["comp", "node", "dim", "vec"]).columns, pa.array(angle)], names=["comp", "node", "dim", "vec", "angle"])
 
 
 def linkable(vec: Column) -> Column:
@@ -281,9 +307,8 @@ def candidate_links(rows: DataFrame, threshold: float = THRESHOLD, window: int =
     sure = both.where(F.col("kind") == _SURE).select("a", "b")
     pair = both.where(F.col("kind") == _OPEN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda c: rows.select(F.col("node").alias(c), F.col("vec").alias(f"vec_{c}"))
-    near = dot(unit(F.col("vec_a")), unit(F.col("vec_b"))) >= threshold
-    checked = pair.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
-    return sure.unionByName(checked)
+    open_pairs = pair.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("vec_a").alias("dim"), "vec_a", "vec_b")
+    return sure.unionByName(open_pairs.mapInArrow(_near(threshold), "a long, b long"))
 
 
 def _count_small(threshold: float):
@@ -369,13 +394,13 @@ def _count_blocks(threshold: float):
 def _count_large(members: DataFrame, threshold: float) -> DataFrame:
     """(node, n) for components of more than SMALL vectors."""
     span = math.acos(threshold)
-    parts = members.select("comp", F.posexplode(unit(F.col("vec"))).alias("k", "x"))
+    parts = members.select("comp", "dim", "vec").mapInArrow(_sum_units, "comp long, k int, x double")
     centre = parts.groupBy("comp", "k").agg(F.sum("x").alias("x")).groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
     # a table of its own, so that the join can split a component with many vectors
-    around = members.join(settle(centre.where(F.exists("centre", lambda v: v != 0))), "comp", "left")
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(unit(F.col("vec")), unit(F.col("centre")))))
-    angle = F.coalesce(F.acos(cosine), F.lit(math.pi / 2))
-    placed = settle(around.select("comp", "node", "dim", "vec", angle.alias("angle")).withColumn("core", F.col("angle") <= span / 2 - 1e-7))
+    around = members.join(settle(centre), "comp").select("comp", "node", "dim", "vec", "centre")
+    vec = members.schema["vec"].dataType.simpleString()
+    angled = around.mapInArrow(_angles, f"comp long, node long, dim int, vec {vec}, angle double")
+    placed = settle(angled.withColumn("core", F.col("angle") <= span / 2 - 1e-7))
     inside = settle(placed.groupBy("comp").agg(F.sum(F.col("core").cast("long")).alias("cores"), F.count("*").alias("n")))
     base = placed.where("core").select("comp", "node").join(inside, "comp").select("node", (F.col("cores") - 1).alias("n"))
     loose = inside.where("cores < n").select("comp")
@@ -393,7 +418,7 @@ def _count_large(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                 threshold: float = THRESHOLD, result: str = "links") -> DataFrame:
+                 threshold: float = THRESHOLD, window: int = WINDOW, result: str = "links") -> DataFrame:
     """The input with a struct ``result``: n_links, component_id (of the id's type), kept."""
     names = [c for c in vectors.columns if c != result]
     numbered = vectors.select(F.monotonically_increasing_id().alias("node"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
@@ -402,7 +427,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # written once: the numbers of the rows must not change between jobs
     stored = settle(numbered.select("node", "row", usable.alias("usable")))
     rows = stored.where("usable").select("node", part[label_col].cast("string").alias("label"), F.size(part[vec_col]).alias("dim"), part[vec_col].alias("vec"))
-    comp = settle(components(candidate_links(rows, threshold)).select("node", F.col("label").alias("comp")))
+    comp = settle(components(candidate_links(rows, threshold, window)).select("node", F.col("label").alias("comp")))
     ids = stored.select("node", part[id_col].alias("id"))
     about = settle(comp.join(ids, "node").groupBy("comp").agg(F.count("*").alias("size"), F.min("id").alias("component_id")))
     sized = settle(comp.join(about, "comp"))
