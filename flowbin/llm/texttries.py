@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowbin.llm.frames import settle
+
 TRIE_BYTES = 8 << 20    # of text that a trie holds before it is closed
 SAMPLE = 20             # sampled texts for each range, SAMPLE_MAX at most
 SAMPLE_MAX = 1_000_000
@@ -294,8 +296,8 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = judged(docs, id_col, text_col, part_col)
     both = rows.join(named, rows["id"] == named["key"], "left")
     n, whole = F.col("n"), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    cells = both.groupBy("part", "mask").agg(F.sum("n").alias("n"), whole(F.when(F.col("good") == 1, n)).alias("good"), whole(F.when(F.col("toxic") == 1, n)).alias("toxic"))
-    # 32 cells a part, each with the 600 steps
+    # 32 cells a part, written since two aggregates read them; each has the 600 steps
+    cells = settle(both.groupBy("part", "mask").agg(F.sum("n").alias("n"), whole(F.when(F.col("good") == 1, n)).alias("good"), whole(F.when(F.col("toxic") == 1, n)).alias("toxic")))
     at = cells.select("*", F.expr(f"inline({_steps()})"))
     fails, earlier = F.col("mask").bitwiseAND(F.col("bit")) > 0, F.col("mask").bitwiseAND(F.col("before")) > 0
     lost = fails & ~earlier
