@@ -1,39 +1,37 @@
 """Standard-deviation bins with an exact two-sided trim (B1-B4).
 
-The trim keeps the rows ranked ``max(o, 1) .. n - o`` of each column sorted
-ascending, ``o = floor(n * trim)`` (non-null, non-NaN values only).  The fit
-never shuffles the data:
-
-1. ``percentile_approx``, aggregated in the map tasks, gives for each column a
-   bracket of values round either boundary rank.
-2. Plain conditional aggregates count the values below and inside the brackets
-   and sum the values between them.  The counts prove that each rank lies in
-   its bracket; otherwise the bracket is widened and counted again.
-3. Only the values inside the brackets, about the sketch's error share of the
-   rows, are counted by value and ranked.  A value's kept copies follow from its
-   rank, so the trimmed count, sums and minimum are exact.
-
-Sums are taken round an approximate median, which avoids the cancellation of
-``E[x^2] - m^2``.  The fitted edges are a handful of doubles per column.
+The trim keeps the rows ranked ``max(o, 1) .. n - o`` of each column sorted ascending,
+``o = floor(n * trim)`` (non-null, non-NaN values only).  The fit never shuffles the data:
+
+1. The bucket counts of :mod:`flowbin.operators.state` tell, for each group and column, in which
+   buckets the two boundary ranks lie and how many rows come before, exactly.
+2. One pass over the rows sums the values between the two buckets and counts the values inside
+   them (between the least and the greatest value that the state saw there), about a thousandth of the rows; only these are shuffled and ranked.  A value's kept
+   copies follow from its rank, so the trimmed count, sums and minimum are exact.
+
+Sums are taken round a value near the median, which avoids the cancellation of
+``E[x^2] - m^2``.  Everything fitted stays a table keyed by (group, column).
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowbin.operators.ranking import rank_and_cumsum
+from flowbin.operators.state import ACCURACY, column_state, same_keys
+from flowbin.session import remove_path, store
 
-#: Accuracy of the sketch: ranks are off by at most n / ACCURACY.
-ACCURACY = 10_000
+#: Most groups whose parameters are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
 
 
 @dataclass
 class NumericSpec:
+    """What was fitted for one column of one group; for looking at small fits."""
+
     column: str
     group: tuple
     edges: list[float] = field(default_factory=list)  # distinct interior edges, ascending
@@ -44,113 +42,108 @@ class NumericSpec:
     minimum: float | None = None
 
 
-def unpivoted(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """(by..., cname, v): every non-null, non-NaN value as a double; map-only."""
-    items = [F.struct(F.lit(c).alias("cname"), F.col(c).cast("double").alias("v")) for c in cols]
-    return df.select(*by, F.inline(F.array(*items))).where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
-def _brackets(long: DataFrame, keys: list[str], trim: float, accuracy: int, reach: float) -> dict:
-    """Per (group..., column): n, both ranks, a centre, and the two brackets."""
-    shares = [trim - reach, trim + reach, 1 - trim - reach, 1 - trim + reach, 0.5]
-    q = F.percentile_approx("v", [min(max(p, 0.0), 1.0) for p in shares], accuracy)
-    out = {}
-    # one row per (group, column)
-    for r in long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"), q.alias("q")).collect():
-        n, o = r["n"], math.floor(r["n"] * trim)
-        a1, b1, a2, b2, c = r["q"]
-        # the sketch is exact at neither end: a share beyond it is open
-        out[tuple(r[k] for k in keys)] = {
-            "n": n, "lo": max(o, 1), "hi": n - o, "c": c if math.isfinite(c) else 0.0,
-            "a1": r["mn"] if shares[0] <= 0 else a1, "b1": r["mx"] if shares[1] >= 1 else b1,
-            "a2": r["mn"] if shares[2] <= 0 else a2, "b2": r["mx"] if shares[3] >= 1 else b2}
-    return out
-
-
-def _frame(spark, fields: list[T.StructField], rows: dict, names: dict[str, T.DataType]) -> DataFrame:
-    schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in names.items()]])
-    return spark.createDataFrame([(*k, *[v[n] for n in names]) for k, v in rows.items()], schema)
+def brackets(state: DataFrame, cols: list[str], trim: float, by: list[str]) -> DataFrame:
+    """Per (by..., cname): rows, both ranks, the ends of their buckets, the rows before these, and a centre."""
+    keys = by + ["cname"]
+    mine = state.where(F.col("cname").isin(cols) & F.col("v").isNull()).select(*keys, "b", "k", "mn", "mx")
+    # buckets of one column of one group: some thousands
+    whole = Window.partitionBy(*keys)
+    counted = F.when(F.col("b").isNotNull(), F.col("k")).otherwise(0)
+    run = mine.withColumn("n", F.sum(counted).over(whole)).withColumn(
+        "cum", F.sum(counted).over(whole.orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    out = F.floor(F.col("n") * F.lit(float(trim)))
+    run = run.withColumn("lo", F.greatest(out, F.lit(1))).withColumn("hi", F.col("n") - out)
+    real = F.col("b").isNotNull()
+    # buckets do not overlap, so the first one that reaches a rank has the least ends of those that do
+    start = lambda rank: F.min(F.when(real & (F.col("cum") >= rank), F.col("mn")))
+    end = lambda rank: F.min(F.when(real & (F.col("cum") >= rank), F.col("mx")))
+    before = lambda rank: F.coalesce(F.max(F.when(real & (F.col("cum") < rank), F.col("cum"))), F.lit(0))
+    lo, hi = F.col("lo"), F.col("hi")
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x).otherwise(0.0)
+    found = run.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), start(lo).alias("a1"), end(lo).alias("e1"), start(hi).alias("a2"), end(hi).alias("e2"),
+        before(lo).alias("below1"), before(hi).alias("below2"), start(F.col("n") / 2).alias("c"))
+    return found.withColumn("c", finite(F.coalesce("c", F.lit(0.0))))
+
+
+_LIMITS = ("a1", "e1", "a2", "e2", "c")
+
+
+def _zones(df: DataFrame, cols: list[str], by: list[str], found: DataFrame, n_groups: int) -> DataFrame:
+    """(by..., cname, z, x, k, s, ss): values in the two buckets (z 1 and 3), sums between them (z 2)."""
+    names = [f"_fb_z{i}" for i in range(len(cols))]
+    part = lambda c: F.when(F.col("cname") == c, F.struct(*_LIMITS))
+    table = found.where("hi >= lo").groupBy(*[F.col(c).alias(f"_fb_g{i}") for i, c in enumerate(by)]).agg(*[F.max(part(c)).alias(n) for c, n in zip(cols, names, strict=True)])
+    if by:
+        table = F.broadcast(table) if n_groups <= BROADCAST_GROUPS else table
+        cond = F.lit(True)
+        for i, c in enumerate(by):
+            cond = cond & df[c].eqNullSafe(table[f"_fb_g{i}"])
+        both = df.select(*by, *cols).join(table, cond)
+        limits = {c: F.col(n) for c, n in zip(cols, names, strict=True)}
+    else:
+        both, row = df.select(*cols), table.first()  # one row
+        kind = dict(zip(names, [f.dataType for f in table.schema.fields], strict=True))
+        limits = {c: F.lit(None).cast(kind[n]) if row is None or row[n] is None else F.struct(*[F.lit(row[n][p]).cast("double").alias(p) for p in _LIMITS])
+                  for c, n in zip(cols, names, strict=True)}
+    items = F.array(*[F.struct(F.lit(c).alias("cname"), F.col(c).cast("double").alias("x"), limits[c].alias("l")) for c in cols])
+    long = both.select(*by, F.inline(items))
+    x = F.col("x")
+    within = lambda a, e: (x >= F.col(f"l.{a}")) & (x <= F.col(f"l.{e}"))
+    zone = F.when(within("a1", "e1"), 1).when(within("a2", "e2"), 3).when((x > F.col("l.e1")) & (x < F.col("l.a2")), 2)
+    # rows outside stay in, without a zone: a filter would work the zone out twice
+    inside = long.where(x.isNotNull()).withColumn("z", zone)
+    dev = F.col("x") - F.col("l.c")
+    mid = F.when(F.col("z") == 2, dev)
+    return inside.groupBy(*by, "cname", "z", F.when(F.col("z") != 2, x).alias("x")).agg(
+        F.count(F.lit(1)).alias("k"), F.sum(mid).alias("s"), F.sum(mid * mid).alias("ss")).where("z IS NOT NULL")
+
+
+def stats_from_state(df: DataFrame, state: DataFrame, cols: list[str], trim: float, by: list[str], n_groups: int = 1) -> tuple[DataFrame, str]:
+    """(by..., cname, n_rows, n_kept, mean, sd, minimum), stored, and its path.
+
+    ``state`` is the stored column state of ``df``, which is read once more.  Columns and groups
+    without any value are there, with n_rows 0.
+    """
+    keys = by + ["cname"]
+    found, found_path = store(brackets(state, cols, trim, by), "brackets")
+    hist, hist_path = store(_zones(df, cols, by, found, n_groups), "zones")
+    temps: list[DataFrame] = []
+    ranked = rank_and_cumsum(hist.where("z != 2").select(*keys, "z", "x", "k"), [*keys, "z"], [F.col("x").asc()], "k", kept=temps)
+    side = found.select(*[F.col(c).alias("_" + c) for c in keys], "lo", "hi", "below1", "below2", "c")
+    both = ranked.join(side, same_keys(ranked, side, keys, "_")).drop(*["_" + c for c in keys])
+    before = F.when(F.col("z") == 1, F.col("below1")).otherwise(F.col("below2")) + F.col("cum") - F.col("k")
+    w = F.greatest(F.lit(0), F.least(before + F.col("k"), F.col("hi")) - F.greatest(before, F.col("lo") - 1))
+    dev = F.col("x") - F.col("c")
+    ends = both.withColumn("w", w).where("w > 0").select(*keys, F.col("w").alias("n"), (F.col("w") * dev).alias("s"), (F.col("w") * dev * dev).alias("ss"), F.col("x").alias("mn"))
+    middle = hist.where("z = 2").select(*keys, F.col("k").alias("n"), "s", "ss", F.lit(None).cast("double").alias("mn"))
+    sums = ends.unionByName(middle).groupBy(*keys).agg(F.sum("n").alias("n_kept"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("mn").alias("minimum"))
+    right = sums.select(*[F.col(c).alias("_" + c) for c in keys], "n_kept", "s", "ss", "minimum")
+    all_ = found.join(right, same_keys(found, right, keys, "_"), "left")
+    n = F.col("n_kept")
+    spread = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / n, F.lit(0.0)) / (n - 1))
+    stats = all_.select(*keys, F.col("n").cast("long").alias("n_rows"), F.coalesce(n, F.lit(0)).cast("long").alias("n_kept"),
+                        (F.col("c") + F.col("s") / n).alias("mean"), F.when(n > 1, spread).when(n == 1, 0.0).alias("sd"), "minimum")
+    done, path = store(stats, "stats")
+    for t in temps:
+        t.unpersist()
+    for p in (found_path, hist_path):
+        remove_path(df.sparkSession, p)
+    return done, path
 
 
 def trim_stats(df: DataFrame, cols: list[str], trim: float = 0.02, by: list[str] | None = None,
                accuracy: int = ACCURACY) -> DataFrame:
     """(by..., cname, n_rows, n_kept, mean, sd, minimum) of the trimmed values.
 
-    Columns without any non-null, non-NaN value have no row.  The driver holds
-    one record per (group, column).
+    Columns without any non-null, non-NaN value have no row.
     """
     by = list(by or [])
-    spark = df.sparkSession
-    keys = by + ["cname"]
-    fields = [df.schema[b] for b in by] + [T.StructField("cname", T.StringType())]
-    long = unpivoted(df, cols, by)
-    x, s = F.col("v"), F.sum
-    first = (x >= F.col("a1")) & (x <= F.col("b1"))
-    second = (x >= F.col("a2")) & (x <= F.col("b2"))
-    middle = (x > F.col("b1")) & (x < F.col("a2"))
-    dev = x - F.col("c")
-    numbers = {n: T.DoubleType() for n in ("a1", "b1", "a2", "b2", "c")}
-    ranks = {"lo": T.LongType(), "hi": T.LongType()}
-    done: dict = {}
-    sums: dict = {}
-    reach = 2.0 / accuracy
-    todo = long
-    while True:
-        found = _brackets(todo, keys, trim, accuracy, reach)
-        if found:
-            table = F.broadcast(_frame(spark, fields, found, numbers))  # one row per (group, column)
-            both = todo.join(table, _on(todo, table, keys)).drop(*[table[k] for k in keys])
-            count = lambda cond: s(F.when(cond, 1).otherwise(0))
-            rows = both.groupBy(*keys).agg(
-                count(x < F.col("a1")).alias("below1"), count(first).alias("in1"), count(x < F.col("a2")).alias("below2"), count(second).alias("in2"),
-                count(middle).alias("nm"), s(F.when(middle, dev)).alias("sm"), s(F.when(middle, dev * dev)).alias("ssm")).collect()
-            for r in rows:
-                k = tuple(r[c] for c in keys)
-                f = found[k]
-                if f["hi"] < f["lo"] or (r["below1"] < f["lo"] <= r["below1"] + r["in1"] and r["below2"] < f["hi"] <= r["below2"] + r["in2"]):
-                    done[k], sums[k] = f, r
-        left = {k: {} for k in found if k not in done}
-        if not left:
-            break
-        reach *= 8  # beyond 1 the brackets hold everything
-        todo = long.join(F.broadcast(_frame(spark, fields, left, {})), keys, "left_semi") if not by else long.join(
-            (t := F.broadcast(_frame(spark, fields, left, {}))), _on(long, t, keys), "left_semi")
-
-    kept: list[DataFrame] = []
-    some = {k: f | {"below": int(sums[k]["below1"]), "nm": int(sums[k]["nm"])} for k, f in done.items() if f["hi"] >= f["lo"]}
-    inner: dict = {}
-    if some:
-        table = F.broadcast(_frame(spark, fields, some, numbers | ranks | {"below": T.LongType(), "nm": T.LongType()}))
-        both = long.join(table, _on(long, table, keys)).drop(*[table[k] for k in keys]).where(first | second)
-        extra = ["a2", "c", "lo", "hi", "below", "nm"]
-        hist = both.groupBy(*keys, "v", *extra).agg(F.count(F.lit(1)).alias("k"))
-        placed = rank_and_cumsum(hist, keys, [F.col("v").asc()], "k", kept=kept)
-        before = F.col("below") + F.col("cum") - F.col("k") + F.when(x >= F.col("a2"), F.col("nm")).otherwise(0)
-        w = F.greatest(F.lit(0), F.least(before + F.col("k"), F.col("hi")) - F.greatest(before, F.col("lo") - 1))
-        weighed = placed.withColumn("w", w).where("w > 0")
-        for r in weighed.groupBy(*keys).agg(s("w").alias("n"), s(F.col("w") * dev).alias("s"), s(F.col("w") * dev * dev).alias("ss"), F.min("v").alias("mn")).collect():
-            inner[tuple(r[c] for c in keys)] = r
-    for t in kept:
-        t.unpersist()
-
-    out = {}
-    for k, f in done.items():
-        row = {"n_rows": int(f["n"]), "n_kept": 0, "mean": None, "sd": None, "minimum": None}
-        if k in inner:
-            m, r = sums[k], inner[k]
-            n = int(m["nm"]) + int(r["n"])
-            total, square = (m["sm"] or 0.0) + r["s"], (m["ssm"] or 0.0) + r["ss"]
-            sd = math.sqrt(max(square - total * total / n, 0.0) / (n - 1)) if n > 1 else 0.0
-            row |= {"n_kept": n, "mean": f["c"] + total / n, "sd": sd, "minimum": r["mn"]}
-        out[k] = row
-    return _frame(spark, fields, out, {"n_rows": T.LongType(), "n_kept": T.LongType(), "mean": T.DoubleType(), "sd": T.DoubleType(), "minimum": T.DoubleType()})
+    state, path = store(column_state(df, [], cols, by, accuracy), "state")
+    n_groups = state.select(*by).distinct().count() if by else 1
+    stats, _ = stats_from_state(df, state, cols, trim, by, n_groups)
+    remove_path(df.sparkSession, path)
+    return stats.where("n_rows > 0")
 
 
 def _center(m: Column, s: Column, mn: Column) -> Column:
@@ -172,29 +165,29 @@ def edges_frame(stats: DataFrame) -> DataFrame:
         (cc + s).alias("e4"), (cc + s * 2).alias("e5"))
 
 
+def edge_arrays(stats: DataFrame) -> DataFrame:
+    """The statistics with ``edges``: the distinct interior edges, ascending; none without a mean."""
+    e = F.array_distinct(F.array("e1", "e2", "e3", "e4", "e5"))
+    out = edges_frame(stats)
+    return out.select(*stats.columns, F.when(F.col("mean").isNotNull(), e).otherwise(F.array().cast("array<double>")).alias("edges"))
+
+
+def numeric_specs(stats: DataFrame, by: list[str]) -> dict[tuple, NumericSpec]:
+    """The statistics as records on the driver, for fits of few groups."""
+    out = {}
+    for r in edge_arrays(stats).collect():
+        g = tuple(r[b] for b in by)
+        out[(g, r["cname"])] = NumericSpec(r["cname"], g, list(r["edges"]), r["n_rows"], r["n_kept"], r["mean"], r["sd"], r["minimum"])
+    return out
+
+
 def fit_numeric(df: DataFrame, cols: list[str], trim: float = 0.02, by: list[str] | None = None,
-                groups: list[tuple] | None = None, accuracy: int = ACCURACY) -> dict[tuple, NumericSpec]:
-    """Fit trimmed mean / sd / min and edges; ``{(group, column): spec}``.
+                accuracy: int = ACCURACY) -> dict[tuple, NumericSpec]:
+    """Fit trimmed mean / sd / min and edges; ``{(group, column): spec}``, for few groups.
 
-    ``groups`` lists all groups of the data; a group or column without values
-    gets a spec without edges.
+    A column without values has no record.
     """
-    by = list(by or [])
-    specs: dict[tuple, NumericSpec] = {}
-    # one row per (group, column)
-    for r in edges_frame(trim_stats(df, cols, trim, by, accuracy)).collect():
-        g = tuple(r[b] for b in by)
-        sp = NumericSpec(r["cname"], g, n_rows=int(r["n_rows"]), n_kept=int(r["n_kept"]))
-        if r["mean"] is not None:
-            sp.mean, sp.sd, sp.minimum = float(r["mean"]), float(r["sd"]), float(r["minimum"])
-            for e in (r["e1"], r["e2"], r["e3"], r["e4"], r["e5"]):
-                if e not in sp.edges:
-                    sp.edges.append(float(e))
-        specs[(g, r["cname"])] = sp
-    for g in groups or ({g for g, _ in specs} or {()}):
-        for c in cols:
-            specs.setdefault((g, c), NumericSpec(c, g))
-    return specs
+    return numeric_specs(trim_stats(df, cols, trim, by, accuracy), list(by or []))
 
 
 def numeric_bin(value: Column, edges: list[Column], n_edges: Column) -> Column:

@@ -30,9 +30,6 @@ def local_session(app: str = "flowbin", partitions: int = 8, cores: str = "*") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # small files are split over the cores by the scan itself
-        .config("spark.sql.files.maxPartitionBytes", "4m")
-        .config("spark.sql.files.openCostInBytes", "512k")
         .getOrCreate()
     )
 
@@ -120,6 +117,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def store(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared folder; the table, lineage cut, and its path.
+
+    For tables that later jobs read by column, or that live as long as a fitted model.
+    """
+    spark = df.sparkSession
+    path = shared_scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the executors' Python, once a session.
 

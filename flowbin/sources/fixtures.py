@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowbin.sources.splits import read_parquet
+
 _LABEL_KEY = "(l_orderkey*31 + l_linenumber*7 + l_partkey) % 1000"
 
 CONN_SELECT: list[tuple[str, str]] = [
@@ -67,7 +69,7 @@ SCORED_SQL = "SELECT " + _select_sql(SCORED_SELECT) + " FROM conn"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def conn(spark: SparkSession, sf_dir: str) -> DataFrame:

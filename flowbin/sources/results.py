@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbin.sources.splits import read_parquet
 from flowbin.sources.schema import FLOW_RAW, RENAME_MAP, require_columns
 
 RESULTS = T.StructType([
@@ -48,13 +53,48 @@ def append_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.format(fmt).save(path)
 
 
+class ResultsSink:
+    """Results of sweeps, one committed folder a fit: ``path/run_key=.../fit=...``.
+
+    A fit's name and so its folder follow from what was fitted.  A row is written there with
+    Spark's commit protocol and counts once the success marker is there: a sweep that broke in
+    the middle of a write leaves none, and the row is written again in place.  So no row is lost
+    or there twice, however often a sweep is restarted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run_key: str):
+        self.spark, self.path, self.run_key = spark, path.rstrip("/"), run_key
+
+    @staticmethod
+    def name(task: str, model: str, n: int) -> str:
+        """A fit's folder: readable, and told apart by a hash where names need changing."""
+        digest = hashlib.sha256(task.encode()).hexdigest()[:8]
+        return f"{re.sub('[^A-Za-z0-9]+', '-', task)[:40]}-{digest}-{model}-{n}"
+
+    def committed(self) -> dict[str, tuple]:
+        """Rows of this sweep by the names of their fits."""
+        jvm = self.spark.sparkContext._jvm
+        glob = jvm.org.apache.hadoop.fs.Path(f"{self.path}/run_key={self.run_key}/fit=*/_SUCCESS")
+        fs = glob.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [str(s.getPath().getParent()) for s in fs.globStatus(glob) or []]
+        if not found:
+            return {}
+        rows = self.spark.read.schema(RESULTS).parquet(*found).withColumn("_at", F.col("_metadata.file_path")).collect()  # one a fit
+        return {re.search("/fit=([^/]+)/", r["_at"])[1]: tuple(r)[:-1] for r in rows}
+
+    def commit(self, name: str, row: tuple) -> None:
+        """Write the row of a fit, in place of what a broken write left."""
+        results_frame(self.spark, [row]).coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(
+            f"{self.path}/run_key={self.run_key}/fit={name}")
+
+
 #: Column that holds the text of a record with cells that do not parse.
 BAD_RECORD = "_bad_record"
 
 
 def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", infer: bool = False,
                on_bad: str = "fail") -> DataFrame:
-    """Scan raw flow files.
+    """Scan raw flow files; few large row groups of Parquet are dealt out over the cores.
 
     A CSV scan goes by the header's names: all flow columns must be there
     (MissingColumnsError names those that are not), in any order, and further
@@ -64,6 +104,8 @@ def read_flows(spark: SparkSession, path: str, fmt: str = "parquet", infer: bool
     (``"null"``).  ``infer`` infers the types instead, at the cost of a full
     extra pass over the text.
     """
+    if fmt == "parquet":
+        return read_parquet(spark, path)
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
     if on_bad not in ("fail", "column", "null"):
