@@ -5,10 +5,13 @@ byte-level model, the piece model's share of byte-fallback tokens, and the entro
 tokens in bits.  Text unlike the running prose of its language (symbol noise, shouting, lists,
 repetition, broken encodings) needs more tokens, or fewer different ones.
 
-The rejection bands are Tukey fences over all documents of a group that pass the base rules:
-``REACH`` spreads (upper less lower quartile, at least ``LEAST_SPREAD`` of the median) beyond
-the quartiles.  Characters per token have both fences, entropy the lower, byte share the
-upper.  The group is the language column's value, else the script of most letters.
+The rejection bands lie round the median of a group's documents that pass the base rules:
+``REACH`` spreads to either side, a spread being the median distance from the median (scaled
+to a standard deviation, at least ``LEAST_SPREAD`` of the median).  Equal documents, told by
+their counts and measures, vote once, and neither median moves much while less than half of
+the different documents are junk, so neither copies nor a large junk source open the bands.
+Characters per token have both fences, entropy the lower, byte share the upper.  The group is
+the language column's value, else the script of most letters.
 
 The base rules: fewer than ``LEAST_WORDS`` words, or more than half of them in three-word
 windows that recur.
@@ -38,8 +41,9 @@ from flowbin.llm.frames import pack, settle
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAST_WORDS = 50
-REACH = 4.0
-LEAST_SPREAD = 0.01
+REACH = 3.9
+LEAST_SPREAD = 0.005
+NORMAL = 1.4826  # median distance to standard deviation, of a normal distribution
 BROADCAST_GROUPS = 10_000
 SYMBOLS = scan.separators(b"#*$%&|<>")
 MEASURES = ("chars_per_token", "bytes_chars_per_token", "fallback_share", "entropy")
@@ -161,14 +165,17 @@ def _measure(shared, keep_text: bool, schema: pa.Schema):
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Lower and upper fence of each measure by group, from exact quartiles over all rows
-    that pass the base rules (values counted to a thousandth)."""
-    good = measured.where(~F.col("base_failed"))
-    long = good.select("group", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * 1000).cast("long").alias("v")) for m in MEASURES])))
-    counts = long.where("v IS NOT NULL").groupBy("group", "measure", "v").count()
-    q = counts.groupBy("group", "measure").agg(F.expr("percentile(v, array(0.25, 0.5, 0.75), count)").alias("q"))
-    spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(LEAST_SPREAD) * F.col("q")[1], F.lit(1.0)) * REACH
-    fences = q.select("group", "measure", ((F.col("q")[0] - spread) / 1000).alias("low"), ((F.col("q")[2] + spread) / 1000).alias("high"))
+    """Lower and upper fence of each measure by group, from exact medians over all different
+    documents that pass the base rules (values counted to a thousandth)."""
+    different = measured.where(~F.col("base_failed")).select("group", *MEASURES, *_COUNTS).distinct()
+    long = different.select("group", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * 1000).cast("long").alias("v")) for m in MEASURES])))
+    counts = settle(long.where("v IS NOT NULL").groupBy("group", "measure", "v").count())
+    middle = counts.groupBy("group", "measure").agg(F.expr("percentile(v, 0.5, count)").alias("mid"))
+    side = middle.select(F.col("group").alias("g"), F.col("measure").alias("m"), "mid")
+    off = counts.join(side, F.col("group").eqNullSafe(F.col("g")) & (F.col("measure") == F.col("m")))
+    far = off.groupBy("group", "measure").agg(F.first("mid").alias("mid"), F.expr("percentile(abs(v - mid), 0.5, count)").alias("off"))
+    spread = F.greatest(NORMAL * F.col("off"), F.lit(LEAST_SPREAD) * F.col("mid"), F.lit(0.5)) * REACH
+    fences = far.select("group", "measure", ((F.col("mid") - spread) / 1000).alias("low"), ((F.col("mid") + spread) / 1000).alias("high"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
     return fences.groupBy("group").agg(*[pick(m, c) for m in MEASURES for c in ("low", "high")])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,7 @@ from flowbin.session import remove_path, shared_scratch
 
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_settled: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 @dataclass
@@ -57,15 +60,28 @@ def settle(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the cluster's shared folder (spark.checkpoint.dir) and read it back, lineage cut."""
     spark = frame.sparkSession
     path = shared_scratch(spark, "table")
-    _settled.append(path)
+    owner = _owner.get()
+    if owner is not None:
+        owner.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that :func:`settle` has written so far.
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """Collects the paths of the tables settled inside, and of no others.
 
-    For callers that have written their results: frames that still read the tables fail.
+    Their owner may :func:`delete` them once its results are written; frames that still read
+    them fail then.  Tables that nobody owns stay.
     """
-    while _settled:
-        remove_path(spark, _settled.pop())
+    paths: list[str] = []
+    token = _owner.set(paths)
+    try:
+        yield paths
+    finally:
+        _owner.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        remove_path(spark, paths.pop())

@@ -157,7 +157,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``: id, url, kind, refers_to, digest, n_bytes (both
     as the header names them) and payload (binary; empty for a revisit).
 
-    Raises ValueError if the chain of an archive does not end at its last byte.
+    Raises ValueError if the chain of an archive does not end at its last byte; a payload that
+    does not have its header's digest fails the job that reads it.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("value").cast("binary"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
@@ -185,12 +186,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     part = settle(records.where("NOT whole").select(*key, "offset", "next"))
     fields = ["id", "url", "kind", "refers_to", "digest", "n_bytes"]
     if part.isEmpty():
-        return found.select(*fields, F.col("content").alias("payload"))
+        return _proved(found.select(*fields, F.col("content").alias("payload")))
     # payloads over several pieces: the record's own and those up to its end, joined by the magic
     heads = part.select(*key, "offset", "next")
     loose = pieces("piece").join(F.broadcast(base.drop("size")) if base.count() <= BROADCAST_ROWS else base.drop("size"), ["file", "split"])
     loose = loose.drop("next").join(heads, key, "left").where("offset IS NOT NULL OR kind IS NULL").unionByName(
-        loose.drop("next").join(torn, key).withColumn("offset", F.lit(None).cast("long")).withColumn("next", F.lit(None).cast("long")))
+        # torn pieces without a type are in already
+        loose.drop("next").where("kind IS NOT NULL").join(torn, key).withColumn("offset", F.lit(None).cast("long")).withColumn("next", F.lit(None).cast("long")))
     along = Window.partitionBy("file").orderBy("at")
     loose = loose.withColumn("at", F.col("base") + F.col("place"))
     loose = loose.withColumn("of", F.last("offset", True).over(along)).withColumn("end", F.last("next", True).over(along)).where("at < end")
@@ -203,7 +205,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     payload = F.unhex(F.expr("x").substr(2 * F.col("skip") + 1, 2 * F.col("n")))
     whole = whole.withColumn("x", text).withColumn("skip", begin.cast("int")).withColumn("n", (stop - begin).cast("int"))
     both = found.join(F.broadcast(part.select(key)) if part.count() <= BROADCAST_ROWS else part.select(key), key, "left_anti")
-    return both.select(*fields, F.col("content").alias("payload")).unionByName(whole.select(*fields, payload.alias("payload")))
+    return _proved(both.select(*fields, F.col("content").alias("payload")).unionByName(whole.select(*fields, payload.alias("payload"))))
+
+
+def _proved(records: DataFrame) -> DataFrame:
+    """The records; one whose payload is not what its header's digest says fails the job."""
+    told = (F.col("kind") == "response") & (F.length("digest") == 64)
+    wrong = F.concat(F.lit("payload does not have the digest of its header, page "), F.coalesce(F.col("id").cast("string"), F.lit("none")))
+    payload = F.when(told & (F.sha2("payload", 256) != F.col("digest")), F.raise_error(wrong).cast("binary")).otherwise(F.col("payload"))
+    return records.withColumn("payload", payload)
 
 
 def archive(pages: DataFrame, **columns: str) -> DataFrame:

@@ -11,13 +11,15 @@ from flowbin.llm import maintext, toolcalls, warc
 from flowbin.session import shared_scratch
 
 SF001 = "/root/testdata/sf0.001"
+UNTYPED = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc "
 RECORD = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 
 
 @pytest.mark.parametrize(("parts", "split"), [(1, "64"), (1, "200m"), (3, "300")])
 def test_archives_round_trip_with_magic_inside(spark, parts, split):
     rows = [(1, "u", "x" * 120), (2, "u\r\nv", "x" * 120), (3, None, None), (4, "u", RECORD * 2), (5, "u", "aWARC/1.0\r\nbWARC/1.0\r\n"), (6, "u", ""),
-            (7, "u", RECORD * 2), (None, "u", "x" * 120), (8, "é", "é\r\n\r\nWARC/1.0\r\n" * 30), (9, "u", "WARC/1.0\r\n"), (9, "u", "WARC/1.0\r\n")]
+            (7, "u", RECORD * 2), (None, "u", "x" * 120), (8, "é", "é\r\n\r\nWARC/1.0\r\n" * 30), (9, "u", "WARC/1.0\r\n"), (9, "u", "WARC/1.0\r\n"),
+            (10, "u", "head " + UNTYPED * 2 + "tail " + "y" * 90), (11, "u", UNTYPED * 3), (12, "u", UNTYPED + RECORD + UNTYPED + "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
     old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:

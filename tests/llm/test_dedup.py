@@ -154,3 +154,18 @@ def test_substrings_long_text_spans_and_clashing_columns(spark):
 
 def test_substrings_of_empty_table(spark):
     assert repeats(spark, []) == []
+
+
+def test_owned_tables_go_and_others_stay(spark):
+    from flowbin.llm.frames import delete, owned, settle
+
+    free = settle(spark.range(3).toDF("x"))
+    with owned() as paths:
+        mine = settle(spark.range(4).toDF("x"))
+        with owned() as inner:
+            settle(spark.range(5).toDF("x"))
+    assert len(paths) == len(inner) == 1 and mine.count() == 4
+    delete(spark, paths)
+    assert free.count() == 3 and paths == []
+    with pytest.raises(Exception):
+        mine.collect()

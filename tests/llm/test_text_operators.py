@@ -117,12 +117,13 @@ def test_bands_are_fences_of_all_documents(spark):
 
     def fences(values):
         v = np.floor(np.array([x for x in values if x is not None]) * 1000 + 0.5)
-        a, m, b = np.percentile(v, [25, 50, 75])
-        reach = max(b - a, fertility.LEAST_SPREAD * m, 1.0) * fertility.REACH
-        return (a - reach) / 1000, (b + reach) / 1000
+        m = np.median(v)
+        reach = max(fertility.NORMAL * np.median(np.abs(v - m)), fertility.LEAST_SPREAD * m, 0.5) * fertility.REACH
+        return (m - reach) / 1000, (m + reach) / 1000
 
     for group in by.values():
-        f = {m: fences([r[m] for r in group]) for m in fertility.MEASURES}
+        votes = {tuple(r[c] for c in (*fertility.MEASURES, *fertility._COUNTS)): r for r in group}.values()
+        f = {m: fences([r[m] for r in votes]) for m in fertility.MEASURES}
         for r in group:
             want = (f["chars_per_token"][0] <= r.chars_per_token <= f["chars_per_token"][1]
                     and f["bytes_chars_per_token"][0] <= r.bytes_chars_per_token <= f["bytes_chars_per_token"][1]
@@ -131,12 +132,22 @@ def test_bands_are_fences_of_all_documents(spark):
     assert fertility.keep_good(docs).columns == [c for c in docs.columns if c != "fertility"]
 
 
-def test_fertility_keeps_the_good(spark):
+def test_fertility_keeps_the_good_and_rejects_the_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    out = fertility.judge(docs, keep_text=False).join(labels, "doc_id").where("fertility.n_words >= 50")
-    good = out.where("quality = 1").agg(F.avg(F.col("fertility.kept").cast("int"))).first()[0]
-    assert good > 0.97
+    out = fertility.judge(docs, keep_text=False).join(labels, "doc_id").where("NOT fertility.base_failed")
+    share = {r.quality: r.kept for r in out.groupBy("quality").agg(F.avg(F.col("fertility.kept").cast("int")).alias("kept")).collect()}
+    assert share[1] > 0.97 and share[0] < 0.2
+
+
+def test_a_junk_source_does_not_open_the_bands(spark):
+    """A third of a language's documents are junk of one source, many of them copies."""
+    rng = np.random.default_rng(3)
+    good = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' AND length(text) BETWEEN 600 AND 4000").orderBy("doc_id").limit(150).collect()]
+    junk = [" | ".join(rng.choice(list("abcdefgh"), 90)) for _ in range(40)] + [" | ".join("abcdefgh" * 12)] * 35
+    rows = [(k, t, "en") for k, t in enumerate(good + junk)]
+    kept = {r.doc_id for r in fertility.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(k >= len(good) for k in kept)
 
 
 def test_fertility_of_an_empty_table(spark):
