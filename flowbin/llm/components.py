@@ -2,7 +2,9 @@
 
 Each round is a few joins and aggregates whose keys are aggregated before the shuffle;
 the links are written to the shared checkpoint folder between rounds.  The number of
-rounds grows with the logarithm of the longest chain.
+rounds grows with the logarithm of the longest chain.  With ``split`` the least neighbours are
+written too, which lets the join split a node with a large share of all links over tasks, for
+two more small tables a round.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from pyspark.sql import functions as F
 from flowbin.llm.frames import settle
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     """Connect neighbours of each node to the least of node and neighbours (edges point u > v)."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    # a table of its own, so that the join can split a node with many links
-    least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = settle(least) if split else least
     to = both.join(least, "a")
     if large:
         out = to.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -29,11 +31,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, split: bool = False) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b); the label is the least node."""
     edges = settle(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        edges = settle(_star(settle(_star(edges, True)), False))
+        out = _star(edges, True, split)
+        edges = settle(_star(settle(out) if split else out, False, split))
         # done when every node has one link and the node that it links to has none
         out = edges.groupBy("a").agg(F.count("*").alias("n"))
         loose = out.where("n > 1").select("a").unionByName(edges.select(F.col("b").alias("a")).join(out, "a", "left_semi"))

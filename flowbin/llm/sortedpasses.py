@@ -427,7 +427,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # written once: the numbers of the rows must not change between jobs
     stored = settle(numbered.select("node", "row", usable.alias("usable")))
     rows = stored.where("usable").select("node", part[label_col].cast("string").alias("label"), F.size(part[vec_col]).alias("dim"), part[vec_col].alias("vec"))
-    comp = settle(components(candidate_links(rows, threshold, window)).select("node", F.col("label").alias("comp")))
+    comp = settle(components(candidate_links(rows, threshold, window), split=True).select("node", F.col("label").alias("comp")))
     ids = stored.select("node", part[id_col].alias("id"))
     about = settle(comp.join(ids, "node").groupBy("comp").agg(F.count("*").alias("size"), F.min("id").alias("component_id")))
     sized = settle(comp.join(about, "comp"))
