@@ -4,22 +4,26 @@ Shingles are ``K`` consecutive words, each labelled with its occurrence number i
 A sketch is made of ``BANDS * ROWS`` samples; a sample is the ``TUPLE`` labelled shingles of
 least hash, *in the order in which they stand in the text*, so that it agrees for texts
 that agree in content and order.  ``ROWS`` samples make a band; documents that share a band
-are candidates.
+are candidates.  Two texts in which every ninth word differs (similarity 0.8) share about
+0.38 of their shingles, so that a sample agrees with a chance of 0.15 and one of ``BANDS`` with 0.98.
 
-Candidates are aligned: the similarity of two texts with m and n shingles is
-c / (m + n - c), where c is the length of the longest common subsequence of their shingles
+Candidates are aligned word by word: the similarity of two texts with m and n words is
+c / (m + n - c), where c is the length of the longest common subsequence of their words
 within a band of diagonals that no alignment of the wanted similarity can leave.  From
 ``THRESHOLD`` on, the texts are linked, and the classes are the connected components.
+Pairs whose sizes or whose words, whatever their order, cannot reach it are not aligned.
 
-Texts of the same words are one node.  In each band bucket every member is first aligned with
+Texts of the same words are one node, named by a hash; a second, independent hash tells
+texts apart that share a name.  In each band bucket every member is first aligned with
 three leaders: the most central one, whose buckets hold most other members, and two drawn by
 hash.  A bucket is settled if its members are of one class by then, or if every pair in it
-has a leader.  The members of all other buckets (of a template, say) are joined on their
-rarest shingles: the longer of two near texts has one of the shorter's least (1 - t) / (1 + t)
-among its own least 1 - t, in any fixed order of the shingles.  The order is by counts in
-``SLOTS`` hashed slots, so that the shingles of a template come last and join nothing.  All
-pairs that share one, of different classes and fitting in size and place, are aligned.  So
-two near texts that share a bucket are always in one class; nothing is capped or drawn.
+has a leader.  The members of every other bucket (of a template, say) are joined within it on
+their rarest words: the longer of two near texts has one of the shorter's least (1 - t) / (1 + t)
+among its own least 1 - t, in any fixed order of the words, each labelled with its occurrence
+number.  The order is by counts in ``SLOTS`` hashed slots, so that the words of a template come
+last and join nothing.  Of each word's members the largest class meets the others only, never
+itself.  All pairs of different classes that fit in size and place are aligned.  So two near
+texts that share a bucket are always in one class; nothing is capped or drawn.
 
 Defined results: a null text, an empty one or one without words is in no class but its own;
 a text of fewer than K words is one shingle; repeated rows and equal texts share a class,
@@ -45,8 +49,8 @@ from flowbin.llm.frames import Packed, pack, settle
 K = 5
 THRESHOLD = 0.8
 TUPLE = 2
-ROWS = 2
-BANDS = 20
+ROWS = 1
+BANDS = 24
 BROADCAST_ROWS = 1_000_000
 SLOTS = 1 << 18
 
@@ -101,14 +105,14 @@ def bands(row: np.ndarray, label: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return row[start], keys
 
 
-def node_hash(w: scan.Words) -> np.ndarray:
-    """One hash of the words of each row."""
-    both = [scan.span_hash(w.hashes(s), w.first[:-1], w.first[1:], s) for s in (0, 1)]
-    return scan.mix(both[0] ^ scan.mix(both[1], 45), 46).view(np.int64)
+def node_hashes(w: scan.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the words of each row: its name, and the proof of the name."""
+    one, two = (scan.span_hash(w.hashes(s), w.first[:-1], w.first[1:], s) for s in (0, 1))
+    return scan.mix(one, 45).view(np.int64), scan.mix(two, 46).view(np.int64)
 
 
 def _sketch(schema: pa.Schema):
-    """id, node and band keys of every row; node and keys null without words."""
+    """id, node, proof, words and band keys of every row; node, proof and keys null without words."""
     def run(batches):
         for b in scan.slices(batches, "text"):
             w = scan.words(*scan.buffers(b.column("text")))
@@ -118,28 +122,29 @@ def _sketch(schema: pa.Schema):
             flat = scan.mix(keys + band, 44).view(np.int64).ravel()
             size = np.zeros(w.rows + 1, np.int64)
             size[of + 1] = BANDS
-            node = pa.array(node_hash(w), mask=w.counts == 0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), node, pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(flat))], schema=schema)
+            names = [pa.array(x, mask=w.counts == 0) for x in node_hashes(w)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *names, pa.array(w.counts, pa.int64()), lists], schema=schema)
 
     return run
 
 
 def _own_text(schema: pa.Schema):
-    """(node, text) of the rows whose words have the wanted node."""
+    """(node, text) of the rows whose words have the wanted proof."""
     def run(batches):
         for b in scan.slices(batches, "text"):
             w = scan.words(*scan.buffers(b.column("text")))
-            same = pa.array(node_hash(w) == b.column("node").to_numpy(zero_copy_only=False))
+            same = pa.array(node_hashes(w)[1] == b.column("proof").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column("node").filter(same), b.column("text").filter(same)], schema=schema)
 
     return run
 
 
-def _with_node(schema: pa.Schema):
+def _with_proof(schema: pa.Schema):
     def run(batches):
         for b in scan.slices(batches, "text"):
             w = scan.words(*scan.buffers(b.column("text")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node_hash(w), mask=w.counts == 0)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node_hashes(w)[1], mask=w.counts == 0)], schema=schema)
 
     return run
 
@@ -175,24 +180,31 @@ def common(a: list[int], b: list[int], threshold: float = THRESHOLD) -> int:
 
 
 def similarity(a: list[int], b: list[int], threshold: float = THRESHOLD) -> float:
-    """Alignment similarity of two shingle sequences (0 if it cannot reach the threshold)."""
+    """Alignment similarity of two word sequences (0 if it cannot reach the threshold)."""
     c = common(a, b, threshold)
     return c / (len(a) + len(b) - c) if c else 0.0
 
 
+def _labels(w: scan.Words) -> np.ndarray:
+    """Hashes of the words with their occurrence number in the row."""
+    return labelled(w.row, w.hashes())
+
+
+def _in_common(a: scan.Words, b: scan.Words) -> np.ndarray:
+    """How many words the texts of each row have in common in any order, a bound of every alignment."""
+    x, y = (_labels(w) ^ scan.mix(w.row.astype(np.uint64), 49) for w in (a, b))
+    return np.bincount(a.row[np.isin(x, y)], minlength=a.rows)
+
+
 def _verify(threshold: float, schema: pa.Schema):
     def run(batches):
         for b in scan.slices(batches, "a_text"):
-            sides = []
-            for name in ("a_text", "b_text"):
-                w = scan.words(*scan.buffers(b.column(name)))
-                row, key = shingles(w)
-                cut = np.searchsorted(row, np.arange(w.rows + 1))
-                sides.append((key, cut))
-            good = np.zeros(b.num_rows, bool)
-            (ka, ca), (kb, cb) = sides
-            for i in range(b.num_rows):
-                good[i] = similarity(ka[ca[i] : ca[i + 1]].tolist(), kb[cb[i] : cb[i + 1]].tolist(), threshold) >= threshold
+            x, y = (scan.words(*scan.buffers(b.column(name))) for name in ("a_text", "b_text"))
+            good = _in_common(x, y) >= threshold / (1 + threshold) * (x.counts + y.counts) - 1e-6
+            hx, hy = x.hashes(), y.hashes()
+            for i in np.flatnonzero(good).tolist():
+                a, c = hx[x.first[i] : x.first[i + 1]].tolist(), hy[y.first[i] : y.first[i + 1]].tolist()
+                good[i] = similarity(a, c, threshold) >= threshold
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good))], schema=schema)
 
     return run
@@ -203,12 +215,11 @@ def _slots(label: np.ndarray) -> np.ndarray:
 
 
 def _count_slots(schema: pa.Schema):
-    """How many shingles of the task's texts fall into each slot."""
+    """How many words of the task's texts fall into each slot."""
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for b in scan.slices(batches, "text"):
-            row, key = shingles(scan.words(*scan.buffers(b.column("text"))))
-            total += np.bincount(_slots(labelled(row, key)), minlength=SLOTS)
+            total += np.bincount(_slots(_labels(scan.words(*scan.buffers(b.column("text"))))), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
 
@@ -216,17 +227,16 @@ def _count_slots(schema: pa.Schema):
 
 
 def _rarest(shared, threshold: float, schema: pa.Schema):
-    """The rarest shingles of each text, as many as a near text of its size or more (``short``) or less must share."""
+    """The rarest words of each text, as many as a near text of its size or more (``short``) or less must share."""
     def run(batches):
         counts = shared.value
         for b in scan.slices(batches, "text"):
-            row, key = shingles(scan.words(*scan.buffers(b.column("text"))))
-            label = labelled(row, key)
+            w = scan.words(*scan.buffers(b.column("text")))
+            row, label = w.row, _labels(w)
             order = np.lexsort((label, counts[_slots(label)], row))
             row, label = row[order], label[order]
-            size = np.bincount(row, minlength=b.num_rows)
-            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-            m = size[row]
+            place = np.arange(len(row)) - w.first[row]
+            m = w.counts[row]
             as_long = m - np.ceil(threshold * m - 1e-6).astype(np.int64)
             as_short = m - np.ceil(2 * threshold / (1 + threshold) * m - 1e-6).astype(np.int64)
             kept = place <= as_long
@@ -238,31 +248,37 @@ def _rarest(shared, threshold: float, schema: pa.Schema):
 
 
 def _unsettled(member: DataFrame, lead: DataFrame, label: DataFrame) -> DataFrame:
-    """(node, label) of the members of buckets with pairs of two classes and without a leader."""
+    """(bucket, node, label) of the members of buckets with pairs of two classes and without a leader."""
     named = member.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     of = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n")).where("x < y")
-    left = of.join(lead, "bucket").where("n > size(leads) + 1").select("bucket")
-    return settle(named.join(left, "bucket").select("node", "label").distinct())
+    left = settle(of.join(lead, "bucket").where("n > size(leads) + 1").select("bucket"))
+    return settle(named.join(left, "bucket").select("bucket", "node", "label"))
 
 
-def _rest(named: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all pairs of different labels in ``named`` that can be near."""
-    spark = named.sparkSession
-    whole = settle(text.join(named, "node").select("node", "label", "text"))
+def _rest(open_: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all pairs of different labels in one of the buckets that can be near."""
+    spark = open_.sparkSession
+    whole = settle(text.join(open_.select("node", "label").distinct(), "node").select("node", "label", "text"))
     slot = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
     found = whole.mapInArrow(_count_slots(to_arrow_schema(slot)), slot).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)  # 2 MB, whatever the input
     out = T.StructType([*[T.StructField(c, T.LongType()) for c in ("node", "label", "token", "size", "place")], T.StructField("short", T.BooleanType())])
-    rare = settle(whole.mapInArrow(_rarest(shared, threshold, to_arrow_schema(out)), out))
-    several = rare.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+    rare = whole.mapInArrow(_rarest(shared, threshold, to_arrow_schema(out)), out)
+    rare = settle(rare.join(open_.select("bucket", "node"), "node").withColumn("token", F.xxhash64("bucket", "token")).drop("bucket"))
+    # within a token the members of the largest class meet those of the others only
+    several = rare.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token")
+    several = settle(several.agg(F.max_by("label", "n").alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most"))
     rare = settle(rare.join(several, "token"))
+    near = F.expr(f"x.token = y.token AND x.label != y.label AND (x.size < y.size OR x.size = y.size AND x.node < y.node) AND x.size >= {threshold} * y.size - 1e-6 "
+                  # what follows the first word in common must suffice
+                  f"AND least(x.size - x.place, y.size - y.place) >= {threshold / (1 + threshold)} * (x.size + y.size) - 1e-6")
+    few = "label != most"
     x, y = rare.where("short").alias("x"), rare.alias("y")
-    sizes = F.expr(f"x.token = y.token AND x.label != y.label AND (x.size < y.size OR x.size = y.size AND x.node < y.node) AND x.size >= {threshold} * y.size - 1e-6")
-    # what follows the first shingle in common must suffice
-    places = F.expr(f"least(x.size - x.place, y.size - y.place) >= {threshold / (1 + threshold)} * (x.size + y.size) - 1e-6")
-    return x.join(y, sizes & places).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    found = x.where(few).join(y, near).select("x.node", F.col("y.node").alias("other"))
+    found = found.unionByName(x.where(f"NOT ({few})").join(y.where(few), near).select("x.node", F.col("y.node").alias("other")))
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _checked(frame: DataFrame) -> DataFrame:
@@ -278,28 +294,41 @@ def _near(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
     return sides.mapInArrow(_verify(threshold, pair), "a long, b long")
 
 
+def _told_apart(sketched: DataFrame) -> DataFrame:
+    """``sketched`` with a node of its own for each text whose name another text has too."""
+    named = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("proof").alias("least"), F.max("proof").alias("most"))
+    twice = settle(named.where("least < most").select("node", "least"))
+    if twice.isEmpty():  # for 10^11 texts a few hundred are expected, for most tables none
+        return sketched
+    own = F.when(F.col("proof") > F.col("least"), F.xxhash64("node", "proof")).otherwise(F.col("node"))
+    return settle(sketched.join(twice, "node", "left").withColumn("node", own).drop("least"))
+
+
 def _grouped(packed: Packed, threshold: float) -> DataFrame:
-    """(id, node, class_id) of every row."""
+    """(id, node, proof, class_id) of every row."""
     rows = packed.rows.select("id", "text")
-    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    sketched = settle(rows.mapInArrow(_sketch(to_arrow_schema(out)), out))
-    texts = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
-
-    member = sketched.where("node IS NOT NULL").select(F.explode("keys").alias("bucket"), "node").distinct()
-    size = settle(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    member = settle(member.join(size, "bucket"))
+    names = ("id", "node", "proof", "size")
+    out = T.StructType([*[T.StructField(c, T.LongType()) for c in names], T.StructField("keys", T.ArrayType(T.LongType()))])
+    sketched = _told_apart(settle(rows.mapInArrow(_sketch(to_arrow_schema(out)), out)))
+    texts = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.min("proof").alias("proof"))
+
+    member = sketched.where("node IS NOT NULL").select(F.explode("keys").alias("bucket"), "node", "size").distinct()
+    several = settle(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    member = settle(member.join(several, "bucket"))
     central = member.groupBy("node").agg(F.sum("n").alias("near"))
     # the leaders of a bucket are minima and maxima, aggregated before the shuffle
-    drawn = lambda k: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(k)), "node"))["node"]
-    most = F.max(F.struct("near", F.xxhash64("bucket", "node"), "node"))["node"]
+    one = F.struct("node", "size")
+    drawn = lambda k: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(k)), one.alias("one")))["one"]
+    most = F.max(F.struct("near", F.xxhash64("bucket", "node"), one.alias("one")))["one"]
     lead = settle(member.join(central, "node").groupBy("bucket").agg(F.array_distinct(F.array(most, drawn(1), drawn(2))).alias("leads")))
-    pairs = member.join(lead, "bucket").select("node", F.explode("leads").alias("lead")).where("node != lead")
-    pairs = settle(pairs.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct())
+    pairs = member.join(lead, "bucket").select("node", "size", F.explode("leads").alias("lead"))
+    pairs = pairs.where("node != lead.node").where(F.least("size", "lead.size") >= threshold * F.greatest("size", "lead.size") - 1e-6)
+    pairs = settle(pairs.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct())
 
     # texts of the candidates alone, each from a row of its least id
-    needed = _checked(settle(member.select("node").distinct().join(texts, "node").select("node", F.col("id").alias("of"))))
+    needed = _checked(settle(member.select("node").distinct().join(texts, "node").select("node", "proof", F.col("id").alias("of"))))
     own = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
-    text = rows.join(needed, rows["id"].eqNullSafe(needed["of"])).select("node", "text").mapInArrow(_own_text(to_arrow_schema(own)), own)
+    text = rows.join(needed, rows["id"].eqNullSafe(needed["of"])).select("node", "proof", "text").mapInArrow(_own_text(to_arrow_schema(own)), own)
     text = settle(text.dropDuplicates(["node"]))
     links = settle(_near(pairs, text, threshold))
     label = components(links)
@@ -310,16 +339,17 @@ def _grouped(packed: Packed, threshold: float) -> DataFrame:
             label = components(links.unionByName(more))
 
     grouped = texts.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
-    least = grouped.groupBy("label").agg(F.min("id").alias("class_id"))
+    # a written table, so that the join splits a label with a large share of the nodes
+    least = settle(grouped.groupBy("label").agg(F.min("id").alias("class_id")))
     found = grouped.join(least, "label").select("node", "class_id")
-    whole = sketched.select("id", "node").join(found, "node", "left")
-    return settle(whole.select("id", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")))
+    whole = sketched.select("id", "node", "proof").join(found, "node", "left")
+    return settle(whole.select("id", "node", "proof", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, node), one row for each document.
 
-    node is a hash of the words, null for a text without any.
+    node names the words, null for a text without any.
     """
     found = _grouped(pack(docs, id_col, text_col, "near"), threshold)
     return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "class_id", "node")
@@ -333,16 +363,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     packed = pack(docs, id_col, text_col, "near")
     found = _grouped(packed, threshold)
-    out = T.StructType([*packed.rows.schema.fields, T.StructField("node", T.LongType())])
-    rows = packed.rows.mapInArrow(_with_node(to_arrow_schema(out)), out)
-    wanted = found.where("node IS NULL OR class_id IS NULL OR id = class_id").select(F.col("id").alias("i"), F.col("node").alias("n"), "class_id").distinct()
-    kept = rows.join(_checked(wanted), rows["id"].eqNullSafe(F.col("i")) & rows["node"].eqNullSafe(F.col("n"))).select("id", "text", "rest", "node", "class_id")
+    out = T.StructType([*packed.rows.schema.fields, T.StructField("proof", T.LongType())])
+    rows = packed.rows.mapInArrow(_with_proof(to_arrow_schema(out)), out)
+    wanted = found.where("node IS NULL OR class_id IS NULL OR id = class_id").select(F.col("id").alias("i"), F.col("proof").alias("p"), "class_id").distinct()
+    kept = rows.join(_checked(wanted), rows["id"].eqNullSafe(F.col("i")) & rows["proof"].eqNullSafe(F.col("p"))).select("id", "text", "rest", "proof", "class_id")
     # several rows of one class with its id: only where ids or rows repeat
     ids = packed.rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 AND id IS NOT NULL")
     twins = settle(ids.select(F.col("id").alias("class_id")))
     if not twins.isEmpty():
-        first = F.col("node").isNotNull() & F.col("class_id").isNotNull()
+        first = F.col("proof").isNotNull() & F.col("class_id").isNotNull()
         several = kept.where(first).join(twins, "class_id")
-        one = several.groupBy("class_id").agg(F.min_by(F.struct("id", "text", "rest", "node"), "text").alias("row")).select("row.*", "class_id")
+        one = several.groupBy("class_id").agg(F.min_by(F.struct("id", "text", "rest", "proof"), "text").alias("row")).select("row.*", "class_id")
         kept = kept.where(~first).unionByName(kept.where(first).join(twins, "class_id", "left_anti").select(kept.columns)).unionByName(one.select(kept.columns))
     return packed.unpack(kept, F.lit(0)).drop("near")

@@ -253,13 +253,15 @@ def decode_slice(a: Automaton, ids: np.ndarray, offsets: np.ndarray) -> list[str
 _IDS = T.ArrayType(T.IntegerType())
 
 
-def _encode(shared, schema: pa.Schema):
+def _encode(shared, schema: pa.Schema, check: bool):
+    """Pieces of every text, with ``check`` decoded again by the same worker."""
     def run(batches):
         a = shared.value
         for b in scan.slices(batches, "text"):
             ids, by_row, score = encode_slice(a, *scan.buffers(b.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(by_row, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), b.column("rest"), lists, pa.array(score)], schema=schema)
+            again = [pa.array(decode_slice(a, ids, by_row), pa.string())] if check else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), b.column("rest"), lists, pa.array(score), *again], schema=schema)
 
     return run
 
@@ -282,14 +284,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """``docs`` with a struct ``pieces``: ids (array<int>), score, and, with ``check``, decoded."""
     packed = pack(docs, id_col, text_col, "pieces")
     shared = docs.sparkSession.sparkContext.broadcast(build(model_path))  # a vocabulary: a few MB
-    out = T.StructType([*packed.rows.schema.fields, T.StructField("ids", _IDS), T.StructField("score", T.DoubleType())])
-    frame = packed.rows.mapInArrow(_encode(shared, to_arrow_schema(out)), out)
-    names = ["ids", "score"]
-    if check:
-        out = T.StructType([*out.fields, T.StructField("decoded", T.StringType())])
-        frame = frame.mapInArrow(_decode(shared, to_arrow_schema(out)), out)
-        names.append("decoded")
-    return packed.unpack(frame, F.struct(*names))
+    new = [T.StructField("ids", _IDS), T.StructField("score", T.DoubleType()), *[T.StructField("decoded", T.StringType())] * check]
+    out = T.StructType([*packed.rows.schema.fields, *new])
+    frame = packed.rows.mapInArrow(_encode(shared, to_arrow_schema(out), check), out)
+    return packed.unpack(frame, F.struct(*[f.name for f in new]))
 
 
 def decode(frame: DataFrame, ids_col: str = "ids", into: str = "text", model_path: str = MODEL) -> DataFrame:

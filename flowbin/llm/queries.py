@@ -63,10 +63,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every text (as count and hash), their score, and whether they decode to it."""
+    """Piece ids of every text, their count, hash and score, and whether they decode to it."""
     out = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
     whole = F.coalesce(F.col("text"), F.lit(""))
-    return out.select("doc_id", F.size("pieces.ids").cast("long").alias("n_pieces"), F.xxhash64("pieces.ids").alias("ids_hash"),
+    return out.select("doc_id", F.col("pieces.ids").alias("ids"), F.size("pieces.ids").cast("long").alias("n_pieces"), F.xxhash64("pieces.ids").alias("ids_hash"),
                       F.col("pieces.score").alias("score"), (F.col("pieces.decoded") == whole).alias("round_trip"))
 
 

@@ -19,13 +19,8 @@ def brute_common(a, b):
     return row[-1]
 
 
-def shingled(text):
-    w = WORDS.findall(text or "")
-    return [" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-
-
 def brute_classes(docs):
-    """Classes by all pairs; id -> class id."""
+    """Classes by the alignment of the words of all pairs; id -> class id."""
     parent = {i: i for i, _ in docs}
 
     def find(x):
@@ -33,10 +28,11 @@ def brute_classes(docs):
             x = parent[x]
         return x
 
-    sets = [(i, shingled(t)) for i, t in docs]
-    for n, (i, a) in enumerate(sets):
-        for j, b in sets[n + 1 :]:
-            if not a or not b or min(len(a), len(b)) < 0.8 * max(len(a), len(b)) or len(set(a) & set(b)) < 0.5 * min(len(set(a)), len(set(b))):
+    texts = [(i, w, collections.Counter(w)) for i, t in docs if (w := WORDS.findall(t or ""))]
+    for n, (i, a, in_a) in enumerate(texts):
+        for j, b, in_b in texts[n + 1 :]:
+            # no alignment has more words than the texts have in common in any order
+            if min(len(a), len(b)) < 0.8 * max(len(a), len(b)) or 1.8 * (in_a & in_b).total() < 0.8 * (len(a) + len(b)) - 1e-6:
                 continue
             c = brute_common(a, b)
             if c / (len(a) + len(b) - c) >= 0.8:

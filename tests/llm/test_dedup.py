@@ -8,7 +8,7 @@ import pytest
 
 from flowbin.llm import orderminhash, substrings
 from flowbin.llm.components import components
-from llm_brute import brute_classes, brute_common, brute_repeats, shingled
+from llm_brute import brute_classes, brute_common, brute_repeats
 
 
 def test_alignment_is_exact_from_the_threshold_on():
@@ -32,7 +32,7 @@ def small_docs():
     docs = []
     for k, words in enumerate(base):
         for _ in range(rng.randrange(1, 6)):
-            new = [rng.choice(vocabulary) if rng.random() < 0.012 else w for w in words]
+            new = [rng.choice(vocabulary) if rng.random() < 0.04 else w for w in words]
             docs.append(" ".join(new))
         docs.append(" ".join(words[:20] + passage + words[40:]))
     docs += [docs[0], docs[0], "  ".join(docs[3].split(" ")), "", None, "one two three", "one two three", " \n "]
@@ -72,7 +72,7 @@ def test_near_pairs_within_a_template_of_thousands(spark):
         docs.append(" ".join(template + [f"u{next(fresh)}" for _ in range(15)]))
     rng.shuffle(docs)
     docs = list(enumerate(docs))
-    sets = [frozenset(shingled(t)) for _, t in docs]
+    sets = [frozenset(t.split()) for _, t in docs]
     want = {i: i for i, _ in docs}
     often = collections.Counter(x for one in sets for x in one)
     names = {x: k for k, x in enumerate(x for x, n in often.items() if n > 1)}
@@ -80,7 +80,7 @@ def test_near_pairs_within_a_template_of_thousands(spark):
     for i, one in enumerate(sets):
         held[i, [names[x] for x in one if x in names]] = 1
     both, size = held @ held.T, np.array([len(x) for x in sets])
-    # no shingle occurs twice in a text, so that no more than those in common can be aligned
+    # no word occurs twice in a text, so that no more than those in common can be aligned
     for i, j in np.argwhere(np.triu(both >= 0.8 * (size[:, None] + size - both), 1)).tolist():
         if brute_classes([docs[i], docs[j]])[j] == i:
             want[j] = want[i]
@@ -89,6 +89,28 @@ def test_near_pairs_within_a_template_of_thousands(spark):
     assert got == want
 
 
+def test_recall_of_word_edits_on_the_table(spark):
+    """Pairs of documents by word similarity from 0.8 on, all pairs against the classes."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_classes(docs)
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in orderminhash.classes(frame).collect()}
+    assert set(got) == set(want)
+    members = collections.defaultdict(list)
+    for i, c in want.items():
+        members[c].append(i)
+    assert all(want[i] == want[c] for i, c in got.items())  # no class joins what all pairs keep apart
+    pairs = [(i, j) for ids in members.values() for k, i in enumerate(ids) for j in ids[k + 1 :]]
+    assert len(pairs) > 100 and sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+
+
+def test_texts_that_share_a_name_are_told_apart(spark):
+    rows = [(1, 7, 10, 3, [1]), (2, 7, 10, 3, [1]), (3, 7, 11, 3, [2]), (4, 8, 12, 3, [3]), (5, None, None, 0, None)]
+    frame = spark.createDataFrame(rows, "id long, node long, proof long, size long, keys array<long>")
+    got = {r.id: r.node for r in orderminhash._told_apart(frame).collect()}
+    assert got[1] == got[2] == 7 and got[3] not in (7, 8) and got[4] == 8 and got[5] is None
+
+
 def test_keep_first_keeps_one_of_each_class_and_all_columns(spark, small_docs):
     rows = [(i, t, "x", i * 2) for i, t in small_docs] + [(0, small_docs[0][1], "x", 0), (None, "lonely text of a row without id", "y", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, near long")
