@@ -22,8 +22,11 @@ their rarest words: the longer of two near texts has one of the shorter's least
 among its own least 1 - t, in any fixed order of the words, each labelled with its occurrence
 number.  The order is by counts in ``SLOTS`` hashed slots, so that the words of a template come
 last and join nothing.  Of each word's members the largest class meets the others only, never
-itself.  All pairs of different classes that fit in size and place are aligned.  So two near
-texts that share a bucket are always in one class; nothing is capped or drawn.
+itself.  Each text has a mark of ``MARKS`` times 64 bits, the parities of its labelled words by hash:
+two marks differ in no more bits than the texts have words that are not common, of which near
+texts have at most (1 - t) / (1 + t) of all.  All pairs of different classes that fit in size, place
+and mark are aligned.  So two near texts that share a bucket are always in one class; nothing is
+capped or drawn.
 
 Defined results: a null text, an empty one or one without words is in no class but its own;
 a text of fewer than K words is one shingle; repeated rows and equal texts share a class,
@@ -53,6 +56,7 @@ ROWS = 1
 BANDS = 24
 BROADCAST_ROWS = 1_000_000
 SLOTS = 1 << 18
+MARKS = 4
 
 
 def shingles(w: scan.Words, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +218,19 @@ def _slots(label: np.ndarray) -> np.ndarray:
     return (scan.mix(label, 48) % np.uint64(SLOTS)).astype(np.int64)
 
 
+def marks(row: np.ndarray, label: np.ndarray, rows: int) -> np.ndarray:
+    """The parities of each row's labels in ``MARKS`` times 64 hashed bits (rows x MARKS)."""
+    bit = scan.mix(label, 50) % np.uint64(64 * MARKS)
+    at = row * MARKS + (bit >> np.uint64(6)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    at, one = at[order], np.uint64(1) << (bit[order] & np.uint64(63))
+    out = np.zeros(rows * MARKS, np.uint64)
+    if len(at):
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[start]] = np.bitwise_xor.reduceat(one, start)
+    return out.view(np.int64).reshape(rows, MARKS)
+
+
 def _count_slots(schema: pa.Schema):
     """How many words of the task's texts fall into each slot."""
     def run(batches):
@@ -241,7 +258,8 @@ def _rarest(shared, threshold: float, schema: pa.Schema):
             as_short = m - np.ceil(2 * threshold / (1 + threshold) * m - 1e-6).astype(np.int64)
             kept = place <= as_long
             at = pa.array(row[kept])
-            columns = [label[kept].view(np.int64), m[kept], place[kept], (place <= as_short)[kept]]
+            mark = marks(row, label, w.rows)[row[kept]].T
+            columns = [label[kept].view(np.int64), m[kept], place[kept], (place <= as_short)[kept], *mark]
             yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("label").take(at), *map(pa.array, columns)], schema=schema)
 
     return run
@@ -264,16 +282,18 @@ def _rest(open_: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
     counts = np.zeros(SLOTS, np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)  # 2 MB, whatever the input
-    out = T.StructType([*[T.StructField(c, T.LongType()) for c in ("node", "label", "token", "size", "place")], T.StructField("short", T.BooleanType())])
+    out = T.StructType([*[T.StructField(c, T.LongType()) for c in ("node", "label", "token", "size", "place")], T.StructField("short", T.BooleanType()), *[T.StructField(f"m{i}", T.LongType()) for i in range(MARKS)]])
     rare = whole.mapInArrow(_rarest(shared, threshold, to_arrow_schema(out)), out)
     rare = settle(rare.join(open_.select("bucket", "node"), "node").withColumn("token", F.xxhash64("bucket", "token")).drop("bucket"))
     # within a token the members of the largest class meet those of the others only
     several = rare.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token")
     several = settle(several.agg(F.max_by("label", "n").alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most"))
     rare = settle(rare.join(several, "token"))
+    apart = " + ".join(f"bit_count(x.m{i} ^ y.m{i})" for i in range(MARKS))
     near = F.expr(f"x.token = y.token AND x.label != y.label AND (x.size < y.size OR x.size = y.size AND x.node < y.node) AND x.size >= {threshold} * y.size - 1e-6 "
                   # what follows the first word in common must suffice
-                  f"AND least(x.size - x.place, y.size - y.place) >= {threshold / (1 + threshold)} * (x.size + y.size) - 1e-6")
+                  f"AND least(x.size - x.place, y.size - y.place) >= {threshold / (1 + threshold)} * (x.size + y.size) - 1e-6 "
+                  f"AND {apart} <= {(1 - threshold) / (1 + threshold)} * (x.size + y.size) + 1e-6")
     few = "label != most"
     x, y = rare.where("short").alias("x"), rare.alias("y")
     found = x.where(few).join(y, near).select("x.node", F.col("y.node").alias("other"))

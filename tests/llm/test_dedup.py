@@ -191,3 +191,20 @@ def test_owned_tables_go_and_others_stay(spark):
     assert free.count() == 3 and paths == []
     with pytest.raises(Exception):
         mine.collect()
+
+
+def test_marks_never_differ_more_than_the_words_do():
+    import pyarrow as pa
+
+    from flowbin.llm import textscan as scan
+
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 5, 80, 900]))) for _ in range(60)] + ["", " "]
+    w = scan.words(*scan.buffers(pa.array(texts)))
+    found = orderminhash.marks(w.row, orderminhash._labels(w), w.rows).view(np.uint64)
+    assert found.shape == (len(texts), orderminhash.MARKS) and not found[-2:].any()
+    bags = [collections.Counter(t.split()) for t in texts]
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            apart = sum(int(x).bit_count() for x in found[i] ^ found[j])
+            assert apart <= a.total() + b.total() - 2 * (a & b).total()
