@@ -14,19 +14,18 @@ within a band of diagonals that no alignment of the wanted similarity can leave.
 Pairs whose sizes or whose words, whatever their order, cannot reach it are not aligned.
 
 Texts of the same words are one node, named by a hash; a second, independent hash tells
-texts apart that share a name.  In each band bucket every member is first aligned with
-three leaders: the most central one, whose buckets hold most other members, and two drawn by
-hash.  A bucket is settled if its members are of one class by then, or if every pair in it
-has a leader.  The members of every other bucket (of a template, say) are joined within it on
-their rarest words: the longer of two near texts has one of the shorter's least (1 - t) / (1 + t)
-among its own least 1 - t, in any fixed order of the words, each labelled with its occurrence
-number.  The order is by counts in ``SLOTS`` hashed slots, so that the words of a template come
-last and join nothing.  Of each word's members the largest class meets the others only, never
-itself.  Each text has a mark of ``MARKS`` times 64 bits, the parities of its labelled words by hash:
-two marks differ in no more bits than the texts have words that are not common, of which near
-texts have at most (1 - t) / (1 + t) of all.  All pairs of different classes that fit in size, place
-and mark are aligned.  So two near texts that share a bucket are always in one class; nothing is
-capped or drawn.
+texts apart that share a name.  In each band bucket every member is first aligned with the
+most central one, whose buckets hold most other members.  Where a bucket then has members of
+several classes, they are aligned with two leaders drawn by hash, unless they are of a leader's
+class.  All leaders are ranked by node alone, so that the buckets of one group agree on few of them.
+A bucket is settled if its members are of one class by then, or if every pair in it has a leader.
+In every other bucket (of a template, say) all pairs of different classes are compared by marks, in
+cells of two blocks of at most about ``BLOCK`` members each; members of the bucket's largest class meet
+the others only, never each other.  A mark is ``MARKS`` times 64 bits or, for longer texts, a doubled
+number, about four to eight for each word: the parities of the text's labelled words by hash.  Two
+marks differ in no more bits than the texts have words that are not common, of which near texts
+have at most (1 - t) / (1 + t) of all.  The pairs left, each found in one bucket only, are aligned.
+So two near texts that share a bucket are always in one class; nothing is capped or drawn.
 
 Defined results: a null text, an empty one or one without words is in no class but its own;
 a text of fewer than K words is one shingle; repeated rows and equal texts share a class,
@@ -55,8 +54,9 @@ TUPLE = 2
 ROWS = 1
 BANDS = 24
 BROADCAST_ROWS = 1_000_000
-SLOTS = 1 << 18
+BLOCK = 512
 MARKS = 4
+WIDEST = 8  # doublings of MARKS, which bound the memory of a cell
 
 
 def shingles(w: scan.Words, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -214,91 +214,98 @@ def _verify(threshold: float, schema: pa.Schema):
     return run
 
 
-def _slots(label: np.ndarray) -> np.ndarray:
-    return (scan.mix(label, 48) % np.uint64(SLOTS)).astype(np.int64)
-
-
-def marks(row: np.ndarray, label: np.ndarray, rows: int) -> np.ndarray:
-    """The parities of each row's labels in ``MARKS`` times 64 hashed bits (rows x MARKS)."""
-    bit = scan.mix(label, 50) % np.uint64(64 * MARKS)
-    at = row * MARKS + (bit >> np.uint64(6)).astype(np.int64)
+def marks(row: np.ndarray, label: np.ndarray, rows: int, wide: int = MARKS) -> np.ndarray:
+    """The parities of each row's labels in ``wide`` times 64 hashed bits (rows x wide)."""
+    bit = scan.mix(label, 50) % np.uint64(64 * wide)
+    at = row * wide + (bit >> np.uint64(6)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at, one = at[order], np.uint64(1) << (bit[order] & np.uint64(63))
-    out = np.zeros(rows * MARKS, np.uint64)
+    out = np.zeros(rows * wide, np.uint64)
     if len(at):
         start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         out[at[start]] = np.bitwise_xor.reduceat(one, start)
-    return out.view(np.int64).reshape(rows, MARKS)
+    return out.view(np.int64).reshape(rows, wide)
 
 
-def _count_slots(schema: pa.Schema):
-    """How many words of the task's texts fall into each slot."""
+def _marked(threshold: float, schema: pa.Schema):
+    """The mark of each text in the tier of its size (``own``), and in each higher one in which near texts can be."""
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
         for b in scan.slices(batches, "text"):
-            total += np.bincount(_slots(_labels(scan.words(*scan.buffers(b.column("text"))))), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
+            w = scan.words(*scan.buffers(b.column("text")))
+            row, label, size = w.row, _labels(w), w.counts
+            own = np.frexp((size - 1) // (16 * MARKS))[1]  # tier k ends at 16 * MARKS << k words
+            tier = int(own.min())
+            while True:
+                least = (16 * MARKS << tier - 1) + 1 if tier else 0  # words of the tier's shortest texts
+                here = (own == tier) | (own < tier) & (size >= threshold * least - 1e-6)
+                if here.any():
+                    at = np.flatnonzero(here)
+                    of = here[row]
+                    mark = marks((np.cumsum(here) - 1)[row[of]], label[of], len(at), MARKS << min(tier, WIDEST))
+                    taken = [b.column(c).take(pa.array(at)) for c in ("node", "label", "buckets")]
+                    columns = [pa.array(size[at]), pa.array(np.full(len(at), tier, np.int32)), pa.array(own[at] == tier), pa.array([m.tobytes() for m in mark], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*taken, *columns], schema=schema)
+                elif tier > own.max():
+                    break
+                tier += 1
 
     return run
 
 
-def _rarest(shared, threshold: float, schema: pa.Schema):
-    """The rarest words of each text, as many as a near text of its size or more (``short``) or less must share."""
-    def run(batches):
-        counts = shared.value
-        for b in scan.slices(batches, "text"):
-            w = scan.words(*scan.buffers(b.column("text")))
-            row, label = w.row, _labels(w)
-            order = np.lexsort((label, counts[_slots(label)], row))
-            row, label = row[order], label[order]
-            place = np.arange(len(row)) - w.first[row]
-            m = w.counts[row]
-            as_long = m - np.ceil(threshold * m - 1e-6).astype(np.int64)
-            as_short = m - np.ceil(2 * threshold / (1 + threshold) * m - 1e-6).astype(np.int64)
-            kept = place <= as_long
-            at = pa.array(row[kept])
-            mark = marks(row, label, w.rows)[row[kept]].T
-            columns = [label[kept].view(np.int64), m[kept], place[kept], (place <= as_short)[kept], *mark]
-            yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("label").take(at), *map(pa.array, columns)], schema=schema)
+def _cell(threshold: float):
+    """(a, b) of the pairs between the blocks ``low`` and ``high`` of a bucket that can be near.
+
+    A pair is told in the least bucket that it shares and in the tier of its longer text.
+    """
+    def run(key, cell):
+        bucket, _, low, high = (k.as_py() for k in key)
+        node, label, size, own, at = (cell[c].to_numpy() for c in ("node", "label", "size", "own", "at"))
+        mark = np.frombuffer(b"".join(cell["mark"].to_pylist()), np.uint64).reshape(len(node), -1)
+        lists = cell["buckets"].combine_chunks()
+        count = lists.value_lengths().to_numpy()
+        held = np.full((len(node), count.max()), bucket)
+        held[np.arange(held.shape[1]) < count[:, None]] = lists.flatten().to_numpy()
+        others = np.flatnonzero(at == high)
+        a, b = [], []
+        for i in np.flatnonzero(at == low).tolist():
+            y = others[others > i] if low == high else others
+            y = y[(label[y] != label[i]) & (own[y] | own[i]) & (np.minimum(size[y], size[i]) >= threshold * np.maximum(size[y], size[i]) - 1e-6)]
+            both = size[y] + size[i]
+            y = y[np.bitwise_count(mark[y] ^ mark[i]).sum(axis=1, dtype=np.int64) <= (1 - threshold) / (1 + threshold) * both + 1e-6]
+            if len(y):
+                y = y[np.where(np.isin(held[y], held[i]), held[y], bucket).min(axis=1) == bucket]
+                a.append(np.minimum(node[y], node[i]))
+                b.append(np.maximum(node[y], node[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
     return run
 
 
 def _unsettled(member: DataFrame, lead: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, node, label) of the members of buckets with pairs of two classes and without a leader."""
-    named = member.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    """``member`` and label of those in buckets with pairs of two classes and without a leader."""
+    named = member.join(label, "node", "left").select("bucket", "node", "size", "n", F.coalesce("label", "node").alias("label"))
     of = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n")).where("x < y")
     left = settle(of.join(lead, "bucket").where("n > size(leads) + 1").select("bucket"))
-    return settle(named.join(left, "bucket").select("bucket", "node", "label"))
+    return settle(named.join(left, "bucket").select(named.columns))
 
 
 def _rest(open_: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of all pairs of different labels in one of the buckets that can be near."""
-    spark = open_.sparkSession
-    whole = settle(text.join(open_.select("node", "label").distinct(), "node").select("node", "label", "text"))
-    slot = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())])
-    found = whole.mapInArrow(_count_slots(to_arrow_schema(slot)), slot).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(counts)  # 2 MB, whatever the input
-    out = T.StructType([*[T.StructField(c, T.LongType()) for c in ("node", "label", "token", "size", "place")], T.StructField("short", T.BooleanType()), *[T.StructField(f"m{i}", T.LongType()) for i in range(MARKS)]])
-    rare = whole.mapInArrow(_rarest(shared, threshold, to_arrow_schema(out)), out)
-    rare = settle(rare.join(open_.select("bucket", "node"), "node").withColumn("token", F.xxhash64("bucket", "token")).drop("bucket"))
-    # within a token the members of the largest class meet those of the others only
-    several = rare.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token")
-    several = settle(several.agg(F.max_by("label", "n").alias("most"), F.count("*").alias("labels")).where("labels > 1").select("token", "most"))
-    rare = settle(rare.join(several, "token"))
-    apart = " + ".join(f"bit_count(x.m{i} ^ y.m{i})" for i in range(MARKS))
-    near = F.expr(f"x.token = y.token AND x.label != y.label AND (x.size < y.size OR x.size = y.size AND x.node < y.node) AND x.size >= {threshold} * y.size - 1e-6 "
-                  # what follows the first word in common must suffice
-                  f"AND least(x.size - x.place, y.size - y.place) >= {threshold / (1 + threshold)} * (x.size + y.size) - 1e-6 "
-                  f"AND {apart} <= {(1 - threshold) / (1 + threshold)} * (x.size + y.size) + 1e-6")
-    few = "label != most"
-    x, y = rare.where("short").alias("x"), rare.alias("y")
-    found = x.where(few).join(y, near).select("x.node", F.col("y.node").alias("other"))
-    found = found.unionByName(x.where(f"NOT ({few})").join(y.where(few), near).select("x.node", F.col("y.node").alias("other")))
-    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    """(a, b) of all pairs of different labels in one of the buckets that can be near, each once."""
+    nodes = open_.groupBy("node").agg(F.first("label").alias("label"), F.collect_set("bucket").alias("buckets"))
+    names = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType())),
+                          T.StructField("size", T.LongType()), T.StructField("tier", T.IntegerType()), T.StructField("own", T.BooleanType()), T.StructField("mark", T.BinaryType())])
+    whole = text.join(nodes, "node").select("node", "label", "buckets", "text")
+    marked = settle(whole.mapInArrow(_marked(threshold, to_arrow_schema(names)), names))
+    # the largest class of a bucket and tier, and the blocks of the others and of that class
+    of = marked.select(F.explode("buckets").alias("bucket"), "tier", "label").groupBy("bucket", "tier", "label").agg(F.count("*").alias("n"))
+    of = of.groupBy("bucket", "tier").agg(F.max_by("label", "n").alias("most"), F.max("n").alias("many"), F.sum("n").alias("n")).where("n > many")
+    of = _checked(settle(of.select("bucket", "tier", "most", F.ceil((F.col("n") - F.col("many")) / BLOCK).alias("few"), F.ceil(F.col("many") / BLOCK).alias("blocks"))))
+    placed = marked.withColumn("bucket", F.explode("buckets")).join(of, ["bucket", "tier"])
+    placed = placed.withColumn("at", F.expr("IF(label = most, few + pmod(node, blocks), pmod(node, few))"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0L, IF(label = most, few, few + blocks) - 1L)")))
+    cells = placed.select("bucket", "tier", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), "at", "node", "label", "buckets", "size", "own", "mark")
+    return cells.groupBy("bucket", "tier", "low", "high").applyInArrow(_cell(threshold), "a long, b long")
 
 
 def _checked(frame: DataFrame) -> DataFrame:
@@ -306,6 +313,13 @@ def _checked(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+def _led(member: DataFrame, lead: DataFrame, threshold: float, where: str = "true") -> DataFrame:
+    """(a, b) of the members and leaders of each bucket whose sizes let them be near."""
+    pairs = member.join(lead, "bucket").withColumn("lead", F.explode("leads")).where(where)
+    pairs = pairs.where("node != lead.node").where(F.least("size", "lead.size") >= threshold * F.greatest("size", "lead.size") - 1e-6)
+    return pairs.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
+
+
 def _near(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose texts are near."""
     sides = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
@@ -337,13 +351,10 @@ def _grouped(packed: Packed, threshold: float) -> DataFrame:
     member = settle(member.join(several, "bucket"))
     central = member.groupBy("node").agg(F.sum("n").alias("near"))
     # the leaders of a bucket are minima and maxima, aggregated before the shuffle
-    one = F.struct("node", "size")
-    drawn = lambda k: F.min(F.struct(F.xxhash64("bucket", "node", F.lit(k)), one.alias("one")))["one"]
-    most = F.max(F.struct("near", F.xxhash64("bucket", "node"), one.alias("one")))["one"]
-    lead = settle(member.join(central, "node").groupBy("bucket").agg(F.array_distinct(F.array(most, drawn(1), drawn(2))).alias("leads")))
-    pairs = member.join(lead, "bucket").select("node", "size", F.explode("leads").alias("lead"))
-    pairs = pairs.where("node != lead.node").where(F.least("size", "lead.size") >= threshold * F.greatest("size", "lead.size") - 1e-6)
-    pairs = settle(pairs.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct())
+    most = F.max(F.struct("near", "node", "size"))
+    lead = member.join(central, "node").groupBy("bucket").agg(most.alias("most"))
+    lead = settle(lead.select("bucket", F.array(F.struct("most.node", "most.size")).alias("leads")))
+    pairs = settle(_led(member, lead, threshold))
 
     # texts of the candidates alone, each from a row of its least id
     needed = _checked(settle(member.select("node").distinct().join(texts, "node").select("node", "proof", F.col("id").alias("of"))))
@@ -354,9 +365,20 @@ def _grouped(packed: Packed, threshold: float) -> DataFrame:
     label = components(links)
     open_ = _unsettled(member, lead, label)
     if not open_.isEmpty():
-        more = settle(_near(_rest(open_, text, threshold), text, threshold))
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+        one = F.struct("node", "size", "label")
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), one.alias("one")))["one"] for k in (1, 2)]
+        more = settle(open_.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("more")))
+        apart = _led(open_, more.withColumnRenamed("more", "leads"), threshold, "label != lead.label")
+        found = settle(_near(apart, text, threshold))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links)
+        lead = lead.join(more, "bucket").select("bucket", F.array_union("leads.node", "more.node").alias("leads"))
+        open_ = _unsettled(open_.drop("label"), lead, label)
+    if not open_.isEmpty():
+        found = settle(_near(settle(_rest(open_, text, threshold)), text, threshold))
+        if not found.isEmpty():
+            label = components(links.unionByName(found))
 
     grouped = texts.join(label, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     # a written table, so that the join splits a label with a large share of the nodes

@@ -1,6 +1,7 @@
 """Near duplicates, substring dedup and components against brute force, and their odd inputs."""
 
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -208,3 +209,69 @@ def test_marks_never_differ_more_than_the_words_do():
         for j, b in enumerate(bags):
             apart = sum(int(x).bit_count() for x in found[i] ^ found[j])
             assert apart <= a.total() + b.total() - 2 * (a & b).total()
+
+
+def _noisy(rng, words, share, fresh):
+    return [f"n{next(fresh)}" if rng.random() < share else w for w in words]
+
+
+def test_pairs_of_a_bucket_are_found_once_in_cells_of_all_sizes(spark, monkeypatch):
+    """Near pairs across tiers, blocks, classes and buckets against all pairs; each comes once."""
+    monkeypatch.setattr(orderminhash, "BLOCK", 7)
+    rng, fresh = random.Random(41), iter(range(10**6))
+    docs = []
+    for n in (1, 3, 58, 64, 65, 70, 128, 140, 257, 600):  # 64 << k words end a tier
+        words = [f"t{n}_{rng.randrange(4 * n)}" for _ in range(n)]
+        for _ in range(9):
+            new = _noisy(rng, words, rng.choice([0, 0.03, 0.06, 0.2]), fresh)
+            docs.append(new + [f"e{next(fresh)}" for _ in range(rng.randrange(1 + n // 8))])
+    rng.shuffle(docs)
+    docs = {k: words for k, words in enumerate(docs)}
+    label = {k: k if rng.random() < 0.5 else -1 for k in docs}
+    buckets = {k: set(rng.sample([11, -5, 8], rng.randrange(1, 4))) for k in docs}
+    rows = [(b, k, label[k]) for k in docs for b in sorted(buckets[k])]
+    open_ = spark.createDataFrame(rows, "bucket long, node long, label long")
+    text = spark.createDataFrame([(k, " ".join(words)) for k, words in docs.items()], "node long, text string")
+    got = [(r.a, r.b) for r in orderminhash._rest(open_, text, 0.8).collect()]
+    assert len(got) == len(set(got)) and all(a < b and label[a] != label[b] and buckets[a] & buckets[b] for a, b in got)
+    want = set()
+    for a in docs:
+        for b in docs:
+            if a < b and label[a] != label[b] and buckets[a] & buckets[b]:
+                if orderminhash.similarity(docs[a], docs[b]) >= 0.8:
+                    want.add((a, b))
+    assert len(want) > 50 and want <= set(got)
+
+
+def test_long_texts_with_a_passage_in_common_are_not_aligned(spark):
+    """Marks grow with the texts: 256 bits let every pair of these pass."""
+    rng = random.Random(43)
+    passage = [f"p{i}" for i in range(700)]
+    docs = [passage + [f"w{rng.randrange(3000)}" for _ in range(800)] for _ in range(60)]
+    docs += [docs[0][:-60] + [f"x{i}" for i in range(60)]]
+    open_ = spark.createDataFrame([(1, k, k) for k in range(len(docs))], "bucket long, node long, label long")
+    text = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(docs)], "node long, text string")
+    assert [(r.a, r.b) for r in orderminhash._rest(open_, text, 0.8).collect()] == [(0, 60)]
+
+
+def test_pairs_of_a_group_grow_with_its_members(spark, monkeypatch):
+    """Leaders are ranked alike in all buckets, so that a group of near copies is not aligned with all of them."""
+    rng, fresh = random.Random(47), iter(range(10**6))
+    words = [f"g{i}" for i in range(150)]
+    docs = [(i, " ".join(_noisy(rng, words, rng.choice([0.01, 0.03, 0.06, 0.09]), fresh) if i else words)) for i in range(300)]
+    aligned, near = [], orderminhash._near
+
+    def counted(pairs, text, threshold):
+        aligned.append(pairs.count())
+        return near(pairs, text, threshold)
+
+    monkeypatch.setattr(orderminhash, "_near", counted)
+    got = {r.doc_id: r.class_id for r in orderminhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    split = [t.split() for _, t in docs]
+    want = {a: a for a, _ in docs}
+    for a, b in itertools.combinations(want, 2):
+        if orderminhash.similarity(split[a], split[b]) >= 0.8:
+            x, y = sorted((want[a], want[b]))
+            want = {i: x if c == y else c for i, c in want.items()}
+    assert got == want
+    assert sum(aligned) <= 10 * len(docs), aligned
