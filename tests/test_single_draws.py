@@ -52,6 +52,11 @@ def test_results_append(spark, thrice, monkeypatch):
     assert len(sizes) > 1 and rows_of_fits(spark, thrice, "results_append", monkeypatch) == [(n, n, 1.0) for n in sizes]
 
 
+def test_rf_multiclass(spark, thrice, monkeypatch):
+    (n,) = training_rows(spark, thrice, False)
+    assert rows_of_fits(spark, thrice, "rf_multiclass", monkeypatch) == [(n, n, 1.0)]
+
+
 def test_only_fits_that_use_each_row_as_it_is_take_weights():
     assert M.single_rows("rf", {}) and M.single_rows("rf", {"bootstrap": False, "subsamplingRate": 0.5})
     assert M.single_rows("gbt", {"subsamplingRate": 0.5}) and M.single_rows("gbt", {"minInstancesPerNode": 5})
